@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from tidegrid.catalog import parsing
+from tidegrid.catalog import exports, flows, grids, history, parsing, streams
 from tidegrid.catalog.base import Query
 
-MODULES = (parsing,)
+MODULES = (parsing, grids, exports, history, flows, streams)
 
 
 def all_queries() -> dict[str, Query]:

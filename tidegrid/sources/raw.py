@@ -17,15 +17,16 @@ BLANKS = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0"
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """``value`` plus file name and the position of the line in its source.
+    """``value`` plus the file name and the position of the line in its source.
 
     A file is split into blocks read in order, so the row id rises along it.
+    Large sources may come as folders ``name=<file name>``; the folder then
+    stands for the file.
     """
     lines = spark.read.text(path)
+    name = F.col("name").cast("string") if "name" in lines.columns else F.col("_metadata.file_name")
     return lines.select(
-        "value",
-        F.col("_metadata.file_name").alias("source_file"),
-        F.monotonically_increasing_id().alias("seq"),
+        "value", name.alias("source_file"), F.monotonically_increasing_id().alias("seq")
     )
 
 
@@ -44,6 +45,7 @@ def source_metadata(
     no_date = F.raise_error(F.concat(F.lit("no date in file name: "), F.col(name)))
     prefix = F.rtrim(F.call_function("substring_index", stem, day, F.lit(1)), F.lit("_"))
     device = F.substring_index(prefix, "_", -1)
+    checked = F.when(day == "", no_date.cast("string"))
     experience = F.when(
         F.contains(prefix, F.lit("_")),
         F.left(prefix, F.length(prefix) - F.length(device) - 1),
@@ -51,8 +53,8 @@ def source_metadata(
     return df.withColumns(
         {
             "experience": experience,
-            "device_id": device,
-            "file_day": F.when(day == "", no_date.cast("string")).otherwise(day).cast("date"),
+            "device_id": checked.otherwise(device),
+            "file_day": checked.otherwise(day).cast("date"),
         }
     )
 
