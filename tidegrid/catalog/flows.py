@@ -31,7 +31,7 @@ def steps(root: str | None = None) -> list[FlowStep]:
         FlowStep("clean", {"domains": RULES}, output=out("20_clean")),
         FlowStep(
             "resample",
-            {"freq": "10min", "unit": "10min", "max_gap_fill_s": 6, "unique_ts": False},
+            {"freq": "10min", "unit": "10min", "max_gap_fill_s": 6},
             output=out("25_resampled"),
         ),
         FlowStep(
@@ -155,10 +155,10 @@ def offset_scale(df, column, factor, offset):
 
 
 @QUERIES.add(
-    f"""WITH {COARSE}, {DEDUP} SELECT {K}, ts, seq, CAST(m1 * 3 - 5 AS DOUBLE) AS m1 FROM deduped"""
+    f"""WITH {COARSE}, {DEDUP} SELECT {K}, ts, CAST(m1 * 3 - 5 AS DOUBLE) AS m1 FROM deduped"""
 )
 def custom_step_flow(spark, sf_dir):
     """A user's step with declared parameters between built-in ones."""
     flow = [FlowStep("clean", {"domains": {"bio_signal": {}}}), FlowStep("offset_scale", {"factor": 3})]
     out = run_flow(flow, {"bio_signal": coarse(spark, sf_dir)}, overrides={"offset": -5})
-    return out["bio_signal"].select("experience", "device_id", "domain", "day", "ts", "seq", "m1")
+    return out["bio_signal"].select("experience", "device_id", "domain", "day", "ts", "m1")

@@ -169,8 +169,11 @@ def resample(
     columns = data_columns(df) if columns is None else list(columns)
     types = {c: t for c, t in df.dtypes if c in columns}
     out = collapse(df, method, unit=unit, columns=columns, keys=keys, ts=ts, unique_ts=unique_ts)
-    first = F.min(F.when(_any_value(columns), F.col(ts))).over(Window.partitionBy(*keys))
-    out = out.withColumn("_start", first)
+    # Ordered by time although a minimum needs no order: the grid sorts the same way.
+    whole = Window.partitionBy(*keys).orderBy(ts).rowsBetween(
+        Window.unboundedPreceding, Window.unboundedFollowing
+    )
+    out = out.withColumn("_start", F.min(F.when(_any_value(columns), F.col(ts))).over(whole))
     out = out.filter(F.col("_start").isNull() | (F.col(ts) >= F.col("_start")))
     out = regular_grid(out, freq, columns=columns, keys=keys, ts=ts, gridded=F.col("_start").isNotNull())
     out = ffill(out, max_gap_fill, columns, keys=keys, ts=ts)

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegrid.functions.scalars import parse_iso_utc
-from tidegrid.keys import data_columns
+from tidegrid.keys import SEQ, data_columns
 from tidegrid.operators import aggregate, clean, columns, grid, normalize
 from tidegrid.plans import history
 from tidegrid.session import cut_lineage
@@ -52,7 +52,11 @@ def custom_step(name: str, params: Mapping[str, tuple] | None = None):
     """Decorator: ``fn(df, **params)`` becomes a step applied to every domain table."""
 
     def wrap(fn: Callable[..., DataFrame]):
-        register(Step(name, lambda ts, p: {d: fn(t, **p) for d, t in ts.items()}, dict(params or {})))
+        def run(tables: Tables, p: dict) -> Tables:
+            declared = {n: v for n, v in p.items() if not n.startswith("_")}
+            return {d: fn(t, **declared) for d, t in tables.items()}
+
+        register(Step(name, run, dict(params or {})))
         return fn
 
     return wrap
@@ -106,14 +110,18 @@ def _parse(tables: Tables, p: dict) -> Tables:
 
 
 def _clean(tables: Tables, p: dict) -> Tables:
-    return clean.pass_or_clean(tables, p["domains"], p["drop_duplicates"], split=p["split"])
+    out = clean.pass_or_clean(tables, p["domains"], p["drop_duplicates"], split=p["split"])
+    if p["drop_duplicates"]:
+        # Times are distinct now, so the row order has no further use.
+        out = {d: t.drop(SEQ) if d in p["domains"] else t for d, t in out.items()}
+    return out
 
 
 def _resample(tables: Tables, p: dict) -> Tables:
     return {
         d: grid.resample(
             t, freq=p["freq"], max_gap_fill=p["max_gap_fill_s"], method=p["agg_method"].get(d, "mean"),
-            unit=p["unit"], unique_ts=p["unique_ts"],
+            unit=p["unit"],
         )
         for d, t in tables.items()
     }
@@ -129,7 +137,8 @@ def _normalize(tables: Tables, p: dict) -> Tables:
         raise ValueError(f"no table for domain {domain!r}")
     target = tables[domain]
     if p["fit"]:
-        # The fit and the rows it scales read the same input; the bounds are small.
+        # Read twice, by the fit and by the scaling: compute it once.
+        target = target if p["_stored"] else cut_lineage(target, "fit-input")
         fitted = normalize.fit(
             target, p["method"], p_min=p["percentile_min"], p_max=p["percentile_max"],
             window_days=p["fit_window_days"], columns=p["columns"], group=group, split=p["split"],
@@ -185,7 +194,6 @@ register(
             "max_gap_fill_s": ((int,), 20),
             "agg_method": ((dict,), AGG_METHOD),
             "unit": ((str,), "1s"),
-            "unique_ts": ((bool,), False),
         },
     )
 )
@@ -311,14 +319,17 @@ def run_flow(
     if start is not None and end is not None and parse_iso_utc(start) > parse_iso_utc(end):
         raise ValueError("start must not be after end")
     run_id = run_id or history.new_run_id()
+    from_stage = False
     if tables is None and chosen and chosen[0].step != "parse":
         tables = _stage_before(steps, chosen[0], spark)
-    first_step = True
+        from_stage = True
+    first_step, stored = True, from_stage
     for entry in chosen:
         step = _step(entry.step)
         values = resolve_params(step, *layers[entry.id])
         own_start = entry.start if entry.start is not None else start
         own_end = entry.end if entry.end is not None else end
+        values["_stored"] = stored
         if entry.step == "parse":
             values.update(_spark=spark, _input=source)
         elif first_step or entry.start is not None or entry.end is not None:
@@ -347,7 +358,7 @@ def run_flow(
             note("error", error=str(problem), duration_ms=(time.perf_counter() - began) * 1000)
             raise
         note("success", duration_ms=(time.perf_counter() - began) * 1000)
-        first_step = False
+        first_step, stored = False, bool(entry.output)
     return tables or {}
 
 

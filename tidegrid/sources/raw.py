@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -73,13 +74,12 @@ def parse_kv_lines(
     first match of a key is its last occurrence.
     """
     text = F.btrim(F.translate(F.col(column), "\0", ""), F.lit(BLANKS))
-    fields = F.split(F.col("_text"), _literal(delimiter))
+    cut = re.escape(delimiter)
     pairs = F.reverse(F.slice("_fields", 2, F.greatest(F.size("_fields") - 1, F.lit(0))))
     return (
-        lines.withColumn("_text", text)
-        .filter(F.instr(F.expr(f"substr(_text, instr(_text, '{_quoted(delimiter)}'))"), ":") > 0)
-        .filter(F.instr("_text", delimiter) > 0)
-        .withColumn("_fields", fields)
+        # A pair is a colon somewhere after the first delimiter.
+        lines.filter(F.col(column).rlike(f"(?s){cut}.*:"))
+        .withColumn("_fields", F.split(text, cut))
         .withColumn("_pairs", F.filter(pairs, lambda f: F.instr(f, ":") > 0))
         .withColumns(
             {
@@ -90,18 +90,10 @@ def parse_kv_lines(
                 ),
             }
         )
-        .drop(column, "_text", "_fields", "_pairs")
+        .drop(column, "_fields", "_pairs")
     )
 
 
-def _literal(delimiter: str) -> str:
-    return r"\Q" + delimiter + r"\E"
-
-
-def _quoted(text: str) -> str:
-    return text.replace("\\", "\\\\").replace("'", "\\'")
-
-
 def value_of(key: str) -> Column:
     """Text of the last pair with this key, or null."""
     return F.get("_values", (F.array_position("_keys", key) - 1).cast("int"))

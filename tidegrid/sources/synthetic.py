@@ -129,5 +129,5 @@ def raw_lines(readings: DataFrame) -> DataFrame:
         "device_id",
         F.to_date("ts").alias("file_day"),
         line.alias("value"),
-        F.explode(F.sequence(F.lit(1), F.col("copies"))).cast("long").alias("seq"),
+        F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies").cast("long"))).alias("seq"),
     )
