@@ -12,6 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 # partitions, splits skewed join partitions and skewed REBALANCE partitions.
 SQL_SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
+    # Generated methods above 8000 bytes of bytecode are never compiled by HotSpot.
+    # At this limit Spark uses per-expression code instead, in methods small enough.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
