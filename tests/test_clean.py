@@ -1,0 +1,97 @@
+import pandas as pd
+import pytest
+from helpers import assert_close, at, frame, noisy, rows, to_pandas
+
+from tidegrid.operators import clean as C
+from tidegrid.operators.columns import mask_bounds
+
+
+def test_bounds_keep_the_limits(spark):
+    df = frame(spark, rows([(0, 0, -1.0), (1, 800, 50.0), (2, 801, 50.1), (3, None, None)]))
+    out = to_pandas(mask_bounds(mask_bounds(df, ["m0"], 0, 800), ["m1"], high=50))
+    assert_close(out.m0, [0, 800, None, None])
+    assert_close(out.m1, [-1.0, 50.0, None, None])
+
+
+def test_first_row_per_timestamp_stays(spark):
+    df = frame(spark, rows([(0, 1, 1.0), (0, 2, 2.0), (1, 3, 3.0), (0, 4, 4.0)]))
+    assert_close(to_pandas(C.drop_duplicates(df)).m0, [1, 3])
+    assert_close(to_pandas(C.clean(df, spike_threshold=1000)).m0, [1, 3])
+
+
+def expected_spikes(data, window, threshold):
+    out = {}
+    p = pd.DataFrame([(r[4], r[6], r[7]) for r in data], columns=["ts", "m0", "m1"]).sort_values("ts")
+    for c in ("m0", "m1"):
+        v = p[c].astype("Float64")
+        med = v.rolling(window=window, center=True, min_periods=1).median()
+        out[c] = v.mask(((v - med).abs() > threshold).fillna(False))
+    return out
+
+
+@pytest.mark.parametrize("window", [1, 2, 3, 7, 10])
+@pytest.mark.parametrize("split", [False, True])
+def test_spikes_equal_a_rolling_median(spark, window, split):
+    data = noisy(300, seed=window)
+    got = to_pandas(
+        C.mask_spikes(frame(spark, data), window=window, threshold=25, split=split, slice_length="20s")
+    )
+    want = expected_spikes(data, window, 25)
+    assert_close(got.m0, want["m0"])
+    assert_close(got.m1, want["m1"])
+
+
+def test_slices_shorter_than_the_frame(spark):
+    """Every slice holds one or two rows, so frames reach over many slices."""
+    data = noisy(120, seed=5, step=3.0)
+    one = to_pandas(C.mask_spikes(frame(spark, data), window=9, threshold=20, split=False))
+    many = to_pandas(C.mask_spikes(frame(spark, data), window=9, threshold=20, split=True, slice_length="5s"))
+    pd.testing.assert_frame_equal(one, many)
+
+
+def test_keys_do_not_see_each_other(spark):
+    data = noisy(100, seed=2, device="a") + noisy(100, seed=3, device="b")
+    both = to_pandas(C.mask_spikes(frame(spark, data), window=7, threshold=25, split=True, slice_length="30s"))
+    alone = to_pandas(C.mask_spikes(frame(spark, noisy(100, seed=3, device="b")), window=7, threshold=25))
+    assert_close(both[both.device_id == "b"].m1, alone.m1)
+
+
+def test_result_does_not_depend_on_partitions_or_order(spark):
+    df = frame(spark, noisy(200, seed=9))
+    once = to_pandas(C.clean(df, min_value=0, max_value=650, spike_window=10, spike_threshold=30))
+    other = to_pandas(
+        C.clean(df.repartition(7, "m1"), min_value=0, max_value=650, spike_window=10, spike_threshold=30, split=True)
+    )
+    pd.testing.assert_frame_equal(once, other)
+
+
+def test_spikes_run_on_bounded_values(spark):
+    df = frame(spark, rows([(i, v, None) for i, v in enumerate([10, 10, 900, 120, 10, 10, 10])]))
+    out = to_pandas(C.clean(df, max_value=800, spike_window=3, spike_threshold=60))
+    # 900 is masked first, so the frame of 120 is {120, 10}: median 65, deviation 55.
+    assert_close(out.m0, [10, 10, None, 120, 10, 10, 10])
+
+
+def test_hot_copies_are_trimmed_before_the_shuffle(spark):
+    df = frame(spark, rows([(0, i, 1.0) for i in range(500)] + [(1, 7, 2.0)]))
+    out = C.drop_duplicates(df)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("WindowGroupLimit") >= 2  # before and after the exchange
+    assert_close(to_pandas(out).m0, [0, 7])
+
+
+def test_quality_counts(spark):
+    df = frame(spark, rows([(0, 1, 1.0), (0, 2, 2.0), (1, 900, 3.0), (2, 1, 500.0), (3, 1, None)]))
+    row = C.quality_metrics(df, min_value=0, max_value=800, spike_window=3, spike_threshold=100).first()
+    assert (row.rows_in, row.rows_out, row.duplicates_dropped) == (5, 4, 1)
+    # 900 is out of bounds; 500 sits in the frame {3, 500, null}: median 251.5, a spike.
+    # 3 sits in {1, 3, 500}: it is the median itself.
+    assert (row.bounds_nulled, row.spikes_nulled) == (1, 1)
+
+
+def test_domains_without_rules_pass(spark):
+    df = frame(spark, rows([(0, 900, 1.0), (0, 901, 1.0)]))
+    out = C.pass_or_clean({"bio_signal": df, "other": df}, {"bio_signal": {"max_value": 800}})
+    assert out["other"].count() == 2
+    assert out["bio_signal"].count() == 1
+    assert at(0).year == 2026

@@ -15,6 +15,8 @@ SQL_SETTINGS = {
     # Generated methods above 8000 bytes of bytecode are never compiled by HotSpot.
     # At this limit Spark uses per-expression code instead, in methods small enough.
     "spark.sql.codegen.hugeMethodLimit": "8000",
+    # Files written by pandas hold nanoseconds, which Spark reads as plain longs.
+    "spark.sql.legacy.parquet.nanosAsLong": "true",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
@@ -30,7 +32,9 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def local_session(cpus: int | str = "*", memory: str = "8g", app: str = "tidegrid") -> SparkSession:
+def local_session(
+    cpus: int | str = "*", memory: str = "8g", app: str = "tidegrid", scratch: str | None = None
+) -> SparkSession:
     """Single-JVM session for tests and the benchmark."""
     builder = SparkSession.builder.master(f"local[{cpus}]").appName(app)
     settings = {
@@ -40,6 +44,8 @@ def local_session(cpus: int | str = "*", memory: str = "8g", app: str = "tidegri
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
     }
+    if scratch is not None:
+        settings["spark.checkpoint.dir"] = scratch
     for name, value in settings.items():
         builder = builder.config(name, value)
     spark = builder.getOrCreate()

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegrid.operators.columns import prune_days
+from tidegrid.session import configure
 
 
 def read_stage(spark: SparkSession, path: str, start=None, end=None, domain: str | None = None) -> DataFrame:
@@ -42,12 +43,15 @@ def read_file_stage(spark: SparkSession, path: str) -> DataFrame:
     """A stage kept as one file per device and day under ``domain=*/``.
 
     Files outside such a folder are not read. Metadata comes from the file names.
+    Nanosecond times, as pandas writes them, are cut to microseconds.
     """
     df = (
-        spark.read.option("mergeSchema", "true")
+        configure(spark).read.option("mergeSchema", "true")
         .option("basePath", path)
         .parquet(f"{path}/domain=*/*.parquet")
     )
+    if dict(df.dtypes).get("ts") == "bigint":
+        df = df.withColumn("ts", F.timestamp_micros(F.expr("ts div 1000")))
     columns = [c for c in df.columns if c != "domain"]
     named = df.select("domain", *columns, F.col("_metadata.file_path").alias("_path"))
     decoded = decode_stage_files(named, "_path")
