@@ -51,19 +51,20 @@ def frame_of(window: int) -> tuple[int, int]:
     return window // 2, (window - 1) // 2
 
 
-def _is_spike(value: Column, frame: Sequence[Column], threshold: float) -> Column:
+def _is_spike(
+    value: Column, frame: Sequence[Column], low: Column, high: Column, threshold: float
+) -> Column:
     """``|value - median(frame)| > threshold``, nulls in the frame skipped.
 
-    When the whole frame lies within the threshold of the value, so does its
-    median: that settles nearly every row without sorting.
+    ``low`` and ``high`` are the extremes of the frame. When they lie within
+    the threshold of the value, so does the median: that settles nearly every
+    row without sorting.
     """
     limit = F.lit(float(threshold))
     v = value.cast("double")
-    calm = (F.greatest(*frame) - v <= limit) & (v - F.least(*frame) <= limit)
+    calm = (high - v <= limit) & (v - low <= limit)
     ordered = F.sort_array(F.array(*frame), asc=False)
-    count = frame[0].isNotNull().cast("int")
-    for other in frame[1:]:
-        count = count + other.isNotNull().cast("int")
+    count = F.size(F.array_compact(ordered))
     upper = F.get(ordered, F.floor((count - 1) / 2).cast("int"))
     lower = F.get(ordered, F.floor(count / 2).cast("int"))
     median = (upper.cast("double") + lower.cast("double")) / 2
@@ -71,10 +72,23 @@ def _is_spike(value: Column, frame: Sequence[Column], threshold: float) -> Colum
 
 
 def _neighbours_in_key(
-    df: DataFrame, row: Column, offsets: Sequence[int], keys: Sequence[str], ts: str, seq: str
+    df: DataFrame,
+    columns: Sequence[str],
+    before: int,
+    after: int,
+    keys: Sequence[str],
+    ts: str,
+    seq: str,
 ) -> DataFrame:
+    """Neighbour rows and the extremes of each column's frame, in one window pass."""
     w = Window.partitionBy(*keys).orderBy(ts, seq)
-    return df.withColumns({f"_at{k}": F.lag(row, k).over(w) for k in offsets})
+    frame = w.rowsBetween(-before, after)
+    row = F.struct(*columns)
+    found = {f"_at{k}": F.lag(row, k).over(w) for k in range(-after, before + 1) if k}
+    for c in columns:
+        found[f"_low_{c}"] = F.min(c).over(frame)
+        found[f"_high_{c}"] = F.max(c).over(frame)
+    return df.withColumns(found)
 
 
 def _neighbours_in_slices(
@@ -157,19 +171,24 @@ def mask_spikes(
     columns = data_columns(df) if columns is None else list(columns)
     before, after = frame_of(window)
     offsets = [k for k in range(-after, before + 1) if k]
-    row = F.struct(*columns)
     if not offsets:
         return df if count_as is None else df.withColumn(count_as, F.lit(0))
-    if needs_slices(df, keys, split):
-        around = _neighbours_in_slices(df, row, before, after, keys, ts, seq, slice_length)
+    spent = [f"_at{k}" for k in offsets]
+    sliced = needs_slices(df, keys, split)
+    if sliced:
+        around = _neighbours_in_slices(
+            df, F.struct(*columns), before, after, keys, ts, seq, slice_length
+        )
     else:
-        around = _neighbours_in_key(df, row, offsets, keys, ts, seq)
+        around = _neighbours_in_key(df, columns, before, after, keys, ts, seq)
+        spent += [f"_{end}_{c}" for c in columns for end in ("low", "high")]
 
     def spike(c: str) -> Column:
         frame = [F.col(f"_at{k}")[c] if k else F.col(c) for k in range(-after, before + 1)]
-        return _is_spike(F.col(c), frame, threshold)
+        low = F.least(*frame) if sliced else F.col(f"_low_{c}")
+        high = F.greatest(*frame) if sliced else F.col(f"_high_{c}")
+        return _is_spike(F.col(c), frame, low, high, threshold)
 
-    spent = [f"_at{k}" for k in offsets]
     if count_as is None:
         return around.withColumns({c: F.when(~spike(c), F.col(c)) for c in columns}).drop(*spent)
     flags = {f"_spike_{c}": F.coalesce(spike(c), F.lit(False)) for c in columns}

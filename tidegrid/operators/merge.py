@@ -106,18 +106,21 @@ def pivot_wide(
     prefix = {d: names.sanitize(d) for d in devices}
     if len(set(prefix.values())) < len(prefix):
         raise ValueError("two devices share a sanitised name")
-    cells = []
-    for d in devices:
-        here = F.col("device_id") == d
-        for c in columns:
-            value = F.when(here, F.col(c))
-            low, high = F.min(value), F.max(value)
-            clash = F.raise_error(F.lit(f"two values for {prefix[d]}__{c} at one time"))
-            cells.append(
-                F.when(low == high, low).when(low.isNull(), low).otherwise(clash.cast(df.schema[c].dataType))
-                .alias(f"{prefix[d]}__{c}")
-            )
-    return df.filter(F.col("device_id").isin(list(devices))).groupBy(*by).agg(*cells)
+    def checked(c: str) -> Column:
+        low, high = F.min(c), F.max(c)
+        place = F.concat_ws(" ", F.lit(f"two values for {c} of"), F.col("device_id"), *[F.col(b).cast("string") for b in by])
+        clash = F.raise_error(place).cast(df.schema[c].dataType)
+        return F.when(low.isNull() | (low == high), low).otherwise(clash).alias(c)
+
+    # One row per time and device first; the pivot then places each row's
+    # values by device instead of testing every device for every row.
+    per_device = (
+        df.filter(F.col("device_id").isin(list(devices)))
+        .groupBy(*by, "device_id")
+        .agg(*[checked(c) for c in columns])
+    )
+    wide = per_device.groupBy(*by).pivot("device_id", list(devices)).agg(*[F.first(c).alias(c) for c in columns])
+    return wide.toDF(*by, *[f"{prefix[d]}__{c}" for d in devices for c in columns])
 
 
 def upsert_devices(

@@ -23,7 +23,7 @@ from tidegrid.plans import history
 from tidegrid.session import cut_lineage
 from tidegrid.sinks.params import load_params, save_params
 from tidegrid.sinks.stage import write_stage
-from tidegrid.sources.raw import parse_raw
+from tidegrid.sources.raw import domain_columns_of, parsed_lines, type_domains, type_rows
 from tidegrid.sources.stage import read_stage
 
 REQUIRED = object()
@@ -96,19 +96,34 @@ TRANSFORM_SPEC = [{"function": "cbrt_inv", "target": {"domain": "bio_signal"}, "
 NUMBER = (int, float)
 
 
-def _parse(tables: Tables, p: dict) -> Tables:
-    spark, path = p["_spark"], p["_input"]
-    return parse_raw(
-        spark,
-        path,
-        p["domains"],
+def _lines(p: dict) -> DataFrame:
+    return parsed_lines(
+        p["_spark"],
+        p["_input"],
         delimiter=p["delimiter"],
         tz=p["tz"],
         substitutions=p["file_name_substitute"],
-        keys=p["keys"],
     )
 
 
+def _parse(tables: Tables, p: dict) -> Tables:
+    return type_domains(_lines(p), p["domains"], p["keys"])
+
+
+def _parse_and_write(p: dict, path: str, mode: str, start, end) -> Tables:
+    """Parse into a stage table: one pass over the text for all domains."""
+    lines = _lines(p)
+    columns_of = domain_columns_of(lines, p["domains"], p["keys"])
+    rows = type_rows(lines, p["domains"], p["keys"])
+    write_stage(columns.range_filter(rows, start, end), path, mode, start, end)
+    stage = read_stage(p["_spark"], path)
+    common = [c for c in ("source_file", "seq", "experience", "device_id", "domain", "day", "ts") if c in rows.columns]
+    return {
+        d: columns.range_filter(columns.keep_domains(stage, [d]), start, end).select(*common, *names)
+        for d, names in columns_of.items()
+    }
+
+
 def _clean(tables: Tables, p: dict) -> Tables:
     out = clean.pass_or_clean(tables, p["domains"], p["drop_duplicates"], split=p["split"])
     if p["drop_duplicates"]:
@@ -345,15 +360,18 @@ def run_flow(
 
         note("start", params={k: v for k, v in values.items() if not k.startswith("_")})
         try:
-            tables = step.run(tables, values)
-            if entry.step == "parse":
-                tables = _in_window(tables, own_start, own_end)
-            if entry.output:
-                write_stage(columns.stack_domains(tables), entry.output, output_mode, own_start, own_end)
-                tables = {
-                    d: _in_window({d: _domain_stage(t, entry.output, d)}, own_start, own_end)[d]
-                    for d, t in tables.items()
-                }
+            if entry.output and step.run is _parse:
+                tables = _parse_and_write(values, entry.output, output_mode, own_start, own_end)
+            else:
+                tables = step.run(tables, values)
+                if entry.step == "parse":
+                    tables = _in_window(tables, own_start, own_end)
+                if entry.output:
+                    write_stage(columns.stack_domains(tables), entry.output, output_mode, own_start, own_end)
+                    tables = {
+                        d: columns.range_filter(_domain_stage(t, entry.output, d), own_start, own_end)
+                        for d, t in tables.items()
+                    }
         except Exception as problem:
             note("error", error=str(problem), duration_ms=(time.perf_counter() - began) * 1000)
             raise

@@ -135,6 +135,20 @@ def type_domains(
     return tables
 
 
+def domain_columns_of(
+    parsed: DataFrame, domains: Mapping[str, Mapping], keys: Sequence[str] | None = None
+) -> dict[str, list[str]]:
+    """Output columns of every domain that has any."""
+    available = _available(parsed, domains, keys)
+    found = {}
+    for domain, spec in domains.items():
+        rename = spec.get("rename", {})
+        columns = [rename.get(c, c) for c in domain_columns(available, spec)]
+        if columns:
+            found[domain] = columns
+    return found
+
+
 def type_rows(
     parsed: DataFrame,
     domains: Mapping[str, Mapping],
@@ -160,16 +174,26 @@ def type_rows(
     )
 
 
-def parse_raw(
+def parsed_lines(
     spark: SparkSession,
     path: str,
-    domains: Mapping[str, Mapping],
     *,
     delimiter: str = ";",
     tz: str = "UTC",
     substitutions: Sequence[Mapping[str, str]] = (),
+) -> DataFrame:
+    """Files ``<experience>_<device>_<day>.csv`` as parsed lines with their metadata."""
+    lines = source_metadata(read_lines(spark, path), substitutions=substitutions)
+    return parse_kv_lines(lines, delimiter, tz=tz)
+
+
+def parse_raw(
+    spark: SparkSession,
+    path: str,
+    domains: Mapping[str, Mapping],
+    *,
     keys: Sequence[str] | None = None,
+    **options,
 ) -> dict[str, DataFrame]:
-    """Files ``<experience>_<device>_<day>.csv`` to one typed table per domain."""
-    lines = source_metadata(read_lines(spark, path), substitutions=substitutions)
-    return type_domains(parse_kv_lines(lines, delimiter, tz=tz), domains, keys)
+    """Raw files to one typed table per domain."""
+    return type_domains(parsed_lines(spark, path, **options), domains, keys)

@@ -11,9 +11,17 @@ from tidegrid.operators.columns import prune_days
 from tidegrid.session import configure
 
 
-def read_stage(spark: SparkSession, path: str, start=None, end=None, domain: str | None = None) -> DataFrame:
-    """A stage table; ``start``, ``end`` and ``domain`` prune its partitions."""
-    df = spark.read.option("mergeSchema", "true").option("basePath", path).parquet(f"{path}/domain=*")
+def read_stage(
+    spark: SparkSession, path: str, start=None, end=None, domain: str | None = None, schema=None
+) -> DataFrame:
+    """A stage table; ``start``, ``end`` and ``domain`` prune its partitions.
+
+    Columns may differ between days, so footers are merged, in a distributed
+    job. Giving the ``schema`` spares that for tables of very many files.
+    """
+    reader = spark.read.option("basePath", path)
+    reader = reader.option("mergeSchema", "true") if schema is None else reader.schema(schema)
+    df = reader.parquet(f"{path}/domain=*")
     if domain is not None:
         df = df.filter(F.col("domain") == domain)
     return prune_days(df, start, end)
