@@ -4,7 +4,8 @@ Two plans give the same rows. Where a count shows that every key fits one
 task, one exchange and one sort on the key serve dedup and rolling median.
 Where some key does not, copies are trimmed map-side before the shuffle and the
 median runs over time slices of the key; each slice receives the few rows
-bordering it, so frames crossing a slice boundary are complete.
+bordering it, so frames crossing a slice boundary are complete. That plan reads
+the deduplicated rows twice and therefore writes them to the scratch folder first.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 from tidegrid.functions.scalars import bucket_start, micros_of
 from tidegrid.keys import KEYS, SEQ, SLICE, TS, data_columns, needs_slices
 from tidegrid.operators.columns import outside
+from tidegrid.session import cut_lineage
 
 
 def drop_duplicates(
@@ -176,6 +178,8 @@ def mask_spikes(
     spent = [f"_at{k}" for k in offsets]
     sliced = needs_slices(df, keys, split)
     if sliced:
+        # Read twice, for the rows and for the slice borders: compute it once.
+        df = cut_lineage(df, "sliced")
         around = _neighbours_in_slices(
             df, F.struct(*columns), before, after, keys, ts, seq, slice_length
         )

@@ -45,7 +45,9 @@ def exact_quantiles(
     Columns without any value in a group give no row.
     """
     if needs_slices(df, group, split):
-        return _by_narrowing(_melt(df, group, columns), [*group, "column"], list(probs), bins)
+        # Every pass reads the values again: compute them once.
+        kept = cut_lineage(df.select(*group, *columns), "values")
+        return _by_narrowing(_melt(kept, group, columns), [*group, "column"], list(probs), bins)
     wide = df.groupBy(*group).agg(
         *[F.percentile(F.col(c).cast("double"), list(probs)).alias(f"_q{i}") for i, c in enumerate(columns)]
     )
