@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidegrid.catalog.base import Registry
-from tidegrid.llm import bpe, mixing, sharding
+from tidegrid.llm import bpe, mixing, rules, sharding
 from tidegrid.llm.common import table
 
 QUERIES = Registry()
@@ -49,3 +49,11 @@ def op4_bpe_codec(spark, sf_dir):
         keep=["doc_id"],
         results=("n_tokens", "ids_sha256", "decoded_sha256"),
     )
+
+
+@QUERIES.add()
+def op6_ratio_rules(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    marked, good = rules.labelled_good(docs, table(spark, sf_dir, "labels"))
+    judged = rules.judge(docs, rules.corpus_ratios(marked, good))
+    return judged.select("doc_id", "rules.*")
