@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidegrid.catalog.base import Registry
-from tidegrid.llm import bpe, mixing, rules, sharding
+from tidegrid.llm import bpe, mixing, rules, sharding, substrings
 from tidegrid.llm.common import table
 
 QUERIES = Registry()
@@ -57,3 +57,10 @@ def op6_ratio_rules(spark, sf_dir):
     marked, good = rules.labelled_good(docs, table(spark, sf_dir, "labels"))
     judged = rules.judge(docs, rules.corpus_ratios(marked, good))
     return judged.select("doc_id", "rules.*")
+
+
+@QUERIES.add()
+def op9_repeated_passages(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    cut = substrings.remove_repeats(docs, keep=["doc_id"], with_text=False)
+    return cut.select("doc_id", "n_words", "n_removed", "kept_sha256")
