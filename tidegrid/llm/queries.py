@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidegrid.catalog.base import Registry
-from tidegrid.llm import bpe, mixing, rules, sharding, substrings
+from tidegrid.llm import bpe, mixing, rules, sharding, substrings, warc
 from tidegrid.llm.common import table
 
 QUERIES = Registry()
@@ -64,3 +64,20 @@ def op9_repeated_passages(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     cut = substrings.remove_repeats(docs, keep=["doc_id"], with_text=False)
     return cut.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+@QUERIES.add(
+    """
+WITH facts AS (
+  SELECT page_id, coalesce(html, '') AS body, strlen(coalesce(html, '')) AS n FROM pages),
+led AS (
+  SELECT *, max(page_id) OVER (PARTITION BY body) AS lead FROM facts)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, sha1(body) AS payload_digest,
+       CASE WHEN n >= 1000 AND page_id < lead THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN n >= 1000 AND page_id < lead THEN lead END AS refers_to
+FROM led"""
+)
+def op8_warc_archive(spark, sf_dir):
+    path = warc.write_archive(table(spark, sf_dir, "pages"), warc.fresh_archive(spark))
+    read = warc.read_archive(spark, path)
+    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
