@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidegrid.catalog.base import Registry
-from tidegrid.llm import bpe, mixing, rules, sharding, substrings, warc
-from tidegrid.llm.common import table
+from tidegrid.llm import bpe, mixing, ppm, rules, sharding, substrings, warc
+from tidegrid.llm.common import residue, table
 
 QUERIES = Registry()
 TOKENIZER = "word_bpe_49k.json"
@@ -81,3 +81,12 @@ def op8_warc_archive(spark, sf_dir):
     path = warc.write_archive(table(spark, sf_dir, "pages"), warc.fresh_archive(spark))
     read = warc.read_archive(spark, path)
     return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@QUERIES.add()
+def op7_ppm_scores(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = residue("doc_id", 7) == 2
+    return ppm.score(docs, ~held_out).withColumn("held_out", held_out).select(
+        "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"
+    )

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegrid.llm.common import utf8
+from tidegrid.llm.common import settle, utf8
 from tidegrid.session import scratch_path
 
 # Fixed values of the format.
@@ -34,7 +34,7 @@ def _line(name: str, value: Column) -> Column:
 
 
 def described(pages: DataFrame, id_col: str, url_col: str, body_col: str) -> tuple[DataFrame, DataFrame]:
-    """The facts of every record, and the leading record of each shared payload."""
+    """The facts of every record, and the leading record of each payload that occurs again."""
     payload = utf8(body_col)
     facts = pages.select(
         F.col(id_col).cast("long").alias("page_id"),
@@ -51,7 +51,13 @@ def described(pages: DataFrame, id_col: str, url_col: str, body_col: str) -> tup
     leading = (
         facts.filter(F.col("bytes") >= LEAST_SHARED)
         .groupBy(F.col("address").alias("shared"))
-        .agg(F.max("page_id").alias("first_id"), F.min("sha1").alias("low"), F.max("sha1").alias("high"))
+        .agg(
+            F.count("*").alias("n"),
+            F.max("page_id").alias("first_id"),
+            F.min("sha1").alias("low"),
+            F.max("sha1").alias("high"),
+        )
+        .filter("n > 1")
     )
     return facts, leading
 
@@ -79,6 +85,7 @@ def write_archive(
     facts, leading = described(pages, id_col, url_col, body_col)
     clash = F.raise_error(F.concat(F.lit("payloads differ under one address: "), F.col("shared")))
     leading = leading.filter(F.when(F.col("low") != F.col("high"), clash.cast("boolean")).otherwise(True))
+    leading = settle(leading.select("shared", "first_id"), "warc-shared")
     narrow = facts.drop("payload")
     joined = narrow.join(leading, F.col("address") == F.col("shared"), "left")
     revisit = F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id"))
