@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidegrid.catalog.base import Registry
-from tidegrid.llm import bpe, mixing, ppm, rules, sharding, substrings, warc
+from tidegrid.llm import bpe, jaccard, mixing, ppm, rules, sharding, substrings, warc
 from tidegrid.llm.common import residue, table
 
 QUERIES = Registry()
@@ -51,6 +51,12 @@ def op4_bpe_codec(spark, sf_dir):
     )
 
 
+@QUERIES.add()
+def op5_ngram_jaccard_join(spark, sf_dir):
+    linked = jaccard.link_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return linked.select("doc_id", F.col("group_id").alias("class_id"), "n_links", "n_copies")
+
+
 @QUERIES.add()
 def op6_ratio_rules(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
