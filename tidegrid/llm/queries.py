@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidegrid.catalog.base import Registry
-from tidegrid.llm import bpe, jaccard, mixing, ppm, rules, sharding, substrings, warc
+from tidegrid.llm import bpe, classifier, fingerprints, jaccard, mixing, ppm, rules, sharding, substrings, warc
 from tidegrid.llm.common import residue, table
 
 QUERIES = Registry()
@@ -27,6 +27,19 @@ def op1_source_mix(spark, sf_dir):
     return mixed.select("doc_id", "mix.size", "mix.source_size", "mix.target", "mix.taken")
 
 
+@QUERIES.add()
+def op2_quality_network(spark, sf_dir):
+    held_out = residue("doc_id", 3) == 1
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = classifier.score_quality(docs, table(spark, sf_dir, "labels"), train=~held_out)
+    return scored.select(
+        "doc_id",
+        held_out.alias("held_out"),
+        "score",
+        F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"),
+    )
+
+
 @QUERIES.add()
 def op3_feistel_shards(spark, sf_dir):
     placed = sharding.shard_rows(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -96,3 +109,8 @@ def op7_ppm_scores(spark, sf_dir):
     return ppm.score(docs, ~held_out).withColumn("held_out", held_out).select(
         "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"
     )
+
+
+@QUERIES.add()
+def op10_edit_fingerprints(spark, sf_dir):
+    return fingerprints.compare_with_next(table(spark, sf_dir, "documents").select("doc_id", "text"))
