@@ -15,6 +15,16 @@ SPACE = r"[ \t\n\x0B\f\r]+"
 WORD = r"[^ \t\n\x0B\f\r]+"
 
 
+TOKENIZER = "word_bpe_49k.json"
+
+
+def tokenizer_path(name: str = TOKENIZER) -> str:
+    """Where a public vocabulary lies on the driver."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -2,23 +2,14 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from pyspark.sql import functions as F
 
 from tidegrid.catalog.base import Registry
 from tidegrid.llm import bpe, classifier, fingerprints, jaccard, mixing, ppm, rules, sharding, substrings, warc
-from tidegrid.llm.common import residue, table
+from tidegrid.llm.common import residue, table, tokenizer_path
 
 QUERIES = Registry()
-TOKENIZER = "word_bpe_49k.json"
-
-
-def tokenizer_path() -> str:
-    """Where the public vocabulary lies on the driver."""
-    import public_tokenizers
-
-    return str(public_tokenizers.path(TOKENIZER))
-
-
 
 
 @QUERIES.add()
@@ -114,3 +105,8 @@ def op7_ppm_scores(spark, sf_dir):
 @QUERIES.add()
 def op10_edit_fingerprints(spark, sf_dir):
     return fingerprints.compare_with_next(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@QUERIES.add(corpus_pipeline.ORACLE_SQL)
+def pipeline(spark, sf_dir):
+    return corpus_pipeline.run(spark, sf_dir)
