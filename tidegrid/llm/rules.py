@@ -1,6 +1,6 @@
 """Quality rules: base limits and a likelihood ratio between a trusted and the raw corpus.
 
-Words and word pairs are hashed into buckets. Two multinomials over the buckets, one of
+Words, word pairs and runs of signs are hashed into buckets. Two multinomials over the buckets, one of
 trusted documents and one of the whole corpus, give each bucket a log ratio; a document's
 verdict is the mean ratio of its n-grams against a fixed threshold, without sampling.
 """
@@ -10,17 +10,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidegrid.llm.common import SPACE, free_name, settle, with_struct
+from tidegrid.llm.common import SPACE, free_name, with_struct
 
 WINDOW = 8  # words of a repeated window
 LEAST_WORDS = 20
 MOST_REPEATED = 30  # per cent of words within repeated windows
+SIGN_RUN = r"[^\p{L}\p{N}\s]+"
 SYMBOLS = r"[#*$%&|<>]"
 WHITE = " \t\n\x0b\f\r"
 
 BUCKETS = 1 << 15
 SMOOTHING = 1.0
-THRESHOLD = -0.25
+THRESHOLD = -0.3
+# The target multinomial is learnt on at most so many trusted documents, those of least hash.
+TRUSTED_ROWS = 20_000
 
 
 def _words(text: Column) -> Column:
@@ -38,11 +41,13 @@ def _paired(array: Column, gap: int) -> Column:
     return F.zip_with(_tail(array, 0, n), _tail(array, gap, n), lambda a, b: F.xxhash64(a, b))
 
 
-def _grams(df: DataFrame, text_col: str, stem: str) -> tuple[DataFrame, str, str]:
-    """Adds the hashes of words and of word pairs."""
-    one, two = free_name(df, f"{stem}_one"), free_name(df, f"{stem}_two")
+def _grams(df: DataFrame, text_col: str, stem: str) -> tuple[DataFrame, str, str, str]:
+    """Adds the hashes of words, of word pairs and of runs of signs."""
+    one, two, signs = (free_name(df, f"{stem}_{c}") for c in ("one", "two", "signs"))
+    runs = F.regexp_extract_all(F.coalesce(F.col(text_col), F.lit("")), F.lit(SIGN_RUN), F.lit(0))
+    df = df.withColumn(signs, F.transform(runs, lambda r: F.xxhash64(r)))
     df = df.withColumn(one, F.transform(_words(F.col(text_col)), lambda w: F.xxhash64(w)))
-    return df.withColumn(two, _paired(F.col(one), 1)), one, two
+    return df.withColumn(two, _paired(F.col(one), 1)), one, two, signs
 
 
 def corpus_ratios(
@@ -51,13 +56,14 @@ def corpus_ratios(
     """One row, ``ratios``: the log ratio of every bucket, from all documents.
 
     ``trusted`` marks the documents of the target multinomial. Both multinomials are
-    smoothed by one count per bucket; without any n-gram all ratios are 0.
+    smoothed by one count per bucket, and raw counts leave out one occurrence, the judged
+    one: what only its own document has says nothing. Without any n-gram all ratios are 0.
     """
     mark = free_name(docs, "_rule_trusted")
     rows = docs.withColumn(mark, F.coalesce(trusted, F.lit(False)))
-    rows, one, two = _grams(rows, text_col, "_rule")
+    rows, one, two, signs = _grams(rows, text_col, "_rule")
     counts = (
-        rows.select(mark, F.explode(F.concat(one, two)).alias("gram"))
+        rows.select(mark, F.explode(F.concat(one, two, signs)).alias("gram"))
         .select(
             F.pmod("gram", F.lit(buckets)).cast("int").alias("bucket"),
             F.col(mark).cast("long").alias("hit"),
@@ -79,7 +85,7 @@ def corpus_ratios(
             f"""transform(
                   array_sort(concat(
                     transform(seen, s -> struct(s.bucket AS bucket,
-                      ln((s.target + {SMOOTHING}D) / (s.raw + {SMOOTHING}D)) - shift AS ratio)),
+                      ln((s.target + {SMOOTHING}D) / (s.raw - 1 + {SMOOTHING}D)) - shift AS ratio)),
                     transform(array_except(sequence(0, {buckets - 1}), transform(seen, s -> s.bucket)),
                       b -> struct(b AS bucket, -shift AS ratio)))),
                   s -> s.ratio)"""
@@ -134,7 +140,7 @@ def judge(
     rows and ties get equal verdicts. An empty table gives an empty table; an existing
     column ``out`` is replaced.
     """
-    rows, one, two = _grams(docs, text_col, "_rule")
+    rows, one, two, signs = _grams(docs, text_col, "_rule")
     four, eight, table, words = (
         free_name(docs, f"_rule_{c}") for c in ("four", "eight", "table", "words")
     )
@@ -145,7 +151,7 @@ def judge(
     has_repeats = F.size(F.array_distinct(F.col(eight))) < F.size(F.col(eight))
     lines = F.filter(F.split(text, "\n"), lambda line: line.rlike(r"[^ \t\n\x0B\f\r]"))
     total = F.aggregate(
-        F.concat(one, two),
+        F.concat(one, two, signs),
         F.lit(0.0),
         lambda sum_, g: sum_ + F.get(F.col(table), F.pmod(g, F.lit(buckets)).cast("int")),
     )
@@ -159,7 +165,7 @@ def judge(
         n_symbols=F.regexp_count(text, F.lit(SYMBOLS)).cast("long"),
         n_dup_lines=(F.size(lined) - F.size(F.array_distinct(lined))).cast("long"),
         n_repeat_words=F.when(has_repeats, _repeated(F.col(eight))).otherwise(F.lit(0)).cast("long"),
-        mean_ratio=F.col(summed) / F.greatest(F.size(one) + F.size(two), F.lit(1)),
+        mean_ratio=F.col(summed) / F.greatest(F.size(one) + F.size(two) + F.size(signs), F.lit(1)),
     )
     f = F.col(figures)
     failed = (f["n_words"] < LEAST_WORDS) | (100 * f["n_repeat_words"] > MOST_REPEATED * f["n_words"])
@@ -176,9 +182,21 @@ def judge(
     )
 
 
-def labelled_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id") -> tuple[DataFrame, Column]:
-    """``docs`` with a mark for those that ``labels`` calls good (quality 1; the highest counts)."""
-    mark = free_name(docs, "_rule_good")
-    good = labels.groupBy(F.col("doc_id").alias("_rule_id")).agg((F.max("quality") == 1).alias(mark))
-    joined = docs.join(good, docs[id_col].eqNullSafe(F.col("_rule_id")), "left").drop("_rule_id")
+def labelled_good(
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", most: int = TRUSTED_ROWS
+) -> tuple[DataFrame, Column]:
+    """``docs`` with a mark for the trusted documents: at most ``most`` that ``labels`` calls good.
+
+    Of several labels of one id the greatest counts. A null id is never trusted.
+    """
+    mark, key = free_name(docs, "_rule_good"), free_name(docs, "_rule_id")
+    good = (
+        labels.groupBy(F.col("doc_id").alias(key))
+        .agg(F.max("quality").alias("q"))
+        .filter((F.col("q") == 1) & F.col(key).isNotNull())
+        .orderBy(F.xxhash64(F.lit(60), F.col(key)), key)
+        .limit(most)
+        .select(key, F.lit(True).alias(mark))
+    )
+    joined = docs.join(F.broadcast(good), docs[id_col] == F.col(key), "left").drop(key)
     return joined, F.col(mark)
