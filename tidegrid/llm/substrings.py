@@ -15,7 +15,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidegrid.llm import hashing
@@ -170,10 +172,7 @@ def remove_repeats(
                 hit = total[bounds[1:]] > total[bounds[:-1]]
                 sums = _sequence_hashes(hashes, bounds)
                 texts = text.to_pylist()
-                shas = [
-                    None if h else _digest(b" ".join((t or "").encode().split()))
-                    for h, t in zip(hit, texts)
-                ]
+                shas = [_digest(b" ".join((t or "").encode().split())) for t in texts]
                 shown = [t if with_text or h else None for h, t in zip(hit, texts)]
                 columns = [piece.column(i) for i in range(len(kept))] + [
                     piece.column(at_id),
@@ -194,74 +193,94 @@ def remove_repeats(
     hit = scanned.filter("_sub_hit")
     # Equal word sequences: only the smallest id's windows need a look, all others go whole.
     firsts = settle(
-        hit.groupBy(*[F.col(c).alias(f"{c}_k") for c in key]).agg(F.min("_sub_order").alias("_sub_first")),
+        hit.groupBy(*[F.col(c).alias(f"{c}_k") for c in key])
+        .agg(F.min("_sub_order").alias("_sub_first"), F.max("_sub_order").alias("_sub_last"))
+        .filter("_sub_first < _sub_last")
+        .drop("_sub_last"),
         "repeats-firsts",
     )
     same = [hit[c] == firsts[f"{c}_k"] for c in key]
-    marked = hit.join(firsts, same).drop(*[f"{c}_k" for c in key])
+    marked = hit.join(firsts, same, "left").drop(*[f"{c}_k" for c in key])
+    marked = settle(
+        marked.withColumn("_sub_copy", F.coalesce(F.col("_sub_order") > F.col("_sub_first"), F.lit(False)))
+        .drop("_sub_first", "_sub_two", "_sub_hit")
+        .withColumn("_sub_text", F.when(~F.col("_sub_copy"), F.col("_sub_text"))),
+        "repeats-marked",
+    )
+    looked = marked.filter("NOT _sub_copy")
 
     def spots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.frombuffer(sketch.value, np.uint8)
         for batch in batches:
-            for piece in hashing.slices(batch, 0):
+            for piece in hashing.slices(batch, 0, 4 * hashing.SLICE_BYTES):
                 bounds, hashes, anchors, inside = _numbered(piece.column(0))
                 starts = np.flatnonzero(inside)
                 starts = starts[_estimated(bits, anchors[starts])]
                 row = np.searchsorted(bounds, starts, "right") - 1
-                columns = [hashing.signed(hashing.windows(h, WINDOW)[starts]) for h in hashes]
-                order, one = (piece.column(i).take(pa.array(row)) for i in (1, 2))
+                a, b = (hashing.windows(h, WINDOW)[starts] for h in hashes)
+                order = piece.column(1).to_numpy()[row]
+                # Of equal windows here only those of the smallest id can be first anywhere:
+                # the others are repeats for certain and need not travel.
+                turn = np.lexsort((order, b, a))
+                new = np.ones(len(turn), bool)
+                new[1:] = (a[turn][1:] != a[turn][:-1]) | (b[turn][1:] != b[turn][:-1])
+                least = order[turn][np.flatnonzero(new)][np.cumsum(new) - 1] if len(turn) else order
+                sure = np.zeros(len(turn), bool)
+                sure[turn] = order[turn] > least
+                hide = pa.array(sure)
+                none = pa.scalar(None, pa.int64())
+                columns = [pc.if_else(hide, none, hashing.signed(h)) for h in (a, b)]
+                one = piece.column(2).take(pa.array(row))
                 place = pa.array(starts - bounds[row], pa.int32())
-                yield pa.RecordBatch.from_arrays([*columns, order, one, place], ["a", "b", "o", "s", "at"])
+                yield pa.RecordBatch.from_arrays(
+                    [*columns, pa.array(order), one, place, hide], ["a", "b", "o", "s", "at", "sure"]
+                )
 
     found = settle(
-        marked.filter("_sub_order = _sub_first")
-        .select("_sub_text", "_sub_order", "_sub_one")
-        .mapInArrow(spots, "a long, b long, o long, s long, at int"),
+        looked.select("_sub_text", "_sub_order", "_sub_one").mapInArrow(
+            spots, "a long, b long, o long, s long, at int, sure boolean"
+        ),
         "repeats-windows",
     )
-    least = settle(
-        found.groupBy(F.col("a").alias("a_k"), F.col("b").alias("b_k"))
-        .agg(F.min("o").alias("lo"), F.max("o").alias("hi"))
-        .filter("lo < hi")
-        .drop("hi"),
-        "repeats-least",
+    # One row per window and piece of the input at most, so no window gathers many rows.
+    first_of = F.min("o").over(W.partitionBy("a", "b"))
+    later = (
+        found.filter("NOT sure").withColumn("lo", first_of).filter("o > lo").select("o", "s", "at")
+        .union(found.filter("sure").select("o", "s", "at"))
     )
-    later = found.join(least, (found["a"] == least["a_k"]) & (found["b"] == least["b_k"])).filter("o > lo")
     spans = later.groupBy(F.col("o").alias("o_k"), F.col("s").alias("s_k")).agg(
         F.collect_set("at").alias("_sub_starts")
     )
-    joined = marked.join(
-        spans, (marked["_sub_order"] == spans["o_k"]) & (marked["_sub_one"] == spans["s_k"]), "left"
-    ).drop("o_k", "s_k")
+    joined = looked.join(
+        spans, (F.col("_sub_order") == F.col("o_k")) & (F.col("_sub_one") == F.col("s_k")), "left"
+    )
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = {name: batch.column(batch.schema.get_field_index(name)) for name in batch.schema.names if name.startswith("_sub_")}
-            out: list[list] = [[], [], [], []]
-            for i in range(batch.num_rows):
-                text = at["_sub_text"][i].as_py()
-                if text is None:
-                    row = (0, 0, _digest(b""), None)
-                else:
-                    copy = at["_sub_order"][i].as_py() != at["_sub_first"][i].as_py()
-                    row = _cut(text, copy, at["_sub_starts"][i])
-                for column, value in zip(out, row):
-                    column.append(value)
+            texts, starts = batch.column(len(kept)), batch.column(len(kept) + 1)
+            rows = [_cut(t.as_py() or "", s) for t, s in zip(texts, starts)]
             columns = [batch.column(i) for i in range(len(kept))]
-            columns += [pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.string(), pa.string()))]
+            columns += [
+                pa.array([r[i] for r in rows], t)
+                for i, t in enumerate((pa.int64(), pa.int64(), pa.string(), pa.string()))
+            ]
             yield pa.RecordBatch.from_arrays(columns, [*kept, *(p.split(" ")[0] for p in added.split(", "))])
 
-    cut = joined.select(
-        *[F.col(f"`{c}`") for c in kept], "_sub_text", "_sub_order", "_sub_first", "_sub_starts"
-    ).mapInArrow(finish, schema_with(docs, kept, added))
-    untouched = scanned.filter("NOT _sub_hit").select(
-        *[F.col(f"`{c}`") for c in kept],
-        F.col("_sub_n").alias("n_words"),
-        F.lit(0).cast("long").alias("n_removed"),
-        F.col("_sub_sha").alias("kept_sha256"),
-        F.col("_sub_text").alias("kept_text"),
-    )
-    return untouched.union(cut)
+    own = [F.col(f"`{c}`") for c in kept]
+    cut = joined.select(*own, "_sub_text", "_sub_starts").mapInArrow(finish, schema_with(docs, kept, added))
+
+    def whole(rows: DataFrame, removed: str, sha: Column, text: Column) -> DataFrame:
+        return rows.select(
+            *own,
+            F.col("_sub_n").alias("n_words"),
+            F.expr(removed).cast("long").alias("n_removed"),
+            sha.alias("kept_sha256"),
+            text.alias("kept_text"),
+        )
+
+    untouched = whole(scanned.filter("NOT _sub_hit"), "0", F.col("_sub_sha"), F.col("_sub_text"))
+    copies = whole(marked.filter("_sub_copy"), "_sub_n", F.lit(_digest(b"")), F.lit(""))
+    return untouched.union(copies).union(cut)
 
 
 def _sequence_hashes(hashes: np.ndarray, bounds: np.ndarray) -> list[np.ndarray]:
@@ -275,17 +294,15 @@ def _sequence_hashes(hashes: np.ndarray, bounds: np.ndarray) -> list[np.ndarray]
     return out
 
 
-def _cut(text: str, copy: bool, starts) -> tuple[int, int, str, str]:
+def _cut(text: str, starts: pa.ListScalar) -> tuple[int, int, str, str]:
+    """Words, words removed, digest of the rest, and the rest, given where repeated windows start."""
     words = text.encode().split()
     n = len(words)
     gone = np.zeros(n + 1, np.int64)
-    if copy:
-        gone[:] = 1
-    elif starts.is_valid:
+    if starts.is_valid:
         at = starts.values.to_numpy()
-        gone[at] += 1
-        ends = at + WINDOW
-        np.subtract.at(gone, ends, 1)
+        np.add.at(gone, at, 1)
+        np.subtract.at(gone, at + WINDOW, 1)
         gone = np.cumsum(gone)
     removed = int((gone[:n] > 0).sum())
     if not removed:
