@@ -19,6 +19,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidegrid.llm.common import settle
+from tidegrid.llm.components import components
+
 # Steps repeat their random bits after PERIOD; characters share CLASSES rows of bits.
 PERIOD, CLASSES = 1 << 12, 256
 SAMPLES = 32  # of each octave of steps
@@ -231,3 +234,63 @@ def _compared(part: pd.DataFrame, id_col: str) -> pd.DataFrame:
             "near_next": [likeness(prints[i], prints[i + 1]) for i in own],
         }
     )
+
+
+# Bands of a fingerprint: runs of samples of one octave that must agree.
+BAND = 8
+LEAST_LIKENESS = 0.6
+
+
+def near_groups(
+    docs: DataFrame,
+    *,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    least: float = LEAST_LIKENESS,
+) -> DataFrame:
+    """id and group_id of every document: documents linked by likeness of their fingerprints.
+
+    Candidates share a band: the same sampled signs of one octave, of those that cover the
+    upper half of a text's walk. Each bucket links its documents to the one of least id,
+    and a link stays if the likeness of the two fingerprints is at least ``least``; groups
+    are connected components. Buckets are never paired out, so work grows with documents.
+
+    Null and empty texts are groups of their own, and so are null ids. Repeated rows of one
+    id are one document. An empty table gives an empty table. Other columns are left out.
+    """
+    given = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            texts = [t if isinstance(t, str) else "" for t in frame["text"]]
+            yield pd.DataFrame({"id": frame["id"], "print": fingerprints(texts)})
+
+    prints = settle(given.filter("id IS NOT NULL").mapInPandas(run, "id long, print string"), "fingerprints")
+    octaves = F.length("print") / SAMPLES
+    # The last three octaves hold most of the walk's steps.
+    bands = F.sequence(
+        F.greatest(F.lit(0), (octaves - 3) * (SAMPLES // BAND)).cast("int"),
+        (octaves * (SAMPLES // BAND) - 1).cast("int"),
+    )
+    banded = prints.filter("print <> ''").withColumn("band", F.explode(bands)).select(
+        "id", "print", "band", F.expr(f"substring(print, band * {BAND} + 1, {BAND})").alias("signs")
+    )
+    banded = banded.filter(~F.col("signs").contains("."))
+    heads = settle(
+        banded.groupBy(F.col("band").alias("band_k"), F.col("signs").alias("signs_k"))
+        .agg(F.min(F.struct("id", "print")).alias("head"), F.count("*").alias("n"))
+        .filter("n > 1"),
+        "fingerprint-buckets",
+    )
+    pairs = banded.join(
+        heads, (F.col("band") == F.col("band_k")) & (F.col("signs") == F.col("signs_k"))
+    ).filter("id > head.id").select("id", "print", F.col("head.id").alias("head"), F.col("head.print").alias("other"))
+
+    def verified(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            keep = [likeness(a, b) >= least for a, b in zip(frame["print"], frame["other"])]
+            yield pd.DataFrame({"u": frame["id"][keep], "v": frame["head"][keep]})
+
+    roots = components(pairs.distinct().mapInPandas(verified, "u long, v long"))
+    joined = given.select("id").join(roots, F.col("id") == F.col("node"), "left")
+    return joined.select(F.col("id").alias(id_col), F.coalesce("root", "id").alias("group_id"))
