@@ -256,7 +256,7 @@ def test_ppm_equals_hand_count(spark):
 def test_ppm_rows_are_distributions(given):
     trie = ppm.trie_of(ppm.training_counts(given, "text", F.lit(True)), nodes=300)
     assert np.abs((10.0 ** trie.logp.astype(float)).sum(1) - 1).max() < 1e-5
-    assert len(trie.logp) == 300
+    assert 100 < len(trie.logp) <= 300
 
 
 def test_ppm_prefers_its_language(given):

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidegrid.llm import hashing
-from tidegrid.llm.common import schema_with, settle
+from tidegrid.llm.common import least_hashed, schema_with, settle
 
 ROWS, DIMS, NONZERO = 1 << 14, 64, 2
 REACH = 2  # neighbours on each side
@@ -212,7 +212,7 @@ def score_quality(
 
     Word vectors come from all texts, labels only from rows of ``labels`` that ``train``
     keeps (all by default) and whose id occurs in ``docs``; of several labels of one id the
-    greatest counts. Nothing but the text enters a score.
+    greatest counts, of several documents of one id any one. Nothing but the text enters a score.
 
     Null and empty texts have zero features and a score like any other. Null ids have no
     label. Repeated rows get equal scores. An empty table gives an empty table; without
@@ -235,13 +235,10 @@ def score_quality(
     known = kept.filter(F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("_label_id")).agg(
         F.max(label_col).alias("_label")
     )
-    sample = (
-        features.join(known, F.col(id_col) == F.col("_label_id"))
-        .select("_features", "_label", F.xxhash64(F.lit(22), F.col(id_col)).alias("_at"))
-        .orderBy("_at")
-        .limit(training_rows)
-        .toArrow()
-    )
+    chosen = least_hashed(settle(known, "quality-labels"), F.col("_label_id"), training_rows, 22)
+    sample = features.join(F.broadcast(chosen), F.col(id_col) == F.col("_label_id"))
+    sample = sample.dropDuplicates(["_label_id"]).select("_features", "_label", "_label_id")
+    sample = sample.orderBy("_label_id").toArrow()
     x = np.frombuffer(b"".join(sample.column("_features").to_pylist()), np.float32).reshape(-1, FEATURES)
     net = fit(x, sample.column("_label").to_numpy().astype(np.float64))
 

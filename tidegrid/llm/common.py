@@ -72,3 +72,33 @@ def residue(column: str | Column, modulus: int) -> Column:
     value = F.col(column) if isinstance(column, str) else column
     text = F.coalesce(value.cast("string"), F.lit(""))
     return F.crc32(F.encode(text, "UTF-8")) % modulus
+
+
+def least_hashed(df: DataFrame, key: Column, most: int, seed: int) -> DataFrame:
+    """At most ``most`` rows of ``df``, those of least hash of ``key``: a bounded sample.
+
+    Far more rows than that are thinned by hash before any are ordered, so that what meets
+    in one task stays bounded too.
+    """
+    place = free_name(df, "_least_hash")
+    hashed = df.withColumn(place, F.shiftrightunsigned(F.xxhash64(F.lit(seed), key), 1))
+    rows = df.count()
+    if rows > 2 * most:
+        hashed = hashed.filter(F.col(place) < int(2**63 * (1.5 * most / rows)))
+    return hashed.orderBy(place).limit(most).drop(place)
+
+
+def frequent(df: DataFrame, count: str, most: int) -> DataFrame:
+    """The rows of greatest ``count``, as many as whole classes of counts allow within ``most``.
+
+    Only a histogram of the counts, in steps of about one per cent, comes to the driver.
+    """
+    step = F.floor(F.log2(F.col(count).cast("double")) * 64).cast("int")
+    classes = df.groupBy(step.alias("step")).count().collect()
+    total, bound = 0, None
+    for row in sorted(classes, key=lambda r: -r["step"]):
+        total += row["count"]
+        if total > most:
+            break
+        bound = row["step"]
+    return df.filter(step >= bound) if bound is not None else df.limit(0)

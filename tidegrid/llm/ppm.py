@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidegrid.llm import hashing
-from tidegrid.llm.common import schema_with, settle
+from tidegrid.llm.common import frequent, schema_with, settle
 
 ORDER = 5
 SYMBOLS = 257  # bytes and the end of the text
@@ -104,8 +104,8 @@ def training_counts(docs: DataFrame, text_col: str, train: Column) -> DataFrame:
 def trie_of(counts: DataFrame, nodes: int = NODES) -> Trie:
     """The model from the grams' counts: the ``nodes`` most frequent contexts and their symbols.
 
-    What comes to the driver is bounded by ``nodes`` times the number of symbols. Ties go to
-    the shorter, then to the smaller context, so that a context's suffix is always there.
+    What comes to the driver is bounded by ``nodes`` times the number of symbols. A context
+    comes with its suffixes, which are at least as frequent.
     """
     grams = counts.filter("gram IS NOT NULL").select(
         F.floor(F.col("gram") / F.lit(SYMBOLS)).cast("long").alias("before"),
@@ -118,13 +118,8 @@ def trie_of(counts: DataFrame, nodes: int = NODES) -> Trie:
         "order", (F.col("before") % power).alias("context"), "symbol", "n"
     )
     symbols = settle(wide.groupBy("order", "context", "symbol").agg(F.sum("n").alias("n")), "ppm-contexts")
-    chosen = (
-        symbols.groupBy("order", "context")
-        .agg(F.sum("n").alias("total"))
-        .orderBy(F.desc("total"), "order", "context")
-        .limit(nodes)
-        .select("order", "context")
-    )
+    contexts = symbols.groupBy("order", "context").agg(F.sum("n").alias("total"))
+    chosen = frequent(contexts, "total", nodes).select("order", "context")
     table = symbols.join(F.broadcast(chosen), ["order", "context"]).toArrow()
     order, context, symbol, n = (
         table.column(c).to_numpy().astype(np.int64) for c in ("order", "context", "symbol", "n")
@@ -192,8 +187,7 @@ def score(
     totals = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     ends = counts.filter(F.col("gram") % SYMBOLS == END).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     n_train, kinds = totals[0] + ends, totals[1] + (ends > 0)
-    top = words.orderBy(F.desc("n"), "word").limit(common)
-    known = top.toArrow().combine_chunks()
+    known = frequent(words, "n", common).toArrow().combine_chunks()
     model = spark.sparkContext.broadcast(
         (
             trie_of(counts, nodes),

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidegrid.llm.common import SPACE, free_name, with_struct
+from tidegrid.llm.common import SPACE, free_name, least_hashed, with_struct
 
 WINDOW = 8  # words of a repeated window
 LEAST_WORDS = 20
@@ -194,9 +194,7 @@ def labelled_good(
         labels.groupBy(F.col("doc_id").alias(key))
         .agg(F.max("quality").alias("q"))
         .filter((F.col("q") == 1) & F.col(key).isNotNull())
-        .orderBy(F.xxhash64(F.lit(60), F.col(key)), key)
-        .limit(most)
-        .select(key, F.lit(True).alias(mark))
     )
+    good = least_hashed(good, F.col(key), most, 60).select(key, F.lit(True).alias(mark))
     joined = docs.join(F.broadcast(good), docs[id_col] == F.col(key), "left").drop(key)
     return joined, F.col(mark)
