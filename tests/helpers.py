@@ -29,7 +29,7 @@ def at(seconds: float) -> dt.datetime:
     return START + dt.timedelta(seconds=seconds)
 
 
-def rows(values, device="pil-90", domain="bio_signal", experience="EXP"):
+def rows(values, device="gauge.4", domain="bio_signal", experience="EXP"):
     """``values``: (seconds, m0, m1) triples, one row each, in source order."""
     return [
         (experience, device, domain, at(s).date(), at(s), i, m0, m1)
@@ -41,7 +41,7 @@ def frame(spark, data):
     return spark.createDataFrame(data, SCHEMA)
 
 
-def noisy(n=300, seed=1, step=1.0, nulls=0.15, device="pil-90"):
+def noisy(n=300, seed=1, step=1.0, nulls=0.15, device="gauge.4"):
     rng = random.Random(seed)
     out, t = [], 0.0
     for _ in range(n):

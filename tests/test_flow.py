@@ -61,7 +61,7 @@ def test_full_flow_then_slices_and_reruns(spark, tmp_path):
 
     events = read_run_events(spark, f"{root}/log")
     counts = {r.status: r["count"] for r in events.groupBy("status").count().collect()}
-    assert counts == {"start": 6, "success": 6}
+    assert counts == {"start": 6, "planned": 2, "success": 6}
     n_steps = spark.createDataFrame([("demo", 6)], ["flow", "n_steps"])
     assert H.run_status(events, "r1", n_steps).first().status == "success"
 
@@ -90,10 +90,13 @@ def test_parameters(spark):
 
 def test_selecting_steps():
     flow = [FlowStep("parse"), FlowStep("clean", name="first"), FlowStep("clean", name="second"), FlowStep("aggregate")]
-    assert [s.id for s in FL.select_steps(flow, first="first", last="second")] == ["first", "second"]
-    assert [s.id for s in FL.select_steps(flow, only="aggregate")] == ["aggregate"]
+    assert FL.step_range(flow, first="first", last="second") == range(1, 3)
+    assert FL.step_range(flow, only="aggregate") == range(3, 4)
+    assert FL.step_range(flow) == range(4)
     with pytest.raises(ValueError, match="not in flow"):
-        FL.select_steps(flow, only="clean")
+        FL.step_range(flow, only="clean")
+    with pytest.raises(ValueError, match="several steps"):
+        FL.step_range([FlowStep("clean"), FlowStep("clean")], first="clean")
 
 
 def test_errors_are_logged_and_raised(spark, tmp_path):

@@ -40,8 +40,8 @@ def test_narrowed_quantiles_equal_numpy(spark, bins):
 def test_column_without_values_gives_no_bounds(spark):
     df = frame(spark, rows([(0, None, 1.0), (1, None, 2.0)]))
     for split in (False, True):
-        assert set(bounds(N.fit_percentile(df, split=split))) == {("pil-90", "m1")}
-    assert set(bounds(N.fit_minmax(df))) == {("pil-90", "m1")}
+        assert set(bounds(N.fit_percentile(df, split=split))) == {("gauge.4", "m1")}
+    assert set(bounds(N.fit_minmax(df))) == {("gauge.4", "m1")}
 
 
 def test_last_days_count_from_the_newest_day_of_any_device(spark):
@@ -54,7 +54,7 @@ def test_last_days_count_from_the_newest_day_of_any_device(spark):
 def test_scaling_and_clipping(spark):
     df = frame(spark, rows([(0, 0, 0.0), (1, 50, None), (2, 100, 1.0)]))
     params = spark.createDataFrame(
-        [("EXP", "pil-90", "m0", 20.0, 80.0), ("EXP", "pil-90", "m1", 3.0, 3.0)],
+        [("EXP", "gauge.4", "m0", 20.0, 80.0), ("EXP", "gauge.4", "m1", 3.0, 3.0)],
         ["experience", "device_id", "column", "lo", "hi"],
     )
     out = to_pandas(N.normalize(df, params))
@@ -67,7 +67,7 @@ def test_scaling_and_clipping(spark):
 
 def test_nulls_stay_null_when_clipped(spark):
     df = frame(spark, rows([(0, None, None), (1, 5, 5.0)]))
-    out = to_pandas(N.normalize(df, N.fit(frame(spark, hundred("pil-90")))))
+    out = to_pandas(N.normalize(df, N.fit(frame(spark, hundred("gauge.4")))))
     assert_close(out.m0, [None, (5 - 1.98) / (97.02 - 1.98)])
 
 
@@ -99,5 +99,5 @@ def test_join_is_not_broadcast_beyond_the_bound(spark):
     from tidegrid.keys import broadcast_if_small
 
     df = spark.range(100).withColumn("x", F.lit(1))
-    assert "ResolvedHint" in broadcast_if_small(df, 100)._jdf.queryExecution().analyzed().toString()
-    assert "ResolvedHint" not in broadcast_if_small(df, 99)._jdf.queryExecution().analyzed().toString()
+    assert "ResolvedHint" in broadcast_if_small(df, 200)._jdf.queryExecution().analyzed().toString()
+    assert "ResolvedHint" not in broadcast_if_small(df, 199)._jdf.queryExecution().analyzed().toString()

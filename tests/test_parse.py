@@ -23,7 +23,7 @@ def parse(spark, folder, **options):
 def test_types_days_and_metadata(spark, tmp_path):
     path = write(
         tmp_path / "raw",
-        "MY_EXP_pil-90_2026-01-20.csv",
+        "MY_EXP_gauge.4_2026-01-20.csv",
         "2026-01-20T23:59:59.900000Z;m0:10;m10:3.0;m2:3.7;outdoor_temp:18.94\n"
         "2026-01-21T00:00:01Z;m0:hello;outdoor_temp:broken\n",
     )
@@ -33,7 +33,7 @@ def test_types_days_and_metadata(spark, tmp_path):
     first, second = bio.collect()
     assert (first.m0, first.m2, first.m10) == (10, None, 3)
     assert (second.m0, str(first.day), str(second.day)) == (None, "2026-01-20", "2026-01-21")
-    assert (first.experience, first.device_id) == ("MY-EXP", "pil-90")
+    assert (first.experience, first.device_id) == ("MY-EXP", "gauge.4")
     temps = [r.outdoor_temp for r in tables["environment"].orderBy("ts").collect()]
     assert temps == [18.94, None]
 
@@ -68,9 +68,9 @@ def test_malformed_time_and_missing_date_raise(spark):
 
 
 def test_names_without_experience(spark):
-    df = spark.createDataFrame([("pil-90_2026-01-20.csv",), ("A_B_c_2026-01-20_x.csv",)], ["source_file"])
+    df = spark.createDataFrame([("gauge.4_2026-01-20.csv",), ("A_B_c_2026-01-20_x.csv",)], ["source_file"])
     got = {(r.experience, r.device_id) for r in raw.source_metadata(df).collect()}
-    assert got == {("", "pil-90"), ("A_B", "c")}
+    assert got == {("", "gauge.4"), ("A_B", "c")}
 
 
 @pytest.mark.parametrize(

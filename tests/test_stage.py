@@ -85,8 +85,8 @@ def test_files_named_by_device_and_day(spark, tmp_path):
     folder = root / "domain=bio_signal"
     folder.mkdir(parents=True)
     data = frame(spark, rows([(0, 1, 1.0)])).select("ts", "m0").toPandas()
-    data.to_parquet(folder / "EXP__pil-90__clean__2026-01-20.parquet", index=False)
-    data.to_parquet(folder / "EXP__pil-90__aggregated__60s__2026-01-21.parquet", index=False)
+    data.to_parquet(folder / "EXP__gauge.4__clean__2026-01-20.parquet", index=False)
+    data.to_parquet(folder / "EXP__gauge.4__aggregated__60s__2026-01-21.parquet", index=False)
     data.to_parquet(root / "stray.parquet", index=False)
     got = read_file_stage(spark, str(root)).orderBy("day").collect()
     assert got[0].ts == at(0).replace(tzinfo=None)

@@ -207,7 +207,7 @@ def sink_csv(spark, sf_dir):
     part = {"start": "2024-01-08T06:00:00", "end": "2024-01-09"}
     X.export_csv(df, path, CSV_COLUMNS, **options, **part, run_from=part["start"], run_to=part["end"])
     like = X.export_rows(df, CSV_COLUMNS, **options)
-    return X.read_csv_export(spark, path, like)
+    return X.read_csv_export(spark, path, like, "1h")
 
 
 @QUERIES.add(
@@ -218,7 +218,7 @@ def sink_parquet(spark, sf_dir):
     path = scratch_path(spark, "parquet")
     names = {"m0__raw__mean": "mean", "absent": "none", "m1__raw__max": "top"}
     X.export_parquet(aggregated(spark, sf_dir), path, names, window="6h", domain="bio_signal")
-    return round_all(spark.read.parquet(path))
+    return round_all(X.read_parquet_export(spark, path, "6h"))
 
 
 LONG = """SELECT bucket AS ts, device_id, round_even(max(m0__raw__mean) * 1000000.0, 0) / 1000000.0 AS m0__raw__mean, max(m0__raw__max) AS m0__raw__max,

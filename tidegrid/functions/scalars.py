@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from datetime import datetime, timezone
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidegrid.keys import DAY_MICROS
@@ -22,6 +22,7 @@ UNIT_MICROS = {
 
 # What counts as a number in a raw field.
 NUMBER_PATTERN = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
+DIGITS_PATTERN = r"^\s*[+-]?\d+\s*$"
 INFINITY_PATTERN = r"^\s*[+-]?(?i:inf|infinity)\s*$"
 
 
@@ -50,7 +51,9 @@ def coerce_float(col: Column) -> Column:
 def coerce_int(col: Column) -> Column:
     """Text to long; fractional, infinite or malformed values are null."""
     value = F.when(col.rlike(NUMBER_PATTERN), col.try_cast("double"))
-    return F.when(value == F.rint(value), value.try_cast("long"))
+    # Digits alone are read as they stand: a double holds only 53 bits of them.
+    digits = F.when(col.rlike(DIGITS_PATTERN), F.trim(col).try_cast("long"))
+    return F.coalesce(digits, F.when(value == F.rint(value), value.try_cast("long")))
 
 
 def drop_nan(col: Column) -> Column:
@@ -58,6 +61,12 @@ def drop_nan(col: Column) -> Column:
     return F.when(~F.isnan(col), col)
 
 
+def without_nan(df: DataFrame) -> DataFrame:
+    """A table as the data model has it: no NaN in any floating column."""
+    floating = [c for c, t in df.dtypes if t in ("double", "float")]
+    return df.withColumns({c: drop_nan(F.col(f"`{c}`")) for c in floating}) if floating else df
+
+
 def round_even(col: Column, decimals: int = 0) -> Column:
     """Round half to even, as numpy does (``round`` in Spark rounds half up)."""
     scale = F.lit(float(10**decimals))

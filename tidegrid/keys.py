@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # One key is one device's readings of one domain on one day.
@@ -18,8 +18,8 @@ RESERVED = frozenset((*KEYS, TS, SEQ, "window", "source_file"))
 ROWS_PER_TASK = 5_000_000
 # Length of such a slice. 144 slices a day; 600 rows each at 1 Hz.
 SLICE = "10min"
-# Rows of a table that may be broadcast; checked, never assumed.
-BROADCAST_ROWS = 200_000
+# Cells (rows times columns) of a table that may be broadcast, some 30 MB; checked, never assumed.
+BROADCAST_CELLS = 2_000_000
 
 DAY_MICROS = 86_400_000_000
 
@@ -49,16 +49,21 @@ def needs_slices(
     return largest_group(df, keys) > limit
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+def broadcast_if_small(df: DataFrame, max_cells: int = BROADCAST_CELLS) -> DataFrame:
     """Broadcast hint only when a count shows ``df`` is small.
 
     Beyond the bound the join is left to Spark: a shuffled join, with AQE
     splitting the partitions of hot keys.
     """
+    max_rows = max_cells // max(1, len(df.columns))
     if df.limit(max_rows + 1).count() <= max_rows:
         return F.broadcast(df)
     return df
 
 
-def columns_of(names: Sequence[str]) -> list[Column]:
-    return [F.col(n) for n in names]
+def null_safe_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on equal columns, null being equal to null; the left side's columns are kept."""
+    renamed = {c: f"_join_{c}" for c in on}
+    other = right.withColumnsRenamed(renamed)
+    same = [left[c].eqNullSafe(other[r]) for c, r in renamed.items()]
+    return left.join(other, same, how).drop(*renamed.values())

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegrid.functions.scalars import bucket_start, micros_of
-from tidegrid.keys import KEYS, SEQ, SLICE, TS, data_columns, needs_slices
+from tidegrid.keys import KEYS, SEQ, SLICE, TS, data_columns, needs_slices, null_safe_join
 from tidegrid.operators.columns import outside
 from tidegrid.session import cut_lineage
 
@@ -36,9 +36,11 @@ def drop_duplicates(
 def _drop_repeats_in_order(df: DataFrame, keys: Sequence[str], ts: str, seq: str) -> DataFrame:
     """Same result from the sort the rolling median needs anyway."""
     w = Window.partitionBy(*keys).orderBy(ts, seq)
+    # Null only before the first row: null times equal each other.
+    previous = F.lag(F.struct(ts)).over(w)
     return (
-        df.withColumn("_previous", F.lag(ts).over(w))
-        .filter(F.col("_previous").isNull() | (F.col("_previous") != F.col(ts)))
+        df.withColumn("_previous", previous)
+        .filter(F.col("_previous").isNull() | ~F.col("_previous")[ts].eqNullSafe(F.col(ts)))
         .drop("_previous")
     )
 
@@ -139,7 +141,7 @@ def _neighbours_in_slices(
         F.flatten(F.collect_list("_tail").over(earlier)).alias("_earlier"),
         F.flatten(F.collect_list("_head").over(later)).alias("_later"),
     )
-    df = df.join(edges, part, "left")
+    df = null_safe_join(df, edges, part, "left")
     found = {}
     for k in offsets:
         if k > 0:
@@ -258,17 +260,16 @@ def clean(
 
 def quality_metrics(df: DataFrame, *, keys: Sequence[str] = KEYS, ts: str = TS, **rules) -> DataFrame:
     """Per key: rows in and out, duplicates dropped, values nulled by bounds and by spikes."""
-    rows_in = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows_in"))
-    done = (
-        clean(df, keys=keys, ts=ts, counts=True, **rules)
-        .groupBy(*keys)
-        .agg(
-            F.count(F.lit(1)).alias("rows_out"),
-            F.sum("_bounds").alias("bounds_nulled"),
-            F.sum("_spikes").alias("spikes_nulled"),
-        )
+    # Copies of a time are counted where they are dropped, so the input is read once.
+    copies = df.withColumn("_copies", F.count(F.lit(1)).over(Window.partitionBy(*keys, ts)))
+    sensors = rules.pop("columns", None) or data_columns(df)
+    done = clean(copies, keys=keys, ts=ts, counts=True, columns=sensors, **rules).groupBy(*keys).agg(
+        (F.sum("_copies") if rules.get("drop_dups", True) else F.count(F.lit(1))).alias("rows_in"),
+        F.count(F.lit(1)).alias("rows_out"),
+        F.sum("_bounds").alias("bounds_nulled"),
+        F.sum("_spikes").alias("spikes_nulled"),
     )
-    return rows_in.join(done, list(keys)).select(
+    return done.select(
         *keys,
         "rows_in",
         "rows_out",

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegrid.functions import names
-from tidegrid.keys import KEYS, SEQ, TS, data_columns
+from tidegrid.keys import KEYS, SEQ, TS, broadcast_if_small, data_columns
 
 
 def first_per(df: DataFrame, by: Sequence[str], order: Sequence[Column | str]) -> DataFrame:
@@ -18,11 +18,19 @@ def first_per(df: DataFrame, by: Sequence[str], order: Sequence[Column | str]) -
 
 
 def merge_append(
-    existing: DataFrame, new: DataFrame, keys: Sequence[str] = KEYS, ts: str = TS, seq: str = SEQ
+    existing: DataFrame,
+    new: DataFrame,
+    keys: Sequence[str] = KEYS,
+    ts: str = TS,
+    seq: str = SEQ,
+    prefer: str = "existing",
 ) -> DataFrame:
-    """Add rows to existing keys; where a timestamp repeats, the existing row wins."""
-    both = existing.withColumn("_age", F.lit(0)).unionByName(
-        new.withColumn("_age", F.lit(1)), allowMissingColumns=True
+    """Add rows to existing keys; where a timestamp repeats, the ``prefer`` side wins."""
+    if prefer not in ("existing", "new"):
+        raise ValueError(f"prefer must be 'existing' or 'new', not {prefer!r}")
+    first = prefer == "existing"
+    both = existing.withColumn("_age", F.lit(0 if first else 1)).unionByName(
+        new.withColumn("_age", F.lit(1 if first else 0)), allowMissingColumns=True
     )
     order = ["_age", seq] if seq in both.columns else ["_age"]
     return first_per(both, [*keys, ts], order).drop("_age")
@@ -58,7 +66,7 @@ def replace_range(existing: DataFrame, batch: DataFrame, ts: str = TS, day: str
     """Per day, rows between the batch's first and last timestamp give way to the batch."""
     ranges = batch.groupBy(day).agg(F.min(ts).alias("_from"), F.max(ts).alias("_to"))
     kept = (
-        existing.join(ranges, day, "left")
+        existing.join(broadcast_if_small(ranges), day, "left")
         .filter(F.col("_from").isNull() | ~F.col(ts).between(F.col("_from"), F.col("_to")))
         .drop("_from", "_to")
     )

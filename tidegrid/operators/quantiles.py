@@ -15,7 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidegrid.keys import broadcast_if_small, needs_slices
+from tidegrid.keys import broadcast_if_small, needs_slices, null_safe_join
 from tidegrid.session import cut_lineage
 
 BINS = 4096
@@ -71,8 +71,14 @@ def _bin_of(value: Column, low: Column, high: Column, bins: int) -> Column:
 
 
 def _by_narrowing(values: DataFrame, part: list[str], probs: list[float], bins: int) -> DataFrame:
+    # Infinite values lie at the ends whatever the range; the search is among the finite ones.
+    finite = F.when(F.abs("value") < float("inf"), F.col("value"))
     bounds = values.groupBy(*part).agg(
-        F.min("value").alias("low"), F.max("value").alias("high"), F.count("value").alias("n")
+        F.min(finite).alias("low"),
+        F.max(finite).alias("high"),
+        F.count("value").alias("n"),
+        F.count_if(F.col("value") == float("-inf")).alias("below"),
+        F.count_if(F.col("value") == float("inf")).alias("above"),
     )
     # The two ranks around each quantile, counted from 0.
     exact_rank = F.lit(None)
@@ -86,17 +92,24 @@ def _by_narrowing(values: DataFrame, part: list[str], probs: list[float], bins:
             "n",
             "low",
             "high",
-            F.lit(0).cast("long").alias("below"),
+            "below",
+            "above",
             F.explode(F.array_distinct(F.array(*wanted))).alias("rank"),
         ),
         "ranks",
     )
-    found = search.filter("low = high").select(*part, "n", "rank", F.col("low").alias("value"))
-    opened = search.filter("low < high")
+    low_end, high_end = F.col("rank") < F.col("below"), F.col("rank") >= F.col("n") - F.col("above")
+    at_end = (
+        F.when(low_end, F.lit(float("-inf"))).when(high_end, F.lit(float("inf"))).otherwise(F.col("low"))
+    )
+    found = search.filter(low_end | high_end | F.expr("low = high")).select(
+        *part, "n", "rank", at_end.alias("value")
+    )
+    opened = search.filter(~low_end & ~high_end & F.expr("low < high")).drop("above")
     pieces = [found]
     while not opened.isEmpty():
         ranges = opened.select(*part, "low", "high", "below", "n").distinct()
-        hits = values.join(broadcast_if_small(ranges), part).filter(
+        hits = null_safe_join(values, broadcast_if_small(ranges), part).filter(
             F.col("value").between(F.col("low"), F.col("high"))
         )
         histogram = (
@@ -113,8 +126,8 @@ def _by_narrowing(values: DataFrame, part: list[str], probs: list[float], bins:
         )
         placed = histogram.withColumn("_upto", F.col("below") + F.sum("_in").over(run))
         narrowed = (
-            placed.join(
-                opened.select(*part, "low", "high", "rank"), [*part, "low", "high"]
+            null_safe_join(
+                placed, opened.select(*part, "low", "high", "rank"), [*part, "low", "high"]
             )
             .filter(
                 (F.col("rank") < F.col("_upto"))
@@ -145,6 +158,8 @@ def _by_narrowing(values: DataFrame, part: list[str], probs: list[float], bins:
         rank = (F.col("n") - 1) * F.lit(float(p))
         low = F.element_at("_at", F.floor(rank).cast("long"))
         high = F.element_at("_at", F.ceil(rank).cast("long"))
-        return low + (high - low) * (rank - F.floor(rank))
+        return F.when(low == high, low).otherwise(
+            low * (F.ceil(rank) - rank) + high * (rank - F.floor(rank))
+        )
 
     return at_rank.select(*part, F.array(*[quantile(p) for p in probs]).alias("quantiles"))

@@ -14,16 +14,16 @@ from dataclasses import dataclass, field
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from tidegrid.functions.scalars import parse_iso_utc
-from tidegrid.keys import SEQ, data_columns
+from tidegrid.functions.names import domain_columns
+from tidegrid.functions.scalars import parse_iso_utc, without_nan
+from tidegrid.keys import SEQ, data_columns, needs_slices
 from tidegrid.operators import aggregate, clean, columns, grid, normalize
 from tidegrid.plans import history
 from tidegrid.session import cut_lineage
 from tidegrid.sinks.params import load_params, save_params
 from tidegrid.sinks.stage import write_stage
-from tidegrid.sources.raw import domain_columns_of, parsed_lines, type_domains, type_rows
+from tidegrid.sources.raw import available_keys, domain_columns_of, parsed_lines, read_lines, type_domains, type_rows
 from tidegrid.sources.stage import read_stage
 
 REQUIRED = object()
@@ -103,6 +103,8 @@ def _lines(p: dict) -> DataFrame:
         delimiter=p["delimiter"],
         tz=p["tz"],
         substitutions=p["file_name_substitute"],
+        start=p["_start"],
+        end=p["_end"],
     )
 
 
@@ -113,8 +115,9 @@ def _parse(tables: Tables, p: dict) -> Tables:
 def _parse_and_write(p: dict, path: str, mode: str, start, end) -> Tables:
     """Parse into a stage table: one pass over the text for all domains."""
     lines = _lines(p)
-    columns_of = domain_columns_of(lines, p["domains"], p["keys"])
-    rows = type_rows(lines, p["domains"], p["keys"])
+    keys = available_keys(lines, p["domains"], p["keys"])
+    columns_of = domain_columns_of(lines, p["domains"], keys)
+    rows = type_rows(lines, p["domains"], keys)
     write_stage(columns.range_filter(rows, start, end), path, mode, start, end)
     stage = read_stage(p["_spark"], path)
     common = [c for c in ("source_file", "seq", "experience", "device_id", "domain", "day", "ts") if c in rows.columns]
@@ -261,24 +264,25 @@ class FlowStep:
     end: Any = None
     output: str | None = None
 
-    @property
-    def id(self) -> str:
-        return self.name or self.step
 
+def label_of(entry: FlowStep) -> str:
+    """What a step is called in a flow: its own name, or what it does."""
+    return entry.step if entry.name is None else entry.name
 
-def select_steps(
+
+def step_range(
     steps: Sequence[FlowStep], only: str | None = None, first: str | None = None, last: str | None = None
-) -> list[FlowStep]:
-    """One step, or an inclusive range of steps, by name or type."""
-    ids = [s.id for s in steps]
-    for wanted in (only, first, last):
-        if wanted is not None and wanted not in ids:
-            raise ValueError(f"step {wanted!r} not in flow: {ids}")
-    if only is not None:
-        return [s for s in steps if s.id == only]
-    begin = ids.index(first) if first is not None else 0
-    stop = ids.index(last) + 1 if last is not None else len(steps)
-    return list(steps[begin:stop])
+) -> range:
+    """Positions of one step, or of an inclusive range. A label that two steps share is no address."""
+    labels = [label_of(s) for s in steps]
+    places: dict[str, int] = {}
+    for wanted in {only, first, last} - {None}:
+        if labels.count(wanted) != 1:
+            problem = "not in flow" if wanted not in labels else "the name of several steps in"
+            raise ValueError(f"step {wanted!r} {problem}: {labels}")
+        places[wanted] = labels.index(wanted)
+    lowest, highest = (only, only) if only is not None else (first, last)
+    return range(places.get(lowest, 0), places.get(highest, len(steps) - 1) + 1)
 
 
 def shared_params(steps: Sequence[FlowStep], params: Mapping[str, Any]) -> list[dict[str, Any]]:
@@ -327,39 +331,53 @@ def run_flow(
     ``end`` replace the flow's. Parameters: step defaults, then ``params``, then
     the step's, then ``overrides``.
     """
-    chosen = select_steps(steps, only, first, last)
+    chosen = step_range(steps, only, first, last)
     shared = shared_params(steps, params or {})
     forced = shared_params(steps, overrides or {})
-    layers = {s.id: (a, s.params, b) for s, a, b in zip(steps, shared, forced)}
     if start is not None and end is not None and parse_iso_utc(start) > parse_iso_utc(end):
         raise ValueError("start must not be after end")
     run_id = run_id or history.new_run_id()
     from_stage = False
-    if tables is None and chosen and chosen[0].step != "parse":
-        tables = _stage_before(steps, chosen[0], spark)
+    if tables is None and chosen and steps[chosen[0]].step != "parse":
+        tables = _stage_before(steps, chosen[0], spark, shared, forced)
         from_stage = True
+    tables = None if tables is None else {d: without_nan(t) for d, t in tables.items()}
     first_step, stored = True, from_stage
-    for entry in chosen:
+    split: bool | None = None
+    planned: list[Callable[..., None]] = []
+    for at in chosen:
+        entry = steps[at]
         step = _step(entry.step)
-        values = resolve_params(step, *layers[entry.id])
+        values = resolve_params(step, shared[at], entry.params, forced[at])
         own_start = entry.start if entry.start is not None else start
         own_end = entry.end if entry.end is not None else end
         values["_stored"] = stored
         if entry.step == "parse":
-            values.update(_spark=spark, _input=source)
+            values.update(_spark=spark, _input=source, _start=own_start, _end=own_end)
         elif first_step or entry.start is not None or entry.end is not None:
             tables = _in_window(tables, own_start, own_end)
+        if values.get("split", False) is None:
+            # Asked once for the whole chain: later steps never have more rows of a key.
+            if split is None:
+                split = any(needs_slices(t) for t in (tables or {}).values())
+            values["split"] = split
         began = time.perf_counter()
 
-        def note(status: str, **more) -> None:
+        def note(
+            status: str, name=entry.step, out=entry.output or "", since=_text(own_start), until=_text(own_end), **more
+        ) -> None:
             if events_path and spark is not None:
                 history.log_event(
-                    spark, events_path, entry.step, status, output_dir=entry.output or "",
-                    run_id=run_id, flow=flow, time_from=_text(own_start), time_to=_text(own_end), **more,
+                    spark, events_path, name, status, output_dir=out,
+                    run_id=run_id, flow=flow, time_from=since, time_to=until, **more,
                 )
 
         note("start", params={k: v for k, v in values.items() if not k.startswith("_")})
         try:
+            if step.run is _parse and _nothing_to_read(values):
+                # No raw file of the window: nothing is written, nothing is replaced.
+                note("skip", duration_ms=(time.perf_counter() - began) * 1000)
+                return {}
             if entry.output and step.run is _parse:
                 tables = _parse_and_write(values, entry.output, output_mode, own_start, own_end)
             else:
@@ -367,7 +385,10 @@ def run_flow(
                 if entry.step == "parse":
                     tables = _in_window(tables, own_start, own_end)
                 if entry.output:
-                    write_stage(columns.stack_domains(tables), entry.output, output_mode, own_start, own_end)
+                    # A later run's results replace earlier ones of the same time.
+                    write_stage(
+                        columns.stack_domains(tables), entry.output, output_mode, own_start, own_end, prefer="new"
+                    )
                     tables = {
                         d: columns.range_filter(_domain_stage(t, entry.output, d), own_start, own_end)
                         for d, t in tables.items()
@@ -375,7 +396,15 @@ def run_flow(
         except Exception as problem:
             note("error", error=str(problem), duration_ms=(time.perf_counter() - began) * 1000)
             raise
-        note("success", duration_ms=(time.perf_counter() - began) * 1000)
+        if entry.output:
+            # Writing has computed this step and those that waited for it.
+            for done in planned:
+                done("success")
+            planned = []
+            note("success", duration_ms=(time.perf_counter() - began) * 1000)
+        else:
+            note("planned")
+            planned.append(note)
         first_step, stored = False, bool(entry.output)
     return tables or {}
 
@@ -389,26 +418,50 @@ def _domain_stage(like: DataFrame, path: str, domain: str) -> DataFrame:
     return stage.select(*[c for c in like.columns if c in stage.columns])
 
 
-def _stage_before(steps: Sequence[FlowStep], entry: FlowStep, spark: SparkSession | None) -> Tables:
-    """Tables of the step that precedes ``entry``, read from where it was written."""
-    before = list(steps)[: [s.id for s in steps].index(entry.id)]
+def _nothing_to_read(values: dict) -> bool:
+    """Whether a window leaves no raw file to read; names are looked at, not contents."""
+    if values["_start"] is None and values["_end"] is None:
+        return False
+    lines = read_lines(values["_spark"], values["_input"], values["_start"], values["_end"], values["tz"])
+    return lines.select("source_file").isEmpty()
+
+
+def _stage_before(
+    steps: Sequence[FlowStep],
+    position: int,
+    spark: SparkSession | None,
+    shared: Sequence[Mapping[str, Any]],
+    forced: Sequence[Mapping[str, Any]],
+) -> Tables:
+    """Tables of the step before ``position``, read from where it was written."""
+    before = list(steps)[:position]
     if spark is None or not before or not before[-1].output:
-        raise ValueError(f"nothing to start {entry.id!r} from: pass tables or give the step before it an output")
+        raise ValueError(
+            f"nothing to start {label_of(steps[position])!r} from: pass tables or give the step before it an output"
+        )
+    specs: Mapping[str, Mapping] = DOMAIN_SPEC
+    for i, entry in enumerate(before):
+        if entry.step == "parse":
+            specs = resolve_params(_step("parse"), shared[i], entry.params, forced[i])["domains"]
     stage = read_stage(spark, before[-1].output)
     # One row per domain.
     found = [r["domain"] for r in stage.select("domain").distinct().collect()]
-    parts = {}
-    for domain in sorted(found):
-        table = columns.keep_domains(stage, [domain])
-        parts[domain] = _drop_absent(table)
-    return parts
-
-
-def _drop_absent(df: DataFrame) -> DataFrame:
-    """Leave out sensor columns a domain never fills: they belong to other domains."""
-    names = data_columns(df)
-    filled = df.agg(*[F.count(c).alias(c) for c in names]).first()
-    return df.drop(*[c for c in names if not filled[c]])
+    return {d: _own_columns(columns.keep_domains(stage, [d]), d, specs) for d in sorted(found)}
+
+
+def _own_columns(df: DataFrame, domain: str, specs: Mapping[str, Mapping]) -> DataFrame:
+    """Leave out what other domains declare; the sensor is the name up to the first ``__``.
+
+    Columns that no domain declares, or this one does, stay, filled or not.
+    """
+    sensors = {c: c.split("__")[0] for c in data_columns(df)}
+    owners: dict[str, set[str]] = {}
+    for name, spec in specs.items():
+        given = {c: c for c in sensors.values()} | {new: old for old, new in spec.get("rename", {}).items()}
+        for sensor in set(sensors.values()):
+            if domain_columns([given[sensor]], spec):
+                owners.setdefault(sensor, set()).add(name)
+    return df.drop(*[c for c, s in sensors.items() if domain not in owners.get(s, {domain})])
 
 
 def reprocess(

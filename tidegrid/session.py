@@ -81,3 +81,18 @@ def cut_lineage(df: DataFrame, label: str = "cut") -> DataFrame:
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+def delete_paths(spark: SparkSession, paths: list[str]) -> None:
+    """Delete folders in whatever store they lie. Needs a session with a JVM of its own."""
+    for path in paths:
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def folder_path(spark: SparkSession, values: list[tuple[str, object]]) -> str:
+    """The folders of a partition, with its values escaped as Spark writes them."""
+    utils = spark.sparkContext._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils
+    return "/".join(
+        utils.getPartitionPathString(name, None if value is None else str(value)) for name, value in values
+    )

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,8 +26,9 @@ from tidegrid.operators.merge import (
     replace_range,
     upsert_devices,
 )
-from tidegrid.session import cut_lineage
+from tidegrid.session import cut_lineage, delete_paths, folder_path
 from tidegrid.sinks.stage import RECORDS_PER_FILE, read_if_exists
+from tidegrid.sources.stage import read_typed
 
 # Windows exported when none are named.
 EXPORT_WINDOWS = ("10s", "60s", "5min", "1h")
@@ -60,17 +62,46 @@ def export_rows(
     return format_columns(out, {v["name"]: v for v in present.values()})
 
 
-def _per_device(df: DataFrame, order: str):
-    """Files in time order under ``device_id=…``; a big device spans several files."""
+LOCAL_DAY = "local_day"
+
+
+def export_folder(spark, path: str, window: str | None) -> str:
+    """Where the export of one window lies: exports of other windows are never touched."""
+    return f"{path}/{folder_path(spark, [('window', window)])}"
+
+
+def _write_devices(rows: DataFrame, folders: Sequence[str], order: str):
+    """Files in time order under ``device_id=…``; a big device spans several files.
+
+    Only the folders that ``rows`` fill are replaced.
+    """
     return (
-        df.repartitionByRange("device_id", order)
-        .sortWithinPartitions("device_id", order)
+        rows.repartitionByRange(*folders, order)
+        .sortWithinPartitions(*folders, order)
         .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
         .option("maxRecordsPerFile", RECORDS_PER_FILE)
-        .partitionBy("device_id")
+        .partitionBy(*folders)
     )
 
 
+def _header(spark, folder: str) -> list[str] | None:
+    """Columns of an earlier export; all its files have the same."""
+    try:
+        found = spark.read.option("sep", ";").option("header", "true").csv(folder)
+    except AnalysisException as problem:
+        if problem.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
+    return [c for c in found.columns if c not in ("device_id", LOCAL_DAY)] or None
+
+
+def _read_csv(spark, folder: str, header: Sequence[str], types: Mapping[str, str]) -> DataFrame:
+    fields = [f"`{c}` {types.get(c, 'string')}" for c in header]
+    schema = ", ".join([*fields, "device_id string", f"{LOCAL_DAY} string"])
+    return spark.read.schema(schema).option("sep", ";").option("header", "true").csv(folder)
+
+
 def export_csv(
     df: DataFrame,
     path: str,
@@ -84,28 +115,59 @@ def export_csv(
     run_from=None,
     run_to=None,
 ) -> DataFrame:
-    """Write ``;``-separated files per device; nulls are empty.
+    """Write ``;``-separated files per window, device and local day; nulls are empty.
 
-    With a run window only the rows of that window are replaced in an earlier
-    export, compared in local time. Returns first and last local date and row
-    count per device.
+    An export replaces the earlier files of its own devices and window only. With a run
+    window it replaces the rows of that window, compared in local time, and rewrites only
+    the local days it touches. All files of a window have the same columns: one that a
+    batch lacks stays, empty, and one that it brings is added to the earlier files.
+    Returns first and last local date and row count per device.
     """
     spark = df.sparkSession
     rows = export_rows(df, columns, tz=tz, start=start, end=end, window=window, domain=domain)
-    if run_from is not None or run_to is not None:
-        try:
-            old = read_csv_export(spark, path, rows)
-        except Exception as problem:
-            if "PATH_NOT_FOUND" not in str(problem):
-                raise
-            old = None
-        if old is not None:
+    folder = export_folder(spark, path, window)
+    day = F.substr("Time", F.lit(1), F.lit(10))
+    types = dict(rows.dtypes)
+    header = _header(spark, folder)
+    partial = run_from is not None or run_to is not None
+    gone: list[str] = []
+    if header is not None:
+        declared = [v if isinstance(v, str) else v["name"] for v in columns.values()]
+        known = {*header, *rows.columns}
+        names_ = [c for c in dict.fromkeys([*header[:1], *declared, *header]) if c in known and c != "device_id"]
+        rows = rows.select(
+            "device_id", *[F.col(c) if c in rows.columns else F.lit(None).cast("string").alias(c) for c in names_]
+        )
+        old = _read_csv(spark, folder, header, types)
+        widened = set(names_) - set(header)
+        if partial:
             wall = lambda t: None if t is None else S.local_time(S.moment(t), tz)
-            rows = merge_replace_window(old, rows, wall(run_from), wall(run_to), ts="Time")
+            low, high = wall(run_from), wall(run_to)
+            touched = old
+            if not widened:
+                if low is not None:
+                    touched = touched.filter(F.col(LOCAL_DAY) >= F.substr(low, F.lit(1), F.lit(10)))
+                if high is not None:
+                    touched = touched.filter(F.col(LOCAL_DAY) <= F.substr(high, F.lit(1), F.lit(10)))
+            before = touched.select("device_id", LOCAL_DAY).distinct()
+            rows = merge_replace_window(touched.drop(LOCAL_DAY), rows, low, high, ts="Time")
+        else:
+            if widened:
+                others = old.join(rows.select("device_id").distinct(), "device_id", "left_anti")
+                rows = rows.unionByName(others.drop(LOCAL_DAY), allowMissingColumns=True)
+            before = old.join(rows.select("device_id").distinct(), "device_id", "left_semi")
+            before = before.select("device_id", LOCAL_DAY).distinct()
+        # A folder cannot be overwritten while it is read: compute the rows first.
+        before = cut_lineage(before, "csv-before")
         rows = cut_lineage(rows, "csv")
-    _per_device(rows, "Time").option("sep", ";").option("header", "true").option(
-        "emptyValue", ""
-    ).csv(path)
+        left = rows.select("device_id", day.alias(LOCAL_DAY)).distinct()
+        # One row per device and day that has no rows any more: the folders to delete.
+        emptied = before.join(left, ["device_id", LOCAL_DAY], "left_anti").collect()
+        gone = [f"{folder}/{folder_path(spark, [(c, r[c]) for c in ('device_id', LOCAL_DAY)])}" for r in emptied]
+    delete_paths(spark, gone)
+    _write_devices(rows.withColumn(LOCAL_DAY, day), ("device_id", LOCAL_DAY), "Time").option("sep", ";").option(
+        "header", "true"
+    ).option("emptyValue", "").csv(folder)
     return rows.groupBy("device_id").agg(
         F.substr(F.min("Time"), F.lit(1), F.lit(10)).alias("first_date"),
         F.substr(F.max("Time"), F.lit(1), F.lit(10)).alias("last_date"),
@@ -113,17 +175,13 @@ def export_csv(
     )
 
 
-def read_csv_export(spark, path: str, like: DataFrame) -> DataFrame:
-    """Read an export back with the columns and types of ``like``."""
-    fields = [f for f in like.schema.fields if f.name != "device_id"]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
-    back = (
-        spark.read.schema(f"{schema}, device_id string")
-        .option("sep", ";")
-        .option("header", "true")
-        .csv(path)
+def read_csv_export(spark, path: str, like: DataFrame, window: str | None = None) -> DataFrame:
+    """Read the export of a window back with the columns and types of ``like``, by name."""
+    folder = export_folder(spark, path, window)
+    back = _read_csv(spark, folder, _header(spark, folder) or [], dict(like.dtypes))
+    return back.select(
+        *[F.col(c) if c in back.columns else F.lit(None).cast(t).alias(c) for c, t in like.dtypes]
     )
-    return back.select(like.columns)
 
 
 def export_parquet(
@@ -135,14 +193,21 @@ def export_parquet(
     domain: str | None = None,
     ts: str = TS,
 ) -> DataFrame:
-    """Parquet per device with optional selection and renaming; returns the span per device."""
+    """Parquet per window and device with optional selection and renaming.
+
+    Replaces the earlier files of its own devices and window only; returns the span per device.
+    """
     picked = select_aggregation(df, window, domain)
     picked = picked.select(ts, "device_id", *data_columns(picked))
     rows = select_rename(picked, columns or {}, keep=(ts, "device_id"))
-    _per_device(rows, ts).parquet(path)
+    _write_devices(rows, ("device_id",), ts).parquet(export_folder(df.sparkSession, path, window))
     return span(rows, ["device_id"], ts)
 
 
+def read_parquet_export(spark, path: str, window: str | None = None) -> DataFrame:
+    return read_typed(spark, export_folder(spark, path, window))
+
+
 # --- long tables -------------------------------------------------------------
 
 
@@ -252,7 +317,7 @@ def export_wide(
             days = batch.select("day").distinct()
             touched = old.join(days, "day", "left_semi")
             if mode == "append":
-                batch = touched.unionByName(batch, allowMissingColumns=True)
+                batch = _one_row_per_time(touched, batch)
             else:
                 batch = replace_range(touched, batch)
             batch = cut_lineage(batch, "wide")
@@ -263,6 +328,18 @@ def export_wide(
     return tables
 
 
+def _one_row_per_time(old: DataFrame, new: DataFrame, by: Sequence[str] = ("day", TS)) -> DataFrame:
+    """Both tables with one row per time; where both fill a cell the old value stays."""
+    both = old.withColumn("_age", F.lit(0)).unionByName(new.withColumn("_age", F.lit(1)), allowMissingColumns=True)
+    cells = [c for c in both.columns if c not in (*by, "_age")]
+    return both.groupBy(*by).agg(
+        *[
+            F.coalesce(*[F.max(F.when(F.col("_age") == age, F.col(f"`{c}`"))) for age in (0, 1)]).alias(c)
+            for c in cells
+        ]
+    )
+
+
 # Column types of a relational target.
 DATABASE_TYPES = {
     "timestamp": "TIMESTAMPTZ",

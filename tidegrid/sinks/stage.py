@@ -9,10 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegrid.functions.scalars import moment, parse_iso_utc
-from tidegrid.keys import KEYS, TS
+from tidegrid.keys import KEYS, SEQ, TS
 from tidegrid.operators.columns import prune_days
-from tidegrid.operators.merge import merge_append
-from tidegrid.session import cut_lineage
+from tidegrid.operators.merge import first_per, merge_append
+from tidegrid.session import cut_lineage, delete_paths, folder_path
+from tidegrid.sources.stage import read_typed
 
 # Rows per output file; a bigger partition rolls over to the next file.
 RECORDS_PER_FILE = 20_000_000
@@ -38,7 +39,7 @@ def _write(df: DataFrame, path: str, mode: str, dynamic: bool, partitions: Seque
 
 def read_if_exists(spark: SparkSession, path: str) -> DataFrame | None:
     try:
-        return spark.read.option("mergeSchema", "true").parquet(path)
+        return read_typed(spark, path)
     except AnalysisException as problem:
         if problem.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             return None
@@ -54,13 +55,17 @@ def write_stage(
     *,
     keys: Sequence[str] = KEYS,
     ts: str = TS,
+    prefer: str = "existing",
 ) -> None:
     """Write a stage table partitioned by domain, window and day.
 
     ``replace`` without a window rewrites the table; with ``[start, end)`` it
     replaces only those rows: rows of the touched days outside the window are
     kept. ``reset`` empties the table first. ``append`` merges into existing
-    days, existing rows winning on equal timestamps.
+    days, one row per key and timestamp: of equal timestamps the ``existing`` row stays,
+    as for parsed lines, or with ``prefer="new"`` the new one, as for results that later
+    rows change. A first append keeps one row per timestamp too, so that the number of
+    batches does not show.
     """
     spark = df.sparkSession
     partitions = _partitions(df)
@@ -69,13 +74,14 @@ def write_stage(
         return
     existing = read_if_exists(spark, path)
     if mode == "append":
+        by = [*keys, "window"] if "window" in partitions else list(keys)
         if existing is None:
-            _write(df, path, "append", False, partitions)
+            order = [SEQ] if SEQ in df.columns else [F.lit(1)]
+            _write(first_per(df, [*by, ts], order), path, "append", False, partitions)
             return
         touched = df.select(*partitions).distinct()
-        old = existing.join(F.broadcast(touched) if _few(touched) else touched, partitions, "left_semi")
-        by = [*keys, "window"] if "window" in partitions else list(keys)
-        result = merge_append(old, df, by, ts)
+        old = existing.join(touched, partitions, "left_semi")
+        result = merge_append(old, df, by, ts, prefer=prefer)
     elif mode == "replace":
         inside = F.lit(True)
         if start is not None:
@@ -99,10 +105,6 @@ def write_stage(
     _write(cut_lineage(result, "stage"), path, "overwrite", True, partitions)
 
 
-def _few(df: DataFrame, limit: int = 100_000) -> bool:
-    return df.limit(limit + 1).count() <= limit
-
-
 def _replace_partitions(
     spark: SparkSession, rows: DataFrame, touched: DataFrame, path: str, partitions: Sequence[str]
 ) -> None:
@@ -113,11 +115,6 @@ def _replace_partitions(
     )
     if not staged.isEmpty():
         _write(staged, path, "overwrite", True, partitions)
-    names = [r.asDict() for r in gone.collect()]
-    if names:
-        # One row per emptied partition: the list of folders to delete.
-        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-        root = hadoop(path)
-        fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        for values in names:
-            fs.delete(hadoop(path + "/" + "/".join(f"{p}={values[p]}" for p in partitions)), True)
+    # One row per emptied partition: the list of folders to delete.
+    folders = [[(p, row[p]) for p in partitions] for row in gone.collect()]
+    delete_paths(spark, [f"{path}/{folder_path(spark, f)}" for f in folders])

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Mapping, Sequence
+from datetime import timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,15 +18,38 @@ DATE = r"\d{4}-\d{2}-\d{2}"
 BLANKS = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0"
 
 
-def read_lines(spark: SparkSession, path: str) -> DataFrame:
+def _dated(name: Column, start, end, tz: str) -> Column:
+    """Whether the date in a file name can hold rows of ``[start, end)``.
+
+    A file may run past midnight, so the day before the first is read as well; local
+    days of another zone reach into the next one too. Names without a date pass, for
+    the error they are.
+    """
+    day = F.regexp_extract(name, f"({DATE})", 1)
+    keep = F.lit(True)
+    if start is not None:
+        keep = keep & (day >= str((S.parse_iso_utc(start) - timedelta(days=1)).date()))
+    if end is not None:
+        last = S.parse_iso_utc(end) - timedelta(microseconds=1)
+        keep = keep & (day <= str((last + timedelta(days=0 if tz == "UTC" else 1)).date()))
+    return (day == "") | keep
+
+
+def read_lines(
+    spark: SparkSession, path: str, start=None, end=None, tz: str = "UTC"
+) -> DataFrame:
     """``value`` plus the file name and the position of the line in its source.
 
+    ``start`` and ``end`` leave out files by the date in their names, before any is opened.
+
     A file is split into blocks read in order, so the row id rises along it.
     Large sources may come as folders ``name=<file name>``; the folder then
     stands for the file.
     """
     lines = spark.read.text(path)
     name = F.col("name").cast("string") if "name" in lines.columns else F.col("_metadata.file_name")
+    if start is not None or end is not None:
+        lines = lines.filter(_dated(name, start, end, tz))
     return lines.select(
         "value", name.alias("source_file"), F.monotonically_increasing_id().alias("seq")
     )
@@ -39,7 +63,8 @@ def source_metadata(
     Literal replacements come first. The first date is the day; the text before
     it splits on its last underscore. A name without a date is an error.
     """
-    stem = F.regexp_replace(F.col(name), r"\.[^.]*$", "")
+    # Only what follows the date can be an extension: devices may have dots in their names.
+    stem = F.regexp_replace(F.col(name), rf"({DATE}[^.]*)\.[^.]*$", "$1")
     for sub in substitutions:
         stem = F.replace(stem, F.lit(sub["src"]), F.lit(sub["target"]))
     day = F.regexp_extract(stem, f"({DATE})", 1)
@@ -105,7 +130,7 @@ def discover_keys(parsed: DataFrame) -> list[str]:
     return sorted(r["k"] for r in rows)
 
 
-def _available(parsed: DataFrame, domains: Mapping[str, Mapping], keys: Sequence[str] | None) -> list[str]:
+def available_keys(parsed: DataFrame, domains: Mapping[str, Mapping], keys: Sequence[str] | None) -> list[str]:
     if keys is not None:
         return list(keys)
     if all("columns" in spec for spec in domains.values()):
@@ -119,7 +144,7 @@ def type_domains(
     keys: Sequence[str] | None = None,
 ) -> dict[str, DataFrame]:
     """One typed table per domain from parsed lines; the day comes from each row's own time."""
-    available = _available(parsed, domains, keys)
+    available = available_keys(parsed, domains, keys)
     carried = [c for c in parsed.columns if not c.startswith("_") and c not in ("ts", "day", "file_day")]
     tables = {}
     for domain, spec in domains.items():
@@ -139,7 +164,7 @@ def domain_columns_of(
     parsed: DataFrame, domains: Mapping[str, Mapping], keys: Sequence[str] | None = None
 ) -> dict[str, list[str]]:
     """Output columns of every domain that has any."""
-    available = _available(parsed, domains, keys)
+    available = available_keys(parsed, domains, keys)
     found = {}
     for domain, spec in domains.items():
         rename = spec.get("rename", {})
@@ -156,7 +181,7 @@ def type_rows(
 ) -> DataFrame:
     """All domains in one pass over the text: a row per line and domain, other
     domains' columns null. This is the shape to write as a stage."""
-    available = _available(parsed, domains, keys)
+    available = available_keys(parsed, domains, keys)
     present = [d for d, spec in domains.items() if domain_columns(available, spec)]
     carried = [c for c in parsed.columns if not c.startswith("_") and c not in ("ts", "day", "file_day")]
     exploded = parsed.withColumn("domain", F.explode(F.array(*[F.lit(d) for d in present])))
@@ -181,9 +206,11 @@ def parsed_lines(
     delimiter: str = ";",
     tz: str = "UTC",
     substitutions: Sequence[Mapping[str, str]] = (),
+    start=None,
+    end=None,
 ) -> DataFrame:
     """Files ``<experience>_<device>_<day>.csv`` as parsed lines with their metadata."""
-    lines = source_metadata(read_lines(spark, path), substitutions=substitutions)
+    lines = source_metadata(read_lines(spark, path, start, end, tz), substitutions=substitutions)
     return parse_kv_lines(lines, delimiter, tz=tz)
 
 

@@ -2,15 +2,28 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from tidegrid.functions.scalars import without_nan
 from tidegrid.operators.columns import prune_days
 from tidegrid.session import configure
 
 
+# Types of folder columns. Left to inference, ``01`` would become 1 and ``1d`` 1.0.
+FOLDER_TYPES = {
+    "domain": T.StringType(), "window": T.StringType(), "device_id": T.StringType(), "day": T.DateType()
+}
+
+
+def read_typed(spark: SparkSession, path: str, inner: str = "") -> DataFrame:
+    """Parquet in folders, whose columns keep their own types whatever they look like."""
+    found = spark.read.option("basePath", path).option("mergeSchema", "true").parquet(path + inner)
+    fields = [T.StructField(f.name, FOLDER_TYPES.get(f.name, f.dataType)) for f in found.schema]
+    return spark.read.option("basePath", path).schema(T.StructType(fields)).parquet(path + inner)
+
+
 def read_stage(
     spark: SparkSession, path: str, start=None, end=None, domain: str | None = None, schema=None
 ) -> DataFrame:
@@ -19,12 +32,13 @@ def read_stage(
     Columns may differ between days, so footers are merged, in a distributed
     job. Giving the ``schema`` spares that for tables of very many files.
     """
-    reader = spark.read.option("basePath", path)
-    reader = reader.option("mergeSchema", "true") if schema is None else reader.schema(schema)
-    df = reader.parquet(f"{path}/domain=*")
+    if schema is None:
+        df = read_typed(spark, path, "/domain=*")
+    else:
+        df = spark.read.option("basePath", path).schema(schema).parquet(f"{path}/domain=*")
     if domain is not None:
         df = df.filter(F.col("domain") == domain)
-    return prune_days(df, start, end)
+    return without_nan(prune_days(df, start, end))
 
 
 def decode_stage_files(df: DataFrame, path_column: str) -> DataFrame:
@@ -53,24 +67,18 @@ def read_file_stage(spark: SparkSession, path: str) -> DataFrame:
     Files outside such a folder are not read. Metadata comes from the file names.
     Nanosecond times, as pandas writes them, are cut to microseconds.
     """
-    df = (
-        configure(spark).read.option("mergeSchema", "true")
-        .option("basePath", path)
-        .parquet(f"{path}/domain=*/*.parquet")
-    )
+    df = read_typed(configure(spark), path, "/domain=*/*.parquet")
     if dict(df.dtypes).get("ts") == "bigint":
         df = df.withColumn("ts", F.timestamp_micros(F.expr("ts div 1000")))
     columns = [c for c in df.columns if c != "domain"]
     named = df.select("domain", *columns, F.col("_metadata.file_path").alias("_path"))
     decoded = decode_stage_files(named, "_path")
-    return decoded.select("experience", "device_id", "domain", "step", "window", "day", *columns)
+    return without_nan(
+        decoded.select("experience", "device_id", "domain", "step", "window", "day", *columns)
+    )
 
 
 def stage_outputs(spark: SparkSession, path: str) -> DataFrame:
     """Files of a stage with their modification time, sidecar ``.json`` excluded."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     return files.select("path", "modificationTime", "length").filter(~F.col("path").endswith(".json"))
-
-
-def partition_columns(df: DataFrame) -> Sequence[str]:
-    return [c for c in ("domain", "window", "day") if c in df.columns]
