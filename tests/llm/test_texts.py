@@ -154,7 +154,8 @@ def test_sketch_never_underestimates(given):
     import numpy as np
     import pyarrow as pa
 
-    bits = np.frombuffer(substrings.repeated_anchors(given), np.uint8)
+    width = substrings.sketch_width(given, "text")
+    bits = np.frombuffer(substrings.repeated_anchors(given, "text", width), np.uint8)
     texts = pa.array([r.text for r in given.select("text").collect()])
     bounds, _, anchors, inside = substrings._numbered(texts)
     row = np.searchsorted(bounds, np.arange(len(anchors)), "right") - 1
@@ -163,8 +164,8 @@ def test_sketch_never_underestimates(given):
         if i:
             seen[a].add(r)
     repeated = np.array([a for a, rows in seen.items() if len(rows) > 1], np.uint64)
-    assert len(repeated) and substrings._estimated(bits, repeated).all()
+    assert len(repeated) and substrings._estimated(bits, repeated, width).all()
     single = np.array([a for a, rows in seen.items() if len(rows) == 1], np.uint64)
-    assert substrings._estimated(bits, single).mean() < 0.05
+    assert substrings._estimated(bits, single, width).mean() < 0.05
 
 

@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 import xxhash
 
 # Texts of about so many bytes are worked on at once; a longer text comes alone.
-SLICE_BYTES = 6_000_000
+SLICE_BYTES = 4_000_000
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _ODD = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 

@@ -11,6 +11,7 @@ anchors are grouped exactly, by 128-bit hashes. False alarms cost work, never re
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,9 +25,11 @@ from tidegrid.llm import hashing
 from tidegrid.llm.common import schema_with, settle
 
 WINDOW, GRAM = 50, 24
-# Two rows of 2 ** WIDTH counters, merged in slices of 2 ** SLICE. After the merge one bit
-# per counter tells whether it reached two: 16 MB, whatever the corpus.
-ROWS, WIDTH, SLICE = 2, 26, 22
+# Rows of 2 ** width counters, merged in slices of 2 ** SLICE. After the merge one bit per
+# counter tells whether it reached two. The width follows the corpus, up to 100 MB in all;
+# beyond it more windows are grouped than need be, and the result stays exact.
+ROWS, SLICE, MOST_WIDTH = 3, 22, 28
+BYTES_PER_COUNTER = 13  # of text; some 90 bytes have one anchor
 LAST = (1 << 63) - 1  # a null id comes after all others
 
 
@@ -41,8 +44,13 @@ def _anchors(hashes: np.ndarray) -> np.ndarray:
     return np.minimum(least[: len(least) - rest], least[rest:]) if len(least) > rest else least[:0]
 
 
-def _places(anchors: np.ndarray, row: int) -> np.ndarray:
-    return (hashing.mixed(anchors + np.uint64(row + 1)) >> np.uint64(64 - WIDTH)).astype(np.int64)
+def _places(anchors: np.ndarray, row: int, width: int) -> np.ndarray:
+    return (hashing.mixed(anchors + np.uint64(row + 1)) >> np.uint64(64 - width)).astype(np.int64)
+
+
+def sketch_width(docs: DataFrame, text_col: str) -> int:
+    total = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 1
+    return min(MOST_WIDTH, max(SLICE, math.ceil(math.log2(max(1, total / BYTES_PER_COUNTER)))))
 
 
 def _numbered(text: pa.Array):
@@ -52,8 +60,9 @@ def _numbered(text: pa.Array):
     return bounds, hashes, anchors, hashing.within(bounds, WINDOW, len(anchors))
 
 
-def repeated_anchors(docs: DataFrame, text_col: str = "text") -> bytes:
+def repeated_anchors(docs: DataFrame, text_col: str, width: int) -> bytes:
     """The merged sketch: for each counter, one bit that says whether it reached two."""
+    per_row = 1 << (width - SLICE)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -67,15 +76,15 @@ def repeated_anchors(docs: DataFrame, text_col: str = "text") -> bytes:
                 first[begins] |= inside[begins]
                 chosen = anchors[first]
                 for row in range(ROWS):
-                    places, counts = np.unique(_places(chosen, row), return_counts=True)
-                    cuts = np.searchsorted(places, np.arange(1 << (WIDTH - SLICE)) << SLICE)
+                    places, counts = np.unique(_places(chosen, row, width), return_counts=True)
+                    cuts = np.searchsorted(places, np.arange(per_row) << SLICE)
                     ends = np.append(cuts[1:], len(places))
                     keep = np.flatnonzero(ends > cuts)
                     low = (places & ((1 << SLICE) - 1)).astype(np.uint32) * 2 + (counts > 1)
                     low = low.astype("<u4")
                     yield pa.RecordBatch.from_arrays(
                         [
-                            pa.array((row << (WIDTH - SLICE)) + keep, pa.int32()),
+                            pa.array(row * per_row + keep, pa.int32()),
                             pa.array([low[cuts[i] : ends[i]].tobytes() for i in keep], pa.binary()),
                         ],
                         ["slice", "counts"],
@@ -104,23 +113,23 @@ def repeated_anchors(docs: DataFrame, text_col: str = "text") -> bytes:
         if at is not None:
             yield done()
 
-    slices = ROWS << (WIDTH - SLICE)
+    slices = ROWS * per_row
     parts = docs.select(F.col(text_col)).mapInArrow(count, "slice int, counts binary")
     merged = (
         parts.repartition(slices, "slice").sortWithinPartitions("slice").mapInArrow(merge, "slice int, counts binary")
     )
     bits = bytearray(slices << (SLICE - 3))
     size = 1 << (SLICE - 3)
-    for number, data in merged.collect():  # as many rows as slices, 16 MB in all
+    for number, data in merged.collect():  # as many rows as slices
         bits[number * size : (number + 1) * size] = data
     return bytes(bits)
 
 
-def _estimated(bits: np.ndarray, anchors: np.ndarray) -> np.ndarray:
+def _estimated(bits: np.ndarray, anchors: np.ndarray, width: int) -> np.ndarray:
     """Whether every row of the sketch counted these anchors twice."""
     twice = np.ones(len(anchors), bool)
     for row in range(ROWS):
-        places = _places(anchors, row) + (row << WIDTH)
+        places = _places(anchors, row, width) + (row << width)
         twice &= (bits[places >> 3] >> (7 - (places & 7)).astype(np.uint8)) & 1 == 1
     return twice
 
@@ -153,7 +162,8 @@ def remove_repeats(
     added = "n_words long, n_removed long, kept_sha256 string, kept_text string"
     names = {part.split(" ")[0] for part in added.split(", ")}
     kept = [c for c in (docs.columns if keep is None else keep) if c not in names]
-    sketch = spark.sparkContext.broadcast(repeated_anchors(docs, text_col))
+    width = sketch_width(docs, text_col)
+    sketch = spark.sparkContext.broadcast(repeated_anchors(docs, text_col, width))
     inner = "_sub_order long, _sub_one long, _sub_two long, _sub_hit boolean, _sub_n long, _sub_sha string, _sub_text string"
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,7 +177,7 @@ def remove_repeats(
                 anchors = _anchors(hashes[0])
                 inside = hashing.within(bounds, WINDOW, len(anchors))
                 twice = np.zeros(len(hashes[0]) + 1, np.int64)
-                twice[: len(anchors)] = inside & _estimated(bits, anchors)
+                twice[: len(anchors)] = inside & _estimated(bits, anchors, width)
                 total = np.concatenate([[0], np.cumsum(twice)])
                 hit = total[bounds[1:]] > total[bounds[:-1]]
                 sums = _sequence_hashes(hashes, bounds)
@@ -208,14 +218,16 @@ def remove_repeats(
         "repeats-marked",
     )
     looked = marked.filter("NOT _sub_copy")
+    # Without the copies most anchors occur once: count again, over these documents only.
+    second = spark.sparkContext.broadcast(repeated_anchors(looked, "_sub_text", width))
 
     def spots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.frombuffer(sketch.value, np.uint8)
+        bits = np.frombuffer(second.value, np.uint8)
         for batch in batches:
-            for piece in hashing.slices(batch, 0, 4 * hashing.SLICE_BYTES):
+            for piece in hashing.slices(batch, 0, 2 * hashing.SLICE_BYTES):
                 bounds, hashes, anchors, inside = _numbered(piece.column(0))
                 starts = np.flatnonzero(inside)
-                starts = starts[_estimated(bits, anchors[starts])]
+                starts = starts[_estimated(bits, anchors[starts], width)]
                 row = np.searchsorted(bounds, starts, "right") - 1
                 a, b = (hashing.windows(h, WINDOW)[starts] for h in hashes)
                 order = piece.column(1).to_numpy()[row]
