@@ -2,6 +2,7 @@ from datetime import datetime, timedelta, timezone
 
 import pytest
 from helpers import at, frame, rows, to_pandas
+from pyspark.sql import functions as F
 
 from tidegrid.operators import columns as C
 from tidegrid.plans import flow as FL
@@ -166,3 +167,52 @@ def test_stream_dedup_keeps_one_row(spark, tmp_path):
         stream = spark.readStream.schema(df.schema).parquet(source)
         live.run_to_table(live.stream_dedup(stream), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2
+
+
+def test_repeated_steps_keep_their_parameters(spark):
+    df = frame(spark, rows([(0, 4, 1.0)]))
+
+    def step(function):
+        return FlowStep("transform", {"transforms": [{"function": function, "target": {"columns": ["m0"]}}]})
+
+    out = FL.run_flow([step("sqrt_inv"), step("identity")], {"bio_signal": df})["bio_signal"].first()
+    assert (out.m0__sqrt_inv, out.m0__identity) == (0.5, 4.0)
+
+
+def test_windowed_run_reads_few_files_and_skips_without_any(spark, tmp_path):
+    source, log = raw_folder(tmp_path, days=5), str(tmp_path / "log")
+    run = {"spark": spark, "source": source, "events_path": log}
+    out = FL.run_flow([FlowStep("parse")], **run, run_id="a", start=at(3 * 86_400), end=at(4 * 86_400))["bio_signal"]
+    assert {r.source_file[-14:-4] for r in out.select("source_file").distinct().collect()} == {"2026-01-23"}
+    scan = out._jdf.queryExecution().executedPlan()
+    out.collect()
+    assert "_metadata" in scan.toString() or "file_name" in scan.toString()
+    assert FL.run_flow([FlowStep("parse")], **run, run_id="b", start="2027-01-01", end="2027-01-02") == {}
+    events = read_run_events(spark, log)
+    assert {r.status for r in events.filter("run_id = 'b'").collect()} == {"start", "skip"}
+
+
+def test_a_lazy_step_that_fails_is_no_success(spark, tmp_path):
+    @FL.custom_step("late_boom")
+    def late_boom(df):
+        return df.withColumn("m0", F.raise_error(F.lit("too late")).cast("bigint"))
+
+    log = str(tmp_path / "log")
+    flow = [FlowStep("late_boom"), FlowStep("clean", output=str(tmp_path / "20"))]
+    with pytest.raises(Exception, match="too late"):
+        FL.run_flow(flow, {"bio_signal": frame(spark, rows([(0, 1, 1.0)]))}, spark=spark, events_path=log, run_id="x")
+    got = sorted((r.treatment, r.status) for r in read_run_events(spark, log).collect())
+    assert got == [("clean", "error"), ("clean", "start"), ("late_boom", "planned"), ("late_boom", "start")]
+
+
+def test_own_empty_columns_stay(spark, tmp_path):
+    both = frame(spark, rows([(0, None, 1.0)])).withColumn("outdoor_temp", F.lit(None).cast("double"))
+    env = both.withColumn("domain", F.lit("environment")).withColumn("outdoor_temp", F.lit(3.0))
+    path = str(tmp_path / "20")
+    from tidegrid.sinks.stage import write_stage
+
+    write_stage(both.unionByName(env), path)
+    flow = [FlowStep("clean", output=path), FlowStep("transform", {"transforms": []})]
+    tables = FL.run_flow(flow, spark=spark, first="transform")
+    assert {"m0", "m1"} <= set(tables["bio_signal"].columns) and "outdoor_temp" not in tables["bio_signal"].columns
+    assert "outdoor_temp" in tables["environment"].columns and "m0" not in tables["environment"].columns

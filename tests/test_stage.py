@@ -97,3 +97,37 @@ def test_files_named_by_device_and_day(spark, tmp_path):
     data.to_parquet(folder / "EXP__clean__2026-01-20.parquet", index=False)
     with pytest.raises(Exception, match="4 or 5 parts"):
         read_file_stage(spark, str(root)).select("experience").collect()
+
+
+def test_no_scratch_copy_stays(spark, tmp_path):
+    from pathlib import Path
+
+    from tidegrid.session import clear_scratch, cut_lineage, scratch_root
+
+    clear_scratch(spark)
+    path = str(tmp_path / "stage")
+    for mode, window in (("replace", ()), ("replace", (at(0), at(3600))), ("append", ())):
+        write_stage(days(spark), path, mode, *window)
+    left = set(Path(scratch_root(spark)).glob("stage-*")) | set(Path(scratch_root(spark)).glob("touched-*"))
+    assert not left
+    kept = cut_lineage(days(spark), "kept")
+    assert kept.count() and list(Path(scratch_root(spark)).glob("kept-*"))
+    clear_scratch(spark)
+    assert not list(Path(scratch_root(spark)).glob("kept-*"))
+
+
+def test_labels_keep_their_types(spark, tmp_path):
+    path = str(tmp_path / "stage")
+    df = days(spark).withColumn("domain", F.lit("01")).withColumn("window", F.lit("1d"))
+    write_stage(df, path)
+    write_stage(range_filter(df, at(0), at(3600)), path, "replace", at(0), at(3600))
+    got = read_stage(spark, path)
+    assert {(r.domain, r.window) for r in got.collect()} == {("01", "1d")} and got.count() == 72
+    assert [p.name for p in (tmp_path / "stage").glob("domain=*")] == ["domain=01"]
+
+
+def test_append_prefers_new_results(spark, tmp_path):
+    path = str(tmp_path / "stage")
+    for m0 in (1, 2):
+        write_stage(frame(spark, rows([(0, m0, 1.0), (0, m0, 1.0)])), path, "append", prefer="new")
+    assert [r.m0 for r in read_stage(spark, path).collect()] == [2]

@@ -26,7 +26,7 @@ from tidegrid.session import scratch_path
 from tidegrid.sinks import exports as X
 from tidegrid.sinks.params import load_params, save_params
 from tidegrid.sinks.stage import write_stage
-from tidegrid.sources.stage import read_stage
+from tidegrid.sources.stage import read_stage, read_typed
 
 QUERIES = Registry()
 
@@ -112,9 +112,10 @@ def replace_range(spark, sf_dir):
 
 
 @QUERIES.add(
-    """SELECT 'error' AS device_id, ts, event_id, value, NULL::BIGINT AS user_id, NULL AS props FROM events WHERE event_type = 'error'
-    UNION ALL SELECT 'view', ts, NULL, value, user_id, NULL FROM events WHERE event_type = 'view'
-    UNION ALL SELECT 'click', ts, NULL, NULL, NULL, props FROM events WHERE event_type = 'click'"""
+    """SELECT event_type AS device_id, ts, CASE WHEN event_type IN ('error', 'signup') THEN event_id END AS event_id,
+      CASE WHEN event_type IN ('error', 'view', 'purchase') THEN value END AS value,
+      CASE WHEN event_type IN ('view', 'signup') THEN user_id END AS user_id,
+      CASE WHEN event_type IN ('click', 'purchase') THEN props END AS props FROM events"""
 )
 def union_devices(spark, sf_dir):
     """Devices with different sensors in one table."""
@@ -123,9 +124,11 @@ def union_devices(spark, sf_dir):
     def of(device, *cols):
         return e.filter(F.col("event_type") == device).select("ts", *cols)
 
-    return M.union_devices(
-        {"view": of("view", "value", "user_id"), "error": of("error", "event_id", "value"), "click": of("click", "props")}
-    )
+    sensors = {
+        "view": ("value", "user_id"), "error": ("event_id", "value"), "click": ("props",),
+        "purchase": ("value", "props"), "signup": ("event_id", "user_id"),
+    }
+    return M.union_devices({device: of(device, *names) for device, names in sensors.items()})
 
 
 @QUERIES.add(
@@ -236,14 +239,21 @@ def export_long(spark, sf_dir):
     return round_all(X.long_table(aggregated(spark, sf_dir), "1h", "2024-01-05", "2024-01-25T18:00:00Z"))
 
 
-@QUERIES.add(f"WITH {AGGREGATED} {LONG.format(window='6h', more='')}")
+@QUERIES.add(
+    f"""WITH {AGGREGATED} SELECT '1h' AS "window", * FROM ({LONG.format(window='1h', more='')})
+    UNION ALL SELECT '6h', * FROM ({LONG.format(window='6h', more='')})"""
+)
 def sink_long(spark, sf_dir):
-    """All long tables written with the device dimension; the six-hour one read back."""
+    """All long tables written with the device dimension, and all read back."""
     path = scratch_path(spark, "long")
     tables = X.export_long(
         aggregated(spark, sf_dir), path, ["1h", "6h", "2d"], metadata={"view": {"name": "viewer"}}
     )
-    return round_all(spark.read.parquet(tables["data_6h"]))
+    assert set(tables) == {"data_1h", "data_6h", "devices"}
+    back = [
+        spark.read.parquet(tables[f"data_{w}"]).withColumn("window", F.lit(w)) for w in ("1h", "6h")
+    ]
+    return round_all(back[0].unionByName(back[1]))
 
 
 @QUERIES.add(
@@ -259,6 +269,31 @@ def sink_devices(spark, sf_dir):
     return spark.read.parquet(tables["devices"])
 
 
+@QUERIES.add(
+    f"""WITH {AGGREGATED}, o AS (SELECT device_id, "window", strftime((bucket AT TIME ZONE 'UTC') AT TIME ZONE 'Europe/Paris', '%Y-%m-%d %H:%M:%S') AS "Time",
+      m0__raw__max AS c0, m1__raw__max AS c1, bucket FROM aggregated WHERE "domain" = 'bio_signal')
+    SELECT device_id, "window", "Time",
+      CASE WHEN "window" = '1h' AND bucket >= TIMESTAMP '2024-01-10 03:00:00' AND bucket < TIMESTAMP '2024-01-11 12:00:00' THEN NULL ELSE c0 END AS c0,
+      CASE WHEN "window" = '1h' AND bucket >= TIMESTAMP '2024-01-10 03:00:00' AND bucket < TIMESTAMP '2024-01-11 12:00:00' THEN -c1 ELSE c1 END AS c1
+    FROM o WHERE NOT ("window" = '6h' AND device_id = 'view' AND bucket >= TIMESTAMP '2024-01-20')"""
+)
+def sink_csv_windows(spark, sf_dir):
+    """Two windows side by side: one device exported anew, one time range anew without a column."""
+    df = round_all(aggregated(spark, sf_dir))
+    path, spec = scratch_path(spark, "csv"), {"m0__raw__max": "c0", "m1__raw__max": "c1"}
+    options = {"tz": "Europe/Paris", "domain": "bio_signal"}
+    for window in ("1h", "6h"):
+        X.export_csv(df, path, spec, window=window, **options)
+    view = df.filter("device_id = 'view' AND ts < TIMESTAMP '2024-01-20'")
+    X.export_csv(view, path, spec, window="6h", **options)
+    part = {"start": "2024-01-10T03:00:00Z", "end": "2024-01-11T12:00:00Z"}
+    lacking = df.drop("m0__raw__max").withColumn("m1__raw__max", -F.col("m1__raw__max"))
+    X.export_csv(lacking, path, spec, window="1h", run_from=part["start"], run_to=part["end"], **part, **options)
+    like = X.export_rows(df, spec, **options)
+    back = [X.read_csv_export(spark, path, like, w).withColumn("window", F.lit(w)) for w in ("1h", "6h")]
+    return back[0].unionByName(back[1])
+
+
 DEVICES = ("click", "error", "purchase", "signup", "view")
 
 
@@ -312,6 +347,21 @@ def sink_wide(spark, sf_dir):
     return round_all(spark.read.parquet(tables["EVT__AGGREGATED__6H"]))
 
 
+@QUERIES.add(
+    "WITH " + AGGREGATED + " " + _sql_wide(dict.fromkeys(DEVICES, ("m0__raw__max",)), "\"window\" = '6h' AND \"domain\" = 'bio_signal'")
+)
+def sink_wide_append(spark, sf_dir):
+    """Appended twice: one row per time, values that are there stay, other devices' come in."""
+    df = aggregated(spark, sf_dir, ("6h",))
+    path, spec = scratch_path(spark, "wide"), [{"domain": "bio_signal", "columns": ["m0__raw__max"]}]
+    first = df.filter(F.col("device_id").isin("view", "click") & (F.day("day") < 20))
+    X.export_wide(first, path, spec, devices=DEVICES)
+    known = F.col("device_id").isin("view", "click") & (F.day("day") < 20)
+    again = df.withColumn("m0__raw__max", F.when(known, -1.0).otherwise(F.col("m0__raw__max")))
+    tables = X.export_wide(again, path, spec, devices=DEVICES, mode="append")
+    return round_all(read_typed(spark, tables["EVT__AGGREGATED__6H"]))
+
+
 # --- stage tables ------------------------------------------------------------------------------
 
 
@@ -345,6 +395,59 @@ def sink_append(spark, sf_dir):
     return read_stage(spark, path).select(df.columns)
 
 
+LABELS = """SELECT experience, CASE device_id WHEN 'view' THEN '007' ELSE device_id END AS device_id, '0' || (m1 % 3) AS "domain",
+      '1d' AS "window", "day", ts, seq, m0 FROM readings"""
+
+
+@QUERIES.add(
+    f"""WITH {READINGS}, labelled AS ({LABELS})
+    SELECT * REPLACE (CASE WHEN ts >= TIMESTAMP '2024-01-10 06:00:00' AND ts < TIMESTAMP '2024-01-12' THEN -m0 ELSE m0 END AS m0) FROM labelled"""
+)
+def sink_stage_labels(spark, sf_dir):
+    """Labels that look like numbers stay text, also where a window is replaced."""
+    df = readings(spark, sf_dir).select(
+        "experience",
+        F.when(F.col("device_id") == "view", "007").otherwise(F.col("device_id")).alias("device_id"),
+        F.concat(F.lit("0"), (F.col("m1") % 3).cast("string")).alias("domain"),
+        F.lit("1d").alias("window"),
+        "day", "ts", "seq", "m0",
+    )
+    path = scratch_path(spark, "stage-table")
+    write_stage(df, path)
+    start, end = "2024-01-10T06:00:00Z", "2024-01-12T00:00:00Z"
+    write_stage(C.range_filter(df, start, end).withColumn("m0", -F.col("m0")), path, "replace", start, end)
+    return read_stage(spark, path).select(df.columns)
+
+
+@QUERIES.add(
+    f"""WITH {READINGS} SELECT {K}, '1h' AS "window", {sql_bucket('ts', 3600)} AS ts, {sql_r6('avg(m0)')} AS m0__raw__mean,
+      count(m0) AS m0__raw__count FROM readings GROUP BY ALL"""
+)
+def sink_append_aggregates(spark, sf_dir):
+    """Hourly results appended after each of two batches: late rows change their hour."""
+    df = readings(spark, sf_dir).drop("m1")
+    path = scratch_path(spark, "stage-table")
+    for batch in (df.filter("m0 >= 20"), df):
+        hourly = A.multi_window(batch, ["1h"], ["mean", "count"], dense=False)
+        write_stage(hourly, path, "append", prefer="new")
+    return round_all(read_stage(spark, path).select(hourly.columns))
+
+
+@QUERIES.add(
+    f"""WITH {READINGS}, n AS (SELECT * REPLACE (CASE WHEN m1 % 7 = 0 THEN NULL ELSE m0 END AS m0) FROM readings)
+    SELECT {K}, {sql_bucket('ts', 21600)} AS ts, {sql_r6('avg(m0)')} AS m0__raw__mean, max(m0) AS m0__raw__max, count(m0) AS m0__raw__count
+    FROM n GROUP BY ALL"""
+)
+def nan_values(spark, sf_dir):
+    """NaN in a stored stage is no value: it enters neither means nor counts."""
+    df = readings(spark, sf_dir)
+    broken = df.withColumn("m0", F.when(F.col("m1") % 7 == 0, float("nan")).otherwise(F.col("m0"))).drop("m1")
+    path = scratch_path(spark, "stage-table")
+    write_stage(broken, path)
+    stage = read_stage(spark, path)
+    return round_all(A.tumble(stage, "6h", ["mean", "max", "count"], dense=False))
+
+
 @QUERIES.add(
     f"""WITH {READINGS} SELECT experience, device_id, "column", {sql_r6('lo')} AS lo, {sql_r6('hi')} AS hi FROM (
       SELECT experience, device_id, 'm0' AS "column", quantile_cont(m0, 0.02) AS lo, quantile_cont(m0, 0.98) AS hi FROM readings GROUP BY ALL

@@ -162,3 +162,39 @@ def custom_step_flow(spark, sf_dir):
     flow = [FlowStep("clean", {"domains": {"bio_signal": {}}}), FlowStep("offset_scale", {"factor": 3})]
     out = run_flow(flow, {"bio_signal": coarse(spark, sf_dir)}, overrides={"offset": -5})
     return out["bio_signal"].select("experience", "device_id", "domain", "day", "ts", "m1")
+
+
+@QUERIES.add(
+    f"""WITH {COARSE}, {DEDUP} SELECT {K}, ts, m1, {sql_r6('CASE WHEN m1 > 0 THEN 1 / sqrt(m1) END')} AS m1__sqrt_inv,
+      {sql_r6('CASE WHEN m1 > 0 THEN ln(m1) END')} AS m1__log FROM deduped"""
+)
+def flow_repeated_steps(spark, sf_dir):
+    """Two steps of one kind, each with its own parameters."""
+
+    def transform(function):
+        return FlowStep("transform", {"transforms": [{"function": function, "target": {"columns": ["m1"]}}]})
+
+    flow = [FlowStep("clean", {"domains": {"bio_signal": {}}}), transform("sqrt_inv"), transform("log")]
+    out = run_flow(flow, {"bio_signal": coarse(spark, sf_dir)})["bio_signal"]
+    return round_all(out.select("experience", "device_id", "domain", "day", "ts", "m1", "m1__sqrt_inv", "m1__log"))
+
+
+@QUERIES.add(
+    f"""WITH {COARSE} SELECT 'EVT' AS experience, device_id, "day", ts, m1, {sql_r6('m0')} AS outdoor_temp FROM coarse
+    WHERE ts >= TIMESTAMP '2024-01-09 06:00:00' AND ts < TIMESTAMP '2024-01-11'"""
+)
+def raw_window(spark, sf_dir):
+    """A windowed run over raw files of all device-days reads only files dated near the window."""
+    path = f"{scratch_path(spark, 'dataset')}/00_raw"
+    named = lines(spark, sf_dir).withColumn("name", F.regexp_replace("source_file", r"\.csv$", ""))
+    named.repartition("name").sortWithinPartitions("name", "seq").select("name", "value").write.partitionBy(
+        "name"
+    ).text(path)
+    both = {"reading": {"columns": ["m1", "outdoor_temp"], "dtype": "float"}}
+    step = FlowStep("parse", {"domains": both, "keys": ["m1", "outdoor_temp"]})
+    out = run_flow([step], spark=spark, source=path, start="2024-01-09T06:00:00Z", end="2024-01-11")["reading"]
+    days = [r.d for r in out.select(F.substring("source_file", -10, 10).alias("d")).distinct().collect()]
+    assert set(days) <= {"2024-01-08", "2024-01-09", "2024-01-10"}
+    return round_all(
+        out.select("experience", "device_id", "day", "ts", F.col("m1").cast("long").alias("m1"), "outdoor_temp")
+    )

@@ -314,6 +314,22 @@ def fit_percentile_narrowed(spark, sf_dir):
     return N.fit_percentile(readings(spark, sf_dir), split=True)
 
 
+@QUERIES.add(
+    f"""WITH {READINGS}, ends AS (SELECT * REPLACE (CASE m1 % 50 WHEN 0 THEN 'inf'::DOUBLE WHEN 1 THEN '-inf'::DOUBLE ELSE m0 END AS m0) FROM readings)
+    {sql_fit('experience, device_id', (0.05, 0.95), 'ends')}"""
+)
+def fit_infinite(spark, sf_dir):
+    """Infinite readings are ranks like any other; both plans give the same bounds."""
+    kind = F.col("m1") % 50
+    ends = readings(spark, sf_dir).withColumn(
+        "m0", F.when(kind == 0, float("inf")).when(kind == 1, float("-inf")).otherwise(F.col("m0"))
+    )
+    narrowed = N.fit_percentile(ends, 5, 95, split=True)
+    plain = N.fit_percentile(ends, 5, 95, split=False)
+    assert narrowed.exceptAll(plain).isEmpty()
+    return narrowed
+
+
 @QUERIES.add(f"WITH {READINGS}, f AS ({sql_fit('experience', None, 'readings')}) SELECT *, {sql_r6('hi - lo')} AS \"range\" FROM f WHERE hi - lo < 200")
 def fit_minmax(spark, sf_dir):
     """One fit per experience, and the ranges that look too small."""

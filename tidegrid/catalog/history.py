@@ -73,6 +73,17 @@ def prune_events(spark, sf_dir):
     return H.prune_events(run_log(spark, sf_dir), now, days=10)
 
 
+@QUERIES.add(f"WITH {LOG} SELECT * FROM log WHERE CAST(ts AS DATE) >= DATE '2024-01-11'")
+def events_deleted(spark, sf_dir):
+    """A log in folders per day, those older than ten days deleted; what is left, read back."""
+    path = scratch_path(spark, "log")
+    log = run_log(spark, sf_dir)
+    log.withColumn("day", F.to_date("ts")).write.partitionBy("day").json(path)
+    gone = H.delete_events(spark, path, datetime(2024, 1, 21, 12, tzinfo=timezone.utc), days=10)
+    assert gone and max(gone) < "2024-01-11"
+    return read_run_events(spark, path).select(log.columns)
+
+
 @QUERIES.add(
     """SELECT ts, 'clean' AS treatment, event_type AS status, CAST(user_id AS VARCHAR) AS run_id, value AS duration_ms,
       CAST(event_id AS VARCHAR) AS id, '***' AS password FROM events WHERE event_id % 5 <> 3"""

@@ -239,6 +239,17 @@ def coerce_types(spark, sf_dir):
     )
 
 
+@QUERIES.add(
+    """SELECT p_partkey, 900719925474099000 + p_partkey AS as_int, CAST(NULL AS BIGINT) AS none FROM part"""
+)
+def coerce_long(spark, sf_dir):
+    """Whole numbers of more digits than a double holds keep all of them; too long ones are null."""
+    digits = (F.lit(900719925474099000) + F.col("p_partkey")).cast("string")
+    return table(spark, sf_dir, "part").select(
+        "p_partkey", S.coerce_int(digits).alias("as_int"), S.coerce_int(F.concat(digits, digits)).alias("none")
+    )
+
+
 # --- scalar functions ----------------------------------------------------------------
 
 

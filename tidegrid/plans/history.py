@@ -10,6 +10,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidegrid.session import delete_paths, folder_path
 from tidegrid.sources.events import RUN_EVENT
 from tidegrid.sources.stage import stage_outputs
 
@@ -163,3 +164,13 @@ def prune_events(events: DataFrame, now: datetime, days: int = RETENTION_DAYS) -
     if "day" in events.columns:
         kept = kept.filter(F.col("day") >= F.lit(cutoff.date()))
     return kept
+
+
+def delete_events(spark: SparkSession, path: str, now: datetime, days: int = RETENTION_DAYS) -> list[str]:
+    """Delete the log's folders of days older than ``days`` days; returns the days deleted."""
+    oldest = (now - timedelta(days=days)).date()
+    # One row per day of the log.
+    listed = spark.read.text(path).select(F.col("day").cast("string").alias("day")).distinct().collect()
+    gone = sorted(r["day"] for r in listed if r["day"] < str(oldest))
+    delete_paths(spark, [f"{path}/{folder_path(spark, [('day', d)])}" for d in gone])
+    return gone

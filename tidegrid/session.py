@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -67,9 +69,32 @@ def scratch_root(spark: SparkSession) -> str:
     return os.path.join(tempfile.gettempdir(), "tidegrid-scratch")
 
 
+_MADE: set[str] = set()
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh path under the scratch folder."""
-    return f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex[:12]}"
+    path = f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex[:12]}"
+    _MADE.add(path)
+    return path
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete every scratch copy this process has made, once their results are written."""
+    delete_paths(spark, sorted(_MADE))
+    _MADE.clear()
+
+
+@contextmanager
+def staged(df: DataFrame, label: str) -> Iterator[DataFrame]:
+    """A scratch copy of ``df`` for the length of a ``with`` block, deleted at its end."""
+    path = scratch_path(df.sparkSession, label)
+    try:
+        df.write.parquet(path)
+        yield df.sparkSession.read.parquet(path)
+    finally:
+        delete_paths(df.sparkSession, [path])
+        _MADE.discard(path)
 
 
 def cut_lineage(df: DataFrame, label: str = "cut") -> DataFrame:

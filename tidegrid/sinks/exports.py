@@ -26,7 +26,7 @@ from tidegrid.operators.merge import (
     replace_range,
     upsert_devices,
 )
-from tidegrid.session import cut_lineage, delete_paths, folder_path
+from tidegrid.session import cut_lineage, delete_paths, folder_path, staged
 from tidegrid.sinks.stage import RECORDS_PER_FILE, read_if_exists
 from tidegrid.sources.stage import read_typed
 
@@ -258,8 +258,8 @@ def export_long(
         seen = range_filter(df.filter(F.col("window").isin(list(windows))), start, end)
         fresh = device_rows(seen, metadata)
         old = read_if_exists(spark, f"{root}/devices")
-        devices = fresh if old is None else cut_lineage(upsert_devices(old, fresh), "devices")
-        devices.write.mode("overwrite").parquet(f"{root}/devices")
+        with staged(fresh if old is None else upsert_devices(old, fresh), "devices") as devices:
+            devices.write.mode("overwrite").parquet(f"{root}/devices")
         written["devices"] = f"{root}/devices"
     return written
 
@@ -320,10 +320,10 @@ def export_wide(
                 batch = _one_row_per_time(touched, batch)
             else:
                 batch = replace_range(touched, batch)
-            batch = cut_lineage(batch, "wide")
-        batch.hint("rebalance", "day").write.mode("overwrite").option(
-            "partitionOverwriteMode", "dynamic"
-        ).partitionBy("day").parquet(target)
+        with staged(batch, "wide") as ready:
+            ready.hint("rebalance", "day").write.mode("overwrite").option(
+                "partitionOverwriteMode", "dynamic"
+            ).partitionBy("day").parquet(target)
         tables[name] = target
     return tables
 

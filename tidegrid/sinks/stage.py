@@ -12,7 +12,7 @@ from tidegrid.functions.scalars import moment, parse_iso_utc
 from tidegrid.keys import KEYS, SEQ, TS
 from tidegrid.operators.columns import prune_days
 from tidegrid.operators.merge import first_per, merge_append
-from tidegrid.session import cut_lineage, delete_paths, folder_path
+from tidegrid.session import delete_paths, folder_path, staged
 from tidegrid.sources.stage import read_typed
 
 # Rows per output file; a bigger partition rolls over to the next file.
@@ -102,19 +102,18 @@ def write_stage(
     else:
         raise ValueError(f"unknown output mode {mode!r}")
     # A table cannot be overwritten while it is read: stage the rows first.
-    _write(cut_lineage(result, "stage"), path, "overwrite", True, partitions)
+    with staged(result, "stage") as rows:
+        _write(rows, path, "overwrite", True, partitions)
 
 
 def _replace_partitions(
     spark: SparkSession, rows: DataFrame, touched: DataFrame, path: str, partitions: Sequence[str]
 ) -> None:
     """Overwrite the partitions of ``rows``; touched ones left without rows are dropped."""
-    staged = cut_lineage(rows, "stage")
-    gone = cut_lineage(touched, "touched").join(
-        staged.select(*partitions).distinct(), list(partitions), "left_anti"
-    )
-    if not staged.isEmpty():
-        _write(staged, path, "overwrite", True, partitions)
-    # One row per emptied partition: the list of folders to delete.
-    folders = [[(p, row[p]) for p in partitions] for row in gone.collect()]
+    with staged(rows, "stage") as kept, staged(touched, "touched") as before:
+        if not kept.isEmpty():
+            _write(kept, path, "overwrite", True, partitions)
+        # One row per emptied partition: the list of folders to delete.
+        gone = before.join(kept.select(*partitions).distinct(), list(partitions), "left_anti").collect()
+    folders = [[(p, row[p]) for p in partitions] for row in gone]
     delete_paths(spark, [f"{path}/{folder_path(spark, f)}" for f in folders])
