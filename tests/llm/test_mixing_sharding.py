@@ -5,27 +5,10 @@ import zlib
 
 import pytest
 
-from llm_helpers import clash, rows_by
+from llm_helpers import clash, expected_targets, rows_by
 from tidegrid.llm import mixing, sharding
 
 
-def expected_targets(sizes, weights=(5, 2, 1), limit=3):
-    names = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
-    weight = {s: weights[i % len(weights)] for i, s in enumerate(names)}
-    total, target, open_ = sum(sizes.values()), {}, set(names)
-    left = float(total)
-    while open_:
-        share = {s: left * weight[s] / sum(weight[o] for o in open_) for s in open_}
-        full = {s for s in open_ if share[s] > limit * sizes[s]}
-        if not full:
-            return {**target, **share}
-        for s in full:
-            target[s] = limit * sizes[s]
-            left -= target[s]
-        open_ -= full
-    return target
-
-
 def check_mix(rows, boundary):
     sizes = collections.Counter()
     taken = collections.Counter()

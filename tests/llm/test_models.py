@@ -10,55 +10,17 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
-from llm_helpers import clash, sentence
+from llm_helpers import clash, expected_links, sentence
 from pyspark.sql import functions as F
 
 from tidegrid.llm import classifier, fingerprints, jaccard, ppm, warc
 from tidegrid.llm.common import residue
 from tidegrid.llm.components import components
 
-LAST = (1 << 63) - 1
-
 
 # --- n-gram Jaccard join -------------------------------------------------------------
 
 
-def grams(text):
-    words = (text or "").encode().split()
-    if not words:
-        return frozenset()
-    return frozenset(tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4)))
-
-
-def expected_links(rows):
-    sets = [grams(r.text) for r in rows]
-    order = [LAST if r.doc_id is None else r.doc_id for r in rows]
-    holders = collections.defaultdict(list)
-    for i, s in enumerate(sets):
-        for g in s:
-            holders[g].append(i)
-    links, parent = [0] * len(rows), list(range(len(rows)))
-
-    def top(x):
-        while parent[x] != x:
-            x = parent[x]
-        return x
-
-    for i, s in enumerate(sets):
-        common = collections.Counter(j for g in s for j in holders[g] if j != i)
-        for j, n in common.items():
-            if 10 * n >= 8 * (len(s) + len(sets[j]) - n):
-                links[i] += 1
-                parent[max(top(i), top(j))] = min(top(i), top(j))
-    least = {}
-    for i in range(len(rows)):
-        least[top(i)] = min(least.get(top(i), LAST), order[i])
-    groups = [least[top(i)] for i in range(len(rows))]
-    return sorted(
-        repr((r.doc_id, None if g == LAST else g, n)) for r, g, n in zip(rows, groups, links)
-    )
-
-
 def near_copies(n, size=200):
     """One text in ``n`` versions, each with another word changed."""
     base = sentence(size).split(" ")

@@ -7,7 +7,7 @@ import hashlib
 import random
 
 import pytest
-from llm_helpers import clash, sentence
+from llm_helpers import clash, expected_cuts, sentence
 from pyspark.sql import functions as F
 
 from tidegrid.llm import bpe, rules, substrings
@@ -112,27 +112,6 @@ def test_rules_edges(edge, none, labels):
     assert rows[0]["_rule_one"] == "own _rule_one" and len(rows) == edge.count()
 
 
-def expected_cuts(rows):
-    """(n_words, n_removed, digest) by row, with a null id as the greatest."""
-    order = lambda r: (1 << 63) - 1 if r.doc_id is None else r.doc_id
-    least: dict = {}
-    for r in rows:
-        words = (r.text or "").encode().split()
-        for i in range(len(words) - 49):
-            w = tuple(words[i : i + 50])
-            least[w] = min(least.get(w, order(r)), order(r))
-    out = []
-    for r in rows:
-        words = (r.text or "").encode().split()
-        gone = set()
-        for i in range(len(words) - 49):
-            if least[tuple(words[i : i + 50])] < order(r):
-                gone.update(range(i, i + 50))
-        rest = b" ".join(w for i, w in enumerate(words) if i not in gone)
-        out.append((r.doc_id, len(words), len(gone), hashlib.sha256(rest).hexdigest()))
-    return sorted(map(repr, out))
-
-
 def test_repeated_passages(given, edge):
     for docs in (given, edge):
         for with_text in (True, False):
