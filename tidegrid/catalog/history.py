@@ -78,7 +78,8 @@ def events_deleted(spark, sf_dir):
     """A log in folders per day, those older than ten days deleted; what is left, read back."""
     path = scratch_path(spark, "log")
     log = run_log(spark, sf_dir)
-    log.withColumn("day", F.to_date("ts")).write.partitionBy("day").json(path)
+    dated = log.withColumn("day", F.to_date("ts"))
+    dated.write.partitionBy("day").option("timestampFormat", H.EVENT_TIME).json(path)
     gone = H.delete_events(spark, path, datetime(2024, 1, 21, 12, tzinfo=timezone.utc), days=10)
     assert gone and max(gone) < "2024-01-11"
     return read_run_events(spark, path).select(log.columns)
@@ -113,12 +114,18 @@ def run_log_scan(spark, sf_dir):
     )
 
 
-@QUERIES.add()
+@QUERIES.add(
+    """SELECT '10_parsed' AS stage, (SELECT count(*) FROM events) > 0 AS has_output, false AS external, 'up-to-date' AS dataset_status
+    UNION ALL SELECT '20_clean', (SELECT count(*) FROM events WHERE value > 5) > 0, false, 'up-to-date'
+    UNION ALL SELECT '60_database', false, true, 'up-to-date'"""
+)
 def stage_status(spark, sf_dir):
-    """Output files of two stages written from the readings, and of one never written."""
+    """Whether two stages written from the readings have output, and one that is kept elsewhere."""
     df = readings(spark, sf_dir)
     root = scratch_path(spark, "dataset")
     write_stage(df, f"{root}/10_parsed")
     write_stage(df.filter("m0 > 5"), f"{root}/20_clean")
     stages = {n: f"{root}/{n}" for n in ("10_parsed", "20_clean", "60_database")}
-    return H.stage_status(spark, stages, external=["60_database"])
+    status = H.stage_status(spark, stages, external=["60_database"])
+    # How many files there are, and when they were written, differs from run to run.
+    return status.select("stage", (F.col("n_files") > 0).alias("has_output"), "external", "dataset_status")

@@ -250,6 +250,19 @@ def coerce_long(spark, sf_dir):
     )
 
 
+@QUERIES.add("SELECT event_id, ts - INTERVAL 1 HOUR AS at, ts AS given FROM events")
+def parse_zone(spark, sf_dir):
+    """Wall-clock text of a zone becomes UTC; text that names its offset keeps it. January: one hour."""
+    e = table(spark, sf_dir, "events")
+    text = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+    zone = "Europe/Paris"
+    return e.select(
+        "event_id",
+        S.parse_ts(text, zone).alias("at"),
+        S.parse_ts(F.concat(text, F.lit("Z")), zone).alias("given"),
+    )
+
+
 # --- scalar functions ----------------------------------------------------------------
 
 

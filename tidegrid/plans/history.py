@@ -17,6 +17,7 @@ from tidegrid.sources.stage import stage_outputs
 # Parameters never written in clear, and days of events kept.
 SECRET_PARAMS = ("password",)
 RETENTION_DAYS = 30
+EVENT_TIME = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
 
 
 def new_run_id() -> str:
@@ -64,7 +65,9 @@ def log_event(
         "error": error,
     }
     event = mask_secrets(spark.createDataFrame([row], RUN_EVENT))
-    event.withColumn("day", F.to_date("ts")).coalesce(1).write.mode("append").partitionBy("day").json(path)
+    event.withColumn("day", F.to_date("ts")).coalesce(1).write.mode("append").partitionBy("day").option(
+        "timestampFormat", EVENT_TIME
+    ).json(path)
 
 
 def events_for_run(events: DataFrame, run_id: str, flow: str | None = None) -> DataFrame:

@@ -245,22 +245,23 @@ def export_long(
         db_name = (first["e"] or "dataset").lower() if first else "dataset"
     root = f"{path}/{db_name}"
     written = {}
-    for window in windows:
-        table = long_table(df, window, start, end, domains)
-        if table.isEmpty():
-            continue
-        target = f"{root}/{long_table_name(window)}"
-        table.repartitionByRange(TS, "device_id").sortWithinPartitions(TS, "device_id").write.mode(
-            "overwrite"
-        ).option("maxRecordsPerFile", RECORDS_PER_FILE).parquet(target)
-        written[long_table_name(window)] = target
-    if written:
-        seen = range_filter(df.filter(F.col("window").isin(list(windows))), start, end)
-        fresh = device_rows(seen, metadata)
-        old = read_if_exists(spark, f"{root}/devices")
-        with staged(fresh if old is None else upsert_devices(old, fresh), "devices") as devices:
-            devices.write.mode("overwrite").parquet(f"{root}/devices")
-        written["devices"] = f"{root}/devices"
+    wanted = range_filter(df.filter(F.col("window").isin(list(windows))), start, end)
+    # Read for every window and for the devices: what leads up to it is computed once.
+    with staged(wanted, "long") as seen:
+        filled = {r["window"] for r in seen.select("window").distinct().collect()}
+        for window in [w for w in windows if w in filled]:
+            table = long_table(seen, window, domains=domains)
+            target = f"{root}/{long_table_name(window)}"
+            table.repartitionByRange(TS, "device_id").sortWithinPartitions(TS, "device_id").write.mode(
+                "overwrite"
+            ).option("maxRecordsPerFile", RECORDS_PER_FILE).parquet(target)
+            written[long_table_name(window)] = target
+        if written:
+            fresh = device_rows(seen, metadata)
+            old = read_if_exists(spark, f"{root}/devices")
+            with staged(fresh if old is None else upsert_devices(old, fresh), "devices") as devices:
+                devices.write.mode("overwrite").parquet(f"{root}/devices")
+            written["devices"] = f"{root}/devices"
     return written
 
 
