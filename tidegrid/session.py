@@ -26,8 +26,19 @@ SQL_SETTINGS = {
 }
 
 
+ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+
+
 def configure(spark: SparkSession) -> SparkSession:
-    """Apply the runtime settings to an existing session."""
+    """Apply the runtime settings to an existing session.
+
+    Python workers on this machine find the package where the driver found it; on a
+    cluster it is installed or sent with ``--py-files``.
+    """
+    environment = spark.sparkContext.environment
+    known = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if ROOT not in known:
+        environment["PYTHONPATH"] = os.pathsep.join([ROOT, *known])
     for name, value in SQL_SETTINGS.items():
         if spark.conf.get(name, None) != value:
             spark.conf.set(name, value)
