@@ -12,6 +12,7 @@ from tidegrid.session import configure, cut_lineage
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base limits and the likelihood ratio; labelled good ones are the target."""
+    configure(spark)
     marked, good = rules.labelled_good(docs, table(spark, sf_dir, "labels"))
     judged = rules.judge(docs, rules.corpus_ratios(marked, good), out="_judged")
     return judged.filter("_judged.kept").drop("_judged")
@@ -19,11 +20,13 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group linked by n-gram similarity: the one with the least id."""
+    configure(spark)
     return jaccard.keep_one(docs)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the passages that a document of a smaller id has too; n_chars follows."""
+    configure(spark)
     cut = substrings.remove_repeats(docs)
     changed = F.col("n_removed") > 0
     text = F.when(changed, F.col("kept_text")).otherwise(F.col("text"))
@@ -34,12 +37,14 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them, in whole copies."""
+    configure(spark)
     mixed = mixing.mix(docs, boundary="whole", out="_mix")
     return mixing.repeat_taken(mixed, out="_mix").select(*docs.columns)
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each text, with digests of ids and decoded text."""
+    configure(spark)
     return bpe.encode_decode(
         docs,
         tokenizer_path(),
@@ -62,7 +67,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; each result but the last is written and read again."""
-    docs = table(configure(spark), sf_dir, "documents")
+    docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = cut_lineage(stage(spark, docs, sf_dir), f"pipeline-{name}")
     return STAGES[-1][1](spark, docs, sf_dir)
