@@ -15,7 +15,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     configure(spark)
     marked, good = rules.labelled_good(docs, table(spark, sf_dir, "labels"))
     judged = rules.judge(docs, rules.corpus_ratios(marked, good), out="_judged")
-    return judged.filter("_judged.kept").drop("_judged")
+    # Written before the filter: Spark would push it below and compute the figures many times over.
+    return cut_lineage(judged, "pipeline-judged").filter("_judged.kept").drop("_judged")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
