@@ -16,11 +16,13 @@ import unicodedata
 from collections.abc import Iterator
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidegrid.llm import hashing
 from tidegrid.llm.common import schema_with
 
 # Word pattern of the vocabulary's pre-tokenizer, end-of-word mark.
@@ -28,7 +30,7 @@ WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 END = "</w>"
 SPLIT = re.compile(r"[\x20\x09-\x0D]+").split
 # Words remembered by one Python worker; beyond it the memory starts anew.
-REMEMBERED = 700_000
+REMEMBERED = 250_000
 
 
 def byte_signs() -> list[str]:
@@ -114,7 +116,7 @@ class Bpe:
                 until, left = turn_left, self.parts[left][1]
             else:
                 until, right = turn_right + 1, self.parts[right][0]
-        if len(self.fits) > 2_000_000:
+        if len(self.fits) > 500_000:
             self.fits.clear()
         self.fits[key] = answer
         return answer
@@ -166,7 +168,7 @@ class Bpe:
                 for word in self.words.findall(normal(piece)):
                     found = self.known.get(word)
                     if found is None:
-                        if len(self.known) >= REMEMBERED // 2:
+                        if len(self.known) >= REMEMBERED:
                             self.known.clear()
                         found = self.known[word] = self.encode_word(word)
                     ids.extend(found)
@@ -258,20 +260,29 @@ def encode_decode(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(spec)
         for batch in batches:
-            out: dict[str, list] = {c: [] for c in results}
-            for text in batch.column(len(kept)):
-                n, line, back = bpe.written(text.as_py() or "")
-                for name in results:
-                    out[name].append(
-                        n if name == "n_tokens"
-                        else [int(i) for i in line.split()] if name == "ids"
-                        else back if name == "decoded"
-                        else digest(line if name == "ids_sha256" else back)
-                    )
-            arrow = {"n_tokens": pa.int64(), "ids": pa.list_(pa.int32())}
-            columns = [batch.column(i) for i in range(len(kept))]
-            columns += [pa.array(out[c], arrow.get(c, pa.string())) for c in results]
-            yield pa.RecordBatch.from_arrays(columns, [*kept, *results])
+            for piece in hashing.slices(batch, len(kept), 1_000_000):
+                yield encoded(bpe, piece)
+
+    def encoded(bpe: Bpe, piece: pa.RecordBatch) -> pa.RecordBatch:
+        out: dict[str, list] = {c: [] for c in results}
+        for text in piece.column(len(kept)):
+            n, line, back = bpe.written(text.as_py() or "")
+            for name in results:
+                out[name].append(
+                    n if name == "n_tokens"
+                    else np.array(line.split(), np.int32) if name == "ids"
+                    else back if name == "decoded"
+                    else digest(line if name == "ids_sha256" else back)
+                )
+        columns = [piece.column(i) for i in range(len(kept))]
+        for name in results:
+            if name == "ids":
+                bounds = np.cumsum([0, *map(len, out[name])]).astype(np.int32)
+                flat = np.concatenate([np.zeros(0, np.int32), *out[name]])
+                columns.append(pa.ListArray.from_arrays(pa.array(bounds), pa.array(flat)))
+            else:
+                columns.append(pa.array(out[name], pa.int64() if name == "n_tokens" else pa.string()))
+        return pa.RecordBatch.from_arrays(columns, [*kept, *results])
 
     given = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(text_col).alias("_bpe_text"))
     return given.mapInArrow(run, schema)
