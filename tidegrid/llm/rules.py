@@ -139,6 +139,9 @@ def judge(
     texts have no words and fail the base limits; each row is judged by itself, so repeated
     rows and ties get equal verdicts. An empty table gives an empty table; an existing
     column ``out`` is replaced.
+
+    Write the result before filtering on it: Spark pushes such a filter below the figures
+    and computes them many times over.
     """
     rows, one, two, signs = _grams(docs, text_col, "_rule")
     four, eight, table, words = (
