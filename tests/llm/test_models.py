@@ -215,6 +215,20 @@ def test_ppm_equals_hand_count(spark):
         assert r.score == pytest.approx(score(r.text or ""), abs=1e-4), r.text
 
 
+@pytest.mark.parametrize("nodes, common_grams", [(0, 0), (1, 5), (40, 20), (0, 1 << 20)])
+def test_ppm_bounds_change_no_score(spark, nodes, common_grams):
+    """Every context counts, whatever goes to each task."""
+    texts = ["abracadabra", "abc abc abd", "", "zéro été", "abra" * 5, "the rarest of rare contexts"]
+    more = [*texts, "cadabra zzz", None, "été\x00", "contexts of the rarest brac"]
+    docs = spark.createDataFrame([*enumerate(more), (20, "rare zéro abd")], "doc_id long, text string")
+    expected = by_hand(texts, ppm.ORDER)
+    scored = ppm.score(docs, F.col("doc_id") < len(texts), nodes=nodes, common_grams=common_grams)
+    rows = scored.join(docs, "doc_id").collect()
+    assert len(rows) == docs.count()
+    for r in rows:
+        assert r.score == pytest.approx(expected(r.text or ""), abs=1e-4), r.text
+
+
 def test_ppm_rows_are_distributions(given):
     trie = ppm.trie_of(ppm.training_counts(given, "text", F.lit(True)), nodes=300)
     assert np.abs((10.0 ** trie.logp.astype(float)).sum(1) - 1).max() < 1e-5
