@@ -13,8 +13,7 @@ from tidegrid.session import configure, cut_lineage
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base limits and the likelihood ratio; labelled good ones are the target."""
     configure(spark)
-    marked, good = rules.labelled_good(docs, table(spark, sf_dir, "labels"))
-    judged = rules.judge(docs, rules.corpus_ratios(marked, good), out="_judged")
+    judged = rules.judge(docs, rules.trusted_ratios(docs, table(spark, sf_dir, "labels")), out="_judged")
     # Written before the filter: Spark would push it below and compute the figures many times over.
     return cut_lineage(judged, "pipeline-judged").filter("_judged.kept").drop("_judged")
 

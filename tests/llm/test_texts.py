@@ -102,6 +102,22 @@ def test_rules_reject_what_the_target_lacks(spark, given):
     assert kept == {i for i, *_ in good}
 
 
+def test_rules_trust_every_good_label(spark):
+    """However many labels there are, and however many ids are broadcast at once."""
+    docs = spark.createDataFrame(
+        [(i, sentence(30, 40 * i) + " !" * (i % 3)) for i in range(60)] + [(None, "no id here")],
+        "doc_id long, text string",
+    )
+    # 30,000 good ids, 40 of them of documents; the greatest label of an id counts.
+    labels = spark.range(20, 30_020).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"))
+    labels = labels.unionByName(spark.createDataFrame([(25, 0), (3, 0), (None, 1)], "doc_id long, quality int"))
+    expected = rules.corpus_ratios(docs, F.col("doc_id") >= 20, buckets=512).first().ratios
+    marked, good = rules.labelled_good(docs, labels)
+    assert rules.corpus_ratios(marked, good, buckets=512).first().ratios == expected
+    for block in (rules.BLOCK_IDS, 11_000):
+        assert rules.trusted_ratios(docs, labels, buckets=512, block=block).first().ratios == expected
+
+
 def test_rules_edges(edge, none, labels):
     marked, good = rules.labelled_good(none, labels)
     assert rules.judge(none, rules.corpus_ratios(marked, good)).count() == 0

@@ -64,8 +64,7 @@ def op5_ngram_jaccard_join(spark, sf_dir):
 @QUERIES.add()
 def op6_ratio_rules(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    marked, good = rules.labelled_good(docs, table(spark, sf_dir, "labels"))
-    judged = rules.judge(docs, rules.corpus_ratios(marked, good))
+    judged = rules.judge(docs, rules.trusted_ratios(docs, table(spark, sf_dir, "labels")))
     return judged.select("doc_id", "rules.*")
 
 

@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidegrid.llm.common import SPACE, free_name, least_hashed, with_struct
+from tidegrid.keys import BROADCAST_CELLS, broadcast_if_small
+from tidegrid.llm.common import SPACE, free_name, settle, with_struct
 
 WINDOW = 8  # words of a repeated window
 LEAST_WORDS = 20
@@ -22,8 +23,8 @@ WHITE = " \t\n\x0b\f\r"
 BUCKETS = 1 << 15
 SMOOTHING = 1.0
 THRESHOLD = -0.3
-# The target multinomial is learnt on at most so many trusted documents, those of least hash.
-TRUSTED_ROWS = 20_000
+# Ids of trusted documents that are broadcast at once; more are taken in blocks.
+BLOCK_IDS = BROADCAST_CELLS // 2
 
 
 def _words(text: Column) -> Column:
@@ -59,10 +60,15 @@ def corpus_ratios(
     smoothed by one count per bucket, and raw counts leave out one occurrence, the judged
     one: what only its own document has says nothing. Without any n-gram all ratios are 0.
     """
+    return _ratios(_bucket_counts(docs, trusted, text_col, buckets), buckets)
+
+
+def _bucket_counts(docs: DataFrame, trusted: Column, text_col: str, buckets: int) -> DataFrame:
+    """Rows (bucket, raw, target): n-grams of all documents and of the trusted ones."""
     mark = free_name(docs, "_rule_trusted")
     rows = docs.withColumn(mark, F.coalesce(trusted, F.lit(False)))
     rows, one, two, signs = _grams(rows, text_col, "_rule")
-    counts = (
+    return (
         rows.select(mark, F.explode(F.concat(one, two, signs)).alias("gram"))
         .select(
             F.pmod("gram", F.lit(buckets)).cast("int").alias("bucket"),
@@ -71,6 +77,9 @@ def corpus_ratios(
         .groupBy("bucket")
         .agg(F.count("*").alias("raw"), F.sum("hit").alias("target"))
     )
+
+
+def _ratios(counts: DataFrame, buckets: int) -> DataFrame:
     # At most ``buckets`` rows, whatever the corpus.
     table = F.array_sort(F.collect_list(F.struct("bucket", "raw", "target")))
     sums = counts.agg(
@@ -185,19 +194,62 @@ def judge(
     )
 
 
-def labelled_good(
-    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", most: int = TRUSTED_ROWS
-) -> tuple[DataFrame, Column]:
-    """``docs`` with a mark for the trusted documents: at most ``most`` that ``labels`` calls good.
-
-    Of several labels of one id the greatest counts. A null id is never trusted.
-    """
-    mark, key = free_name(docs, "_rule_good"), free_name(docs, "_rule_id")
-    good = (
+def _good_ids(labels: DataFrame, key: str) -> DataFrame:
+    """Every id that ``labels`` calls good: of several labels of one id the greatest counts."""
+    return (
         labels.groupBy(F.col("doc_id").alias(key))
         .agg(F.max("quality").alias("q"))
         .filter((F.col("q") == 1) & F.col(key).isNotNull())
+        .select(key)
     )
-    good = least_hashed(good, F.col(key), most, 60).select(key, F.lit(True).alias(mark))
-    joined = docs.join(F.broadcast(good), docs[id_col] == F.col(key), "left").drop(key)
+
+
+def labelled_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id") -> tuple[DataFrame, Column]:
+    """``docs`` with a mark for the trusted documents: all that ``labels`` calls good.
+
+    A null id is never trusted. Beyond BLOCK_IDS ids Spark moves the texts to join them;
+    ``trusted_ratios`` does without.
+    """
+    mark, key = free_name(docs, "_rule_good"), free_name(docs, "_rule_id")
+    good = settle(_good_ids(labels, key), "rule-good").withColumn(mark, F.lit(True))
+    joined = docs.join(broadcast_if_small(good), docs[id_col] == F.col(key), "left").drop(key)
     return joined, F.col(mark)
+
+
+def trusted_ratios(
+    docs: DataFrame,
+    labels: DataFrame,
+    *,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    buckets: int = BUCKETS,
+    block: int = BLOCK_IDS,
+) -> DataFrame:
+    """``corpus_ratios`` with every document as target that ``labels`` calls good.
+
+    Documents and ids are taken in as many parts, by hash of the id, as make about ``block``
+    ids each: these are broadcast, so no text is moved. Every part reads all texts, but
+    counts its own only.
+    """
+    mark, key = free_name(docs, "_rule_good"), free_name(docs, "_rule_id")
+    good = settle(_good_ids(labels, key), "rule-good")
+    parts = max(1, -(-good.count() // block))
+
+    def part(of: DataFrame, column: str, number: int) -> DataFrame:
+        if parts == 1:
+            return of
+        return of.filter(F.pmod(F.xxhash64(F.lit(60), F.col(column).cast("string")), F.lit(parts)) == number)
+
+    counts = None
+    for number in range(parts):
+        own = F.broadcast(part(good, key, number).withColumn(mark, F.lit(True)))
+        rows = part(docs, id_col, number)
+        marked = rows.join(own, rows[id_col] == F.col(key), "left").drop(key)
+        counted = _bucket_counts(marked, F.col(mark), text_col, buckets)
+        if parts > 1:
+            # At most ``buckets`` rows; one part's ids at a time are in memory.
+            counted = settle(counted, "rule-counts")
+        counts = counted if counts is None else counts.unionByName(counted)
+    if parts > 1:
+        counts = counts.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
+    return _ratios(counts, buckets)
