@@ -6,7 +6,9 @@ import corpus_pipeline
 from pyspark.sql import functions as F
 
 from tidegrid.catalog.base import Registry
-from tidegrid.llm import bpe, classifier, fingerprints, jaccard, mixing, ppm, rules, sharding, substrings, warc
+from tidegrid.llm import (
+    bpe, classifier, codes, fingerprints, jaccard, licenses, mixing, ppm, rules, sharding, spelling, sql, substrings, warc,
+)
 from tidegrid.llm.common import residue, table, tokenizer_path
 
 QUERIES = Registry()
@@ -106,6 +108,24 @@ def op10_edit_fingerprints(spark, sf_dir):
     return fingerprints.compare_with_next(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+@QUERIES.add(sql.SPELLING)
+def op11_spelling_variants(spark, sf_dir):
+    return spelling.variant_groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@QUERIES.add(sql.CODES)
+def op12_vector_codes(spark, sf_dir):
+    coded, books = codes.compress(table(spark, sf_dir, "embeddings"))
+    return coded.select("vec_id", "code", "error", "label_error", F.lit(books.digest()).alias("codebooks_sha256"))
+
+
+@QUERIES.add(sql.licenses_sql())
+def op13_license_rules(spark, sf_dir):
+    scanned = licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    names = ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+    return scanned.select("doc_id", *[f"licenses.{c}" for c in names])
+
+
 @QUERIES.add(corpus_pipeline.ORACLE_SQL)
 def pipeline(spark, sf_dir):
     return corpus_pipeline.run(spark, sf_dir)
