@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
@@ -90,10 +90,22 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return path
 
 
-def clear_scratch(spark: SparkSession) -> None:
-    """Delete every scratch copy this process has made, once their results are written."""
-    delete_paths(spark, sorted(_MADE))
-    _MADE.clear()
+def scratch_made() -> frozenset[str]:
+    """The scratch copies this process has made and not deleted."""
+    return frozenset(_MADE)
+
+
+def clear_scratch(spark: SparkSession, paths: Iterable[str] | None = None) -> None:
+    """Delete scratch copies this process has made, all or those given, once their results are written."""
+    gone = sorted(_MADE if paths is None else _MADE.intersection(paths))
+    delete_paths(spark, gone)
+    _MADE.difference_update(gone)
+
+
+def read_by(df: DataFrame, paths: Iterable[str]) -> set[str]:
+    """Those scratch copies that ``df`` still reads."""
+    folders = {part for file in df.inputFiles() for part in file.split("/")}
+    return {p for p in paths if p.rsplit("/", 1)[1] in folders}
 
 
 @contextmanager
