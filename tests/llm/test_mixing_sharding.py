@@ -67,7 +67,7 @@ def test_mix_prefers_quality(spark):
 def test_mix_edges(none, edge):
     assert mixing.mix(none).count() == 0
     assert mixing.repeat_taken(mixing.mix(none)).count() == 0
-    rows = mixing.mix(clash(edge, "mix", "size", "target", "_mix_size")).collect()
+    rows = mixing.mix(clash(edge, "mix", "size", "target", *[f"_mix_{c}" for c in mixing.OWN])).collect()
     assert rows[0]["size"] == "own size" and rows[0]["_mix_size"] == "own _mix_size"
     check_mix(rows, "cut")
     with pytest.raises(ValueError):
@@ -121,7 +121,7 @@ def test_permutation_is_one(spark):
 
 def test_shard_edges(none, edge):
     assert sharding.shard_rows(none).count() == 0
-    docs = clash(edge, "placed", "row", "shard", "_shard_row")
+    docs = clash(edge, "placed", "row", "shard", *[f"_shard_{c}" for c in sharding.OWN])
     rows = sharding.shard_rows(docs).collect()
     assert rows_by(rows, "shard") == {"own shard"}
     check_shards(rows, docs, 16)

@@ -38,14 +38,21 @@ def test_links(spark, given, edge):
     assert {r.n_links for r in rows} == {89}
 
 
-def test_keep_one(edge, given, none):
-    for docs in (edge, given):
-        kept = jaccard.keep_one(clash(docs, "o", "h", "node"))
-        assert kept.columns == [*docs.columns, "o", "h", "node"]
-        ids = collections.Counter(r.doc_id for r in kept.collect())
-        groups = {r.group_id for r in jaccard.link_documents(docs).collect()}
-        assert set(ids) >= groups - {None}
-    assert sum(ids.values()) == len(groups)
+def test_keep_one(spark, edge, given, none):
+    base = sentence(90).split(" ")
+    near = [" ".join([*base[:i], "other", *base[i + 1 :]]) for i in (30, 50, 70)]
+    rows = [(None, t) for t in near] + [(7, t + " x") for t in near[:2]] + [(8, sentence(90, 400))] * 2
+    alike = spark.createDataFrame(rows, "doc_id long, text string")
+    names = ("o", "h", "node", "O_K", "h_k", "_one_o", "_one_ok", "_one_hk", "group_id", "group_hash")
+    for docs in (edge, given, alike):
+        kept = jaccard.keep_one(clash(docs, *names))
+        assert kept.columns == [*docs.columns, *names]
+        groups = jaccard.link_documents(docs).collect()
+        least = {(r.group_id, r.group_hash) for r in groups}
+        seen = {(r.doc_id, r.text_hash) for r in groups}
+        assert least <= seen
+        assert sorted(map(repr, ((r.doc_id,) for r in kept.collect()))) == sorted(repr((i,)) for i, _ in least)
+    assert {r.doc_id for r in kept.collect()} == {7, 8} and kept.count() == 2
     assert jaccard.keep_one(none).count() == 0
     assert jaccard.link_documents(none).count() == 0
 

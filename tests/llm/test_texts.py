@@ -140,7 +140,7 @@ def test_repeated_passages(given, edge):
 
 def test_repeated_passage_edges(edge, none):
     assert substrings.remove_repeats(none).count() == 0
-    docs = clash(edge, "n_words", "slice", "_sub_text_", "a")
+    docs = clash(edge, "N_Words", "slice", "a", "o_k", "s_k", "own0", "_sub_order", "_sub_one", "_sub_starts", "_sub_first", "_sub_copy")
     rows = substrings.remove_repeats(docs).collect()
     assert {r.a for r in rows} == {"own a"} and all(isinstance(r.n_words, int) for r in rows)
 

@@ -48,7 +48,7 @@ def word_rows(word: str) -> tuple[int, int, int]:
     case = "-" if not letters else "U" if letters.isupper() and len(letters) > 1 else (
         "T" if letters.istitle() else "l" if letters.islower() else "m"
     )
-    signs = re.sub(r"\d", "0", rest)[:6]
+    signs = re.sub(r"\d", "0", rest)
     form = f"\x01{case}{signs}"
     return (_row(letters.lower()) if letters else 0), _row(form), _row(form + "\x02")
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidegrid.session import cut_lineage
+from tidegrid.session import cut_lineage, scratch_path
 
 # ASCII white space: what separates words everywhere in this package.
 SPACE = r"[ \t\n\x0B\f\r]+"
@@ -34,6 +34,16 @@ def settle(df: DataFrame, label: str) -> DataFrame:
     return cut_lineage(df, label)
 
 
+def settle_by(df: DataFrame, flag: str, label: str) -> tuple[DataFrame, str]:
+    """``df`` computed once, its rows in folders by ``flag``, and the path of the table.
+
+    A folder can be deleted when its rows are needed no more.
+    """
+    path = scratch_path(df.sparkSession, label)
+    df.write.partitionBy(flag).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path).select(df.columns), path
+
+
 def with_struct(df: DataFrame, name: str, **fields: Column) -> DataFrame:
     """``df`` with its results in one struct column; a column of that name is replaced."""
     return df.withColumn(name, F.struct(*[c.alias(k) for k, c in fields.items()]))

@@ -204,13 +204,13 @@ def link_documents(
     tolerance: float = TOLERANCE,
     block: int = BLOCK,
 ) -> DataFrame:
-    """One row per document: id, text_hash, group_id, n_links and n_copies.
+    """One row per document: id, text_hash, group_id, group_hash, n_links and n_copies.
 
     Two documents are linked if the Jaccard similarity of their sets of distinct five-word
     n-grams is at least ``threshold``. ``n_links`` is the number of other documents linked to
     this one, ``n_copies`` that of documents with the same n-gram set, itself included, and
     ``group_id`` the least id of its connected component. ``text_hash`` (xxhash64 of the
-    text) tells rows of one id apart.
+    text) tells rows of one id apart; ``group_hash`` is that of the group's least row.
 
     A pair is lost with probability below 1e-5 at the threshold (bands and posterior), less
     above it; pairs below the threshold are never linked. Null and empty texts link to
@@ -255,8 +255,13 @@ def link_documents(
     some = signed.filter("node IS NOT NULL")
     classes = settle(
         some.groupBy("node").agg(
-            F.min(F.struct("o", "r")).alias("first"), F.count("*").alias("copies")
-        ).select(F.col("node").alias("node_k"), "copies", F.col("first.o").alias("rep"), F.col("first.r").alias("rep_r")),
+            F.min(F.struct("o", "h", "r")).alias("first"), F.count("*").alias("copies")
+        ).select(
+            F.col("node").alias("node_k"),
+            "copies",
+            F.struct("first.o", "first.h").alias("rep"),
+            F.col("first.r").alias("rep_r"),
+        ),
         "jaccard-classes",
     )
     # One signed row per class, found by its row number.
@@ -369,9 +374,11 @@ def link_documents(
         roots.select(F.col("node").alias("node_k"), "root"), "node_k", "left"
     )
     about = about.withColumn("root", F.coalesce("root", "node_k"))
-    least_id = about.groupBy(F.col("root").alias("root_k")).agg(F.min("rep").alias("group_id"))
+    least_id = about.groupBy(F.col("root").alias("root_k")).agg(F.min("rep").alias("least"))
     about = settle(
-        about.join(least_id, F.col("root") == F.col("root_k")).select("node_k", "copies", "links", "group_id"),
+        about.join(least_id, F.col("root") == F.col("root_k")).select(
+            "node_k", "copies", "links", F.col("least.o").alias("group_id"), F.col("least.h").alias("group_hash")
+        ),
         "jaccard-groups",
     )
     joined = signed.select("o", "h", "node").join(about, F.col("node") == F.col("node_k"), "left")
@@ -382,27 +389,31 @@ def link_documents(
     return joined.select(
         back("o").alias(id_col),
         F.col("h").alias("text_hash"),
-        F.coalesce(back("group_id"), back("o")).alias("group_id"),
+        # Text without words is in no class, and a group of its own.
+        F.when(F.col("group_id").isNull(), back("o")).otherwise(back("group_id")).alias("group_id"),
+        F.coalesce("group_hash", "h").alias("group_hash"),
         (F.coalesce("links", F.lit(0)) + F.coalesce("copies", F.lit(1)) - 1).alias("n_links"),
         F.coalesce("copies", F.lit(1)).alias("n_copies"),
     )
 
 
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one document of each group: the one with the least id.
+    """``docs`` with one document of each group: the one with the least id, null being the greatest.
 
-    Of rows equal in id and text one stays. Texts without words are groups of their own.
+    Of several texts under that id the one of least hash stays, of rows equal in id and
+    text one. Texts without words are groups of their own.
     """
     groups = link_documents(docs, id_col=id_col, text_col=text_col)
-    o, h, n = (free_name(docs, f"_one_{c}") for c in "ohn")
+    o, h, n, ok, hk = (free_name(docs, f"_one_{c}") for c in ("o", "h", "n", "ok", "hk"))
+    least = F.col(id_col).eqNullSafe(F.col("group_id")) & (F.col("text_hash") == F.col("group_hash"))
     keepers = (
-        groups.filter(F.col(id_col).eqNullSafe(F.col("group_id")))
-        .select(F.coalesce(F.col(id_col), F.lit(LAST)).alias("o_k"), F.col("text_hash").alias("h_k"))
+        groups.filter(least)
+        .select(F.coalesce(F.col(id_col), F.lit(LAST)).alias(ok), F.col("text_hash").alias(hk))
         .distinct()
     )
     keyed = docs.withColumn(o, F.coalesce(F.col(id_col).cast("long"), F.lit(LAST))).withColumn(
         h, F.coalesce(F.xxhash64(F.col(text_col)), F.lit(0))
     )
-    kept = keyed.join(keepers, (F.col(o) == F.col("o_k")) & (F.col(h) == F.col("h_k"))).drop("o_k", "h_k")
+    kept = keyed.join(keepers, (F.col(o) == F.col(ok)) & (F.col(h) == F.col(hk))).drop(ok, hk)
     order = W.partitionBy(o, h).orderBy(F.lit(1))
     return kept.withColumn(n, F.row_number().over(order)).filter(F.col(n) == 1).drop(o, h, n)

@@ -19,6 +19,11 @@ from tidegrid.llm.common import SPACE, WORD, free_name, settle, tag, with_struct
 # Quality weights are held within these bounds, which keeps key buckets even.
 LEAST_WEIGHT, MOST_WEIGHT = 0.25, 1.0
 
+# Buckets of a source: each is ordered in one task.
+LEAST_BUCKETS, ROWS_PER_BUCKET = 512, 200_000
+# What is worked out beside a row's own columns.
+OWN = ("size", "group", "key", "bucket", "before", "ahead", "source_size", "target")
+
 
 def word_count(text: Column) -> Column:
     """Words of a text; a null text has none."""
@@ -70,7 +75,7 @@ def mix(
     quality: Column | None = None,
     boundary: str = "cut",
     seed: int = 20,
-    buckets: int = 512,
+    buckets: int | None = None,
     out: str = "mix",
 ) -> DataFrame:
     """Every row of ``docs`` with a struct ``out``: size, source_size, target, copies, taken.
@@ -80,7 +85,8 @@ def mix(
     fit, so a source's words equal its target rounded; with ``"whole"`` that document is
     taken if this brings the sum nearer to the target, and every copy is complete.
 
-    Within a source documents are put into ``buckets`` by key; only bucket sums are
+    Within a source documents are put into ``buckets`` by key (512, or one for every
+    ``ROWS_PER_BUCKET`` rows of ``docs`` if these are more); only bucket sums are
     ordered as a whole, and each bucket's documents among themselves, so no task holds
     a source. The bucket bounds are quantiles of exponentials, so that buckets are even
     for any weights within 0.25 and 1; other ``quality`` values are clamped to these.
@@ -91,12 +97,14 @@ def mix(
     """
     if boundary not in ("cut", "whole"):
         raise ValueError(f"boundary must be 'cut' or 'whole', not {boundary!r}")
+    if buckets is None:
+        buckets = max(LEAST_BUCKETS, docs.count() // ROWS_PER_BUCKET)
     text = F.col(text_col)
     weight = quality if quality is not None else cleanliness(text)
     weight = F.least(F.greatest(F.coalesce(weight, F.lit(LEAST_WEIGHT)), F.lit(LEAST_WEIGHT)), F.lit(MOST_WEIGHT))
     drawn = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(id_col).cast("string"), text), 11)
     key = -F.log((drawn + 0.5) / float(2**53)) / weight
-    fields = {c: free_name(docs, f"_mix_{c}") for c in ("size", "group", "key", "bucket")}
+    fields = {c: free_name(docs, f"_mix_{c}") for c in OWN}
     size, group, at, bucket = (F.col(fields[c]) for c in ("size", "group", "key", "bucket"))
     share = 1.0 - (F.exp(-at) + F.exp(-at / 2) + F.exp(-at / 4)) / 3
     keyed = (
@@ -126,22 +134,22 @@ def mix(
     plan = plan.select(
         F.col("g").alias(fields["group"]),
         F.col("b").alias(fields["bucket"]),
-        *[F.col(c).alias(f"_mix_plan_{c}") for c in ("ahead", "source_size", "target")],
+        *[F.col(c).alias(fields[c]) for c in ("ahead", "source_size", "target")],
     )
-    ahead, source_size, target = (F.col(f"_mix_plan_{c}") for c in ("ahead", "source_size", "target"))
+    ahead, source_size, target = (F.col(fields[c]) for c in ("ahead", "source_size", "target"))
     order = W.partitionBy(group, bucket).orderBy(at, F.col(id_col).cast("string"), size)
     before = ahead + F.sum(size).over(order.rowsBetween(W.unboundedPreceding, 0)) - size
-    placed = keyed.join(plan, [fields["group"], fields["bucket"]]).withColumn("_mix_before", before)
+    placed = keyed.join(plan, [fields["group"], fields["bucket"]]).withColumn(fields["before"], before)
     epochs = F.when(source_size > 0, F.floor(target / source_size)).otherwise(F.lit(0)).cast("long")
     rest = F.round(target - epochs * source_size).cast("long")
     if boundary == "cut":
-        part = F.least(size, F.greatest(F.lit(0), rest - F.col("_mix_before")))
+        part = F.least(size, F.greatest(F.lit(0), rest - F.col(fields["before"])))
         copies = epochs + F.when(part > 0, F.lit(1)).otherwise(F.lit(0))
     else:
-        chosen = (size > 0) & (F.col("_mix_before") + size / 2 <= rest)
+        chosen = (size > 0) & (F.col(fields["before"]) + size / 2 <= rest)
         part = F.when(chosen, size).otherwise(F.lit(0))
         copies = epochs + chosen.cast("long")
-    kept = [c for c in docs.columns if c != out]
+    kept = [c for c in docs.columns if c.lower() != out.lower()]
     return with_struct(
         placed,
         out,

@@ -147,10 +147,7 @@ def judge(
     a base limit fails, else whether the mean ratio reaches ``threshold``. Null and empty
     texts have no words and fail the base limits; each row is judged by itself, so repeated
     rows and ties get equal verdicts. An empty table gives an empty table; an existing
-    column ``out`` is replaced.
-
-    Write the result before filtering on it: Spark pushes such a filter below the figures
-    and computes them many times over.
+    column ``out`` is replaced. The result may be filtered on: figures are computed once.
     """
     rows, one, two, signs = _grams(docs, text_col, "_rule")
     four, eight, table, words = (
@@ -181,17 +178,16 @@ def judge(
     )
     f = F.col(figures)
     failed = (f["n_words"] < LEAST_WORDS) | (100 * f["n_repeat_words"] > MOST_REPEATED * f["n_words"])
-    kept = [c for c in docs.columns if c != out]
-    return rows.select(
-        *[F.col(f"`{c}`") for c in kept],
-        F.struct(
-            *[f[c].alias(c) for c in (
-                "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "mean_ratio"
-            )],
-            failed.alias("base_failed"),
-            (~failed & (f["mean_ratio"] >= threshold)).alias("kept"),
-        ).alias(out),
+    kept = [c for c in docs.columns if c.lower() != out.lower()]
+    verdict = F.struct(
+        *[f[c].alias(c) for c in (
+            "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "mean_ratio"
+        )],
+        failed.alias("base_failed"),
+        (~failed & (f["mean_ratio"] >= threshold)).alias("kept"),
     )
+    # A generated column: filters on it stay above the figures, which are computed once.
+    return rows.select(*[F.col(f"`{c}`") for c in kept], F.explode_outer(F.array(verdict)).alias(out))
 
 
 def _good_ids(labels: DataFrame, key: str) -> DataFrame:

@@ -16,11 +16,21 @@ from pyspark.sql import functions as F
 from tidegrid.llm.common import free_name, settle, utf8, with_struct
 
 ROUNDS = 8
+TRIED = 65_536
+
+# Buckets number their rows in one task each; their counts are broadcast, two numbers a bucket.
+LEAST_BUCKETS, ROWS_PER_BUCKET = 1024, 200_000
+# What is worked out beside a row's own columns.
+OWN = ("bucket", "crc", "size", "row", "at", "ahead")
 
 
 def sides(rows: int) -> tuple[int, int]:
-    """Two near-equal sides of a rectangle that holds ``rows`` cells and few more."""
-    a = max(1, math.isqrt(max(rows - 1, 0)) + 1)
+    """Two near-equal sides of a rectangle that holds ``rows`` cells and very few more.
+
+    Of ``TRIED`` lengths from the square root on, that which leaves the fewest cells spare.
+    """
+    root = max(1, math.isqrt(max(rows - 1, 0)) + 1)
+    a = min(range(root, root + min(TRIED, root)), key=lambda side: side * -(-rows // side) - rows)
     return a, max(1, -(-rows // a))
 
 
@@ -69,14 +79,14 @@ def shard_rows(
     id_col: str = "doc_id",
     text_col: str = "text",
     seed: int = 30,
-    buckets: int = 1024,
+    buckets: int | None = None,
     out: str = "placed",
 ) -> DataFrame:
     """Every row with a struct ``out``: size, text_crc32, row, position, shard, slot.
 
     Sizes are UTF-8 bytes plus 1. Row counts of shards differ by at most one and slots run
     from 0 without gaps. Row numbers are given per hash bucket of (id, text): bucket counts
-    are summed first, then each bucket numbers its own rows, so there is no global sort.
+    (1,024 buckets, or one for every ``ROWS_PER_BUCKET`` rows if these are more) are summed first, then each bucket numbers its own rows, so there is no global sort.
 
     A null text has no bytes (size 1, crc32 0); null ids come first in their bucket. Rows
     equal in id and text get different numbers, in any order. An empty table gives an empty
@@ -84,7 +94,9 @@ def shard_rows(
     """
     if shards < 1:
         raise ValueError("shards must be at least 1")
-    names = {c: free_name(docs, f"_shard_{c}") for c in ("bucket", "crc", "size", "row", "at")}
+    if buckets is None:
+        buckets = max(LEAST_BUCKETS, docs.count() // ROWS_PER_BUCKET)
+    names = {c: free_name(docs, f"_shard_{c}") for c in OWN}
     bucket, crc, size = (F.col(names[c]) for c in ("bucket", "crc", "size"))
     keyed = (
         docs.withColumn(names["crc"], F.crc32(utf8(text_col)))
@@ -99,16 +111,16 @@ def shard_rows(
     earlier = W.orderBy("b").rowsBetween(W.unboundedPreceding, -1)  # one row per bucket
     offsets = counts.select(
         F.col("b").alias(names["bucket"]),
-        F.coalesce(F.sum("count").over(earlier), F.lit(0)).alias("_shard_ahead"),
+        F.coalesce(F.sum("count").over(earlier), F.lit(0)).alias(names["ahead"]),
     )
     inside = W.partitionBy(bucket).orderBy(F.col(id_col), crc, size)
     # At most ``buckets`` rows of two numbers.
     numbered = keyed.join(F.broadcast(offsets), names["bucket"]).withColumn(
-        names["row"], (F.col("_shard_ahead") + F.row_number().over(inside) - 1).cast("long")
+        names["row"], (F.col(names["ahead"]) + F.row_number().over(inside) - 1).cast("long")
     )
     placed = permute(numbered, names["row"], rows, seed, names["at"])
     at = F.col(names["at"])
-    kept = [c for c in docs.columns if c != out]
+    kept = [c for c in docs.columns if c.lower() != out.lower()]
     return with_struct(
         placed,
         out,

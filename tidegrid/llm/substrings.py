@@ -22,7 +22,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidegrid.llm import hashing
-from tidegrid.llm.common import schema_with, settle
+from tidegrid.llm.common import schema_with, settle, settle_by
+from tidegrid.session import delete_paths
 
 WINDOW, GRAM = 50, 24
 # Rows of 2 ** width counters, merged in slices of 2 ** SLICE. After the merge one bit per
@@ -31,6 +32,7 @@ WINDOW, GRAM = 50, 24
 ROWS, SLICE, MOST_WIDTH = 3, 22, 28
 BYTES_PER_COUNTER = 13  # of text; some 90 bytes have one anchor
 LAST = (1 << 63) - 1  # a null id comes after all others
+ADDED = "n_words long, n_removed long, kept_sha256 string, kept_text string"
 
 
 def _anchors(hashes: np.ndarray) -> np.ndarray:
@@ -159,12 +161,13 @@ def remove_repeats(
     empty table. Kept columns named like a result are dropped in favour of the result.
     """
     spark = docs.sparkSession
-    added = "n_words long, n_removed long, kept_sha256 string, kept_text string"
-    names = {part.split(" ")[0] for part in added.split(", ")}
-    kept = [c for c in (docs.columns if keep is None else keep) if c not in names]
+    names = [part.split(" ")[0] for part in ADDED.split(", ")]
+    shown = [c for c in (docs.columns if keep is None else keep) if c.lower() not in names]
+    # Own columns travel under numbers, so that no name of theirs meets one used here.
+    kept = [f"own{i}" for i in range(len(shown))]
     width = sketch_width(docs, text_col)
     sketch = spark.sparkContext.broadcast(repeated_anchors(docs, text_col, width))
-    inner = "_sub_order long, _sub_one long, _sub_two long, _sub_hit boolean, _sub_n long, _sub_sha string, _sub_text string"
+    inner = "_sub_order long, _sub_one long, _sub_two long, _sub_hit int, _sub_n long, _sub_sha string, _sub_text string"
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.frombuffer(sketch.value, np.uint8)
@@ -188,7 +191,7 @@ def remove_repeats(
                     piece.column(at_id),
                     hashing.signed(sums[0]),
                     hashing.signed(sums[1]),
-                    pa.array(hit),
+                    pa.array(hit.astype(np.int32)),
                     pa.array(np.diff(bounds)),
                     pa.array(shas, pa.string()),
                     pa.array(shown, pa.string()),
@@ -196,11 +199,11 @@ def remove_repeats(
                 yield pa.RecordBatch.from_arrays(columns, [*kept, *(p.split(" ")[0] for p in inner.split(", "))])
 
     order = F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("_sub_order")
-    given = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(text_col).alias("_sub_given"), order)
-    scanned = settle(given.mapInArrow(scan, schema_with(docs, kept, inner)), "repeats-scan")
+    given = docs.select(*[F.col(f"`{c}`").alias(k) for c, k in zip(shown, kept)], F.col(text_col).alias("_sub_given"), order)
+    scanned, stored = settle_by(given.mapInArrow(scan, schema_with(given, kept, inner)), "_sub_hit", "repeats-scan")
 
     key = ["_sub_one", "_sub_two"]
-    hit = scanned.filter("_sub_hit")
+    hit = scanned.filter("_sub_hit = 1")
     # Equal word sequences: only the smallest id's windows need a look, all others go whole.
     firsts = settle(
         hit.groupBy(*[F.col(c).alias(f"{c}_k") for c in key])
@@ -217,6 +220,8 @@ def remove_repeats(
         .withColumn("_sub_text", F.when(~F.col("_sub_copy"), F.col("_sub_text"))),
         "repeats-marked",
     )
+    # These rows are in ``marked`` now; only the others are read again.
+    delete_paths(spark, [f"{stored}/_sub_hit=1"])
     looked = marked.filter("NOT _sub_copy")
     # Without the copies most anchors occur once: count again, over these documents only.
     second = spark.sparkContext.broadcast(repeated_anchors(looked, "_sub_text", width))
@@ -276,10 +281,10 @@ def remove_repeats(
                 pa.array([r[i] for r in rows], t)
                 for i, t in enumerate((pa.int64(), pa.int64(), pa.string(), pa.string()))
             ]
-            yield pa.RecordBatch.from_arrays(columns, [*kept, *(p.split(" ")[0] for p in added.split(", "))])
+            yield pa.RecordBatch.from_arrays(columns, [*kept, *(p.split(" ")[0] for p in ADDED.split(", "))])
 
     own = [F.col(f"`{c}`") for c in kept]
-    cut = joined.select(*own, "_sub_text", "_sub_starts").mapInArrow(finish, schema_with(docs, kept, added))
+    cut = joined.select(*own, "_sub_text", "_sub_starts").mapInArrow(finish, schema_with(given, kept, ADDED))
 
     def whole(rows: DataFrame, removed: str, sha: Column, text: Column) -> DataFrame:
         return rows.select(
@@ -290,9 +295,9 @@ def remove_repeats(
             text.alias("kept_text"),
         )
 
-    untouched = whole(scanned.filter("NOT _sub_hit"), "0", F.col("_sub_sha"), F.col("_sub_text"))
+    untouched = whole(scanned.filter("_sub_hit = 0"), "0", F.col("_sub_sha"), F.col("_sub_text"))
     copies = whole(marked.filter("_sub_copy"), "_sub_n", F.lit(_digest(b"")), F.lit(""))
-    return untouched.union(copies).union(cut)
+    return untouched.union(copies).union(cut).toDF(*shown, *names)
 
 
 def _sequence_hashes(hashes: np.ndarray, bounds: np.ndarray) -> list[np.ndarray]:
