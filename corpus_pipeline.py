@@ -2,32 +2,54 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegrid.llm import bpe, jaccard, mixing, rules, substrings
-from tidegrid.llm.common import table, tokenizer_path
-from tidegrid.session import configure, cut_lineage
+from tidegrid.llm.common import free_name, table, tokenizer_path
+from tidegrid.session import clear_scratch, configure, cut_lineage, read_by, scratch_made
+
+
+# Scratch copies that earlier stages have made for their results.
+_LEFT: set[str] = set()
+
+
+@contextmanager
+def _stage(spark: SparkSession, docs: DataFrame) -> Iterator[None]:
+    """One stage. A stage's result is stored before the next stage starts, so what earlier
+    stages have left goes now, but for what ``docs`` itself still reads."""
+    configure(spark)
+    spent = _LEFT - read_by(docs, _LEFT)
+    clear_scratch(spark, spent)
+    _LEFT.difference_update(spent)
+    before = scratch_made()
+    try:
+        yield
+    finally:
+        _LEFT.update(scratch_made() - before)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base limits and the likelihood ratio; labelled good ones are the target."""
-    configure(spark)
-    judged = rules.judge(docs, rules.trusted_ratios(docs, table(spark, sf_dir, "labels")), out="_judged")
-    # Written before the filter: Spark would push it below and compute the figures many times over.
-    return cut_lineage(judged, "pipeline-judged").filter("_judged.kept").drop("_judged")
+    with _stage(spark, docs):
+        out = free_name(docs, "_judged")
+        ratios = rules.trusted_ratios(docs, table(spark, sf_dir, "labels"))
+        return rules.judge(docs, ratios, out=out).filter(f"{out}.kept").drop(out)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group linked by n-gram similarity: the one with the least id."""
-    configure(spark)
-    return jaccard.keep_one(docs)
+    with _stage(spark, docs):
+        return jaccard.keep_one(docs)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the passages that a document of a smaller id has too; n_chars follows."""
-    configure(spark)
-    cut = substrings.remove_repeats(docs)
+    with _stage(spark, docs):
+        cut = substrings.remove_repeats(docs)
     changed = F.col("n_removed") > 0
     text = F.when(changed, F.col("kept_text")).otherwise(F.col("text"))
     result = cut.withColumn("text", text)
@@ -37,20 +59,21 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them, in whole copies."""
-    configure(spark)
-    mixed = mixing.mix(docs, boundary="whole", out="_mix")
-    return mixing.repeat_taken(mixed, out="_mix").select(*docs.columns)
+    with _stage(spark, docs):
+        out = free_name(docs, "_mix")
+        mixed = mixing.mix(docs, boundary="whole", out=out)
+        return mixing.repeat_taken(mixed, out=out).select(*docs.columns)
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each text, with digests of ids and decoded text."""
-    configure(spark)
-    return bpe.encode_decode(
-        docs,
-        tokenizer_path(),
-        keep=["doc_id", "lang", "source", "n_chars"],
-        results=("n_tokens", "ids", "ids_sha256", "decoded_sha256"),
-    )
+    with _stage(spark, docs):
+        return bpe.encode_decode(
+            docs,
+            tokenizer_path(),
+            keep=["doc_id", "lang", "source", "n_chars"],
+            results=("n_tokens", "ids", "ids_sha256", "decoded_sha256"),
+        )
 
 
 STAGES = [
@@ -66,8 +89,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each result but the last is written and read again."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over ``documents``; each result but the last is written and read again.
+
+    A stored result goes when the next one is stored.
+    """
+    docs, stored = table(spark, sf_dir, "documents"), frozenset()
     for name, stage in STAGES[:-1]:
-        docs = cut_lineage(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        result = stage(spark, docs, sf_dir)
+        before = scratch_made()
+        docs = cut_lineage(result, f"pipeline-{name}")
+        clear_scratch(spark, stored)
+        stored = scratch_made() - before
     return STAGES[-1][1](spark, docs, sf_dir)
