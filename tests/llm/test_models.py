@@ -39,7 +39,7 @@ def test_links(spark, given, edge):
 
 
 def test_keep_one(spark, edge, given, none):
-    base = sentence(90).split(" ")
+    base = sentence(160).split(" ")
     near = [" ".join([*base[:i], "other", *base[i + 1 :]]) for i in (30, 50, 70)]
     rows = [(None, t) for t in near] + [(7, t + " x") for t in near[:2]] + [(8, sentence(90, 400))] * 2
     alike = spark.createDataFrame(rows, "doc_id long, text string")
