@@ -39,6 +39,30 @@ def test_fill_takes_the_first_rows_of_a_long_gap(spark):
     assert_close(to_pandas(G.resample(frame(spark, data), max_gap_fill=0)).m0, [1, None, 2, None, None, None, 3])
 
 
+@pytest.mark.parametrize(("freq", "unit", "limit", "slots"), [("1s", "1s", 2, 3), ("2s", "1s", 4, 5), ("10s", "1s", 0, 1), ("500ms", "100ms", 3, 7)])
+def test_slices_equal_whole_keys(spark, freq, unit, limit, slots):
+    """Gaps over many slices, values carried from slice to slice, keys without values, two devices."""
+    gap = [(r[0] + 500, r[1], r[2]) for r in [(0.3, 5, None), (1, None, 2.0), (7, 6, 6.0)]]
+    data = noisy(60, seed=4, step=0.7) + rows([(0.2, None, None), (3, None, None), (4.5, None, 1.0), *gap], "b")
+    data += rows([(1, None, None), (5, None, None)], "empty")
+    options = {"freq": freq, "unit": unit, "max_gap_fill": limit, "method": "nearest"}
+    whole = to_pandas(G.resample(frame(spark, data), split=False, **options))
+    sliced = to_pandas(G.resample(frame(spark, data), split=True, slots=slots, **options))
+    pd.testing.assert_frame_equal(whole, sliced)
+    assert (sliced.device_id == "empty").sum() == 2 and len(sliced) > 60
+
+
+def test_no_array_is_as_long_as_a_gap(spark):
+    df = frame(spark, rows([(0, 1, 1.0), (4000, 2, None)]))
+    out = G.resample(df, freq="100ms", unit="100ms", max_gap_fill=5, slots=100)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "_slice" in plan
+    got = to_pandas(out)
+    assert len(got) == 40_001
+    assert_close(got.m0[:8], [1, 1, 1, 1, 1, 1, None, None])
+    assert got.m0.count() == 7 and got.m0.iloc[-1] == 2
+
+
 def test_leading_null_rows_go_trailing_stay(spark):
     data = rows([(0, None, None), (1, None, 5.0), (2, None, None)])
     for split in (False, True):

@@ -65,12 +65,29 @@ def mask_spikes(spark, sf_dir):
 
 @QUERIES.add(f"WITH {READINGS} {sql_spikes('readings', ('m0', 'm1'), 7, 60)}")
 def mask_spikes_sliced(spark, sf_dir):
-    """The same through time slices of the key, as for keys too big for one task."""
+    """The same through blocks of rows, as for keys too big for one task."""
     return CL.mask_spikes(
-        readings(spark, sf_dir), window=7, threshold=60, split=True, slice_length="1h"
+        readings(spark, sf_dir), window=7, threshold=60, split=True, block_rows=1_000
     )
 
 
+@QUERIES.add(f"WITH {READINGS} {sql_spikes('readings', ('m0', 'm1'), 301, 60)}")
+def mask_spikes_wide(spark, sf_dir):
+    """Frames of 301 rows."""
+    return CL.mask_spikes(readings(spark, sf_dir), window=301, threshold=60)
+
+
+# All readings of a day at one time: only their order tells them apart.
+AT_ONCE = """at_once AS (SELECT * REPLACE (CAST("day" AS TIMESTAMP) AS ts) FROM readings)"""
+
+
+@QUERIES.add(f"WITH {READINGS}, {AT_ONCE} {sql_spikes('at_once', ('m0', 'm1'), 64, 60)}")
+def mask_spikes_hot_second(spark, sf_dir):
+    """Frames of 64 rows where a key's rows all fall into one second."""
+    df = readings(spark, sf_dir)
+    return CL.mask_spikes(df.withColumn("ts", F.col("day").cast("timestamp")), window=64, threshold=60)
+
+
 @QUERIES.add(f"WITH {CLEANED} SELECT * FROM cleaned")
 def clean(spark, sf_dir):
     return cleaned(spark, sf_dir)
@@ -181,6 +198,25 @@ def resample(spark, sf_dir):
     return out.withColumn("m0", r6("m0"))
 
 
+# Days of readings in a four-hundredth of their time, on a grid of tenths of a second.
+QUICK = f"""quick AS (SELECT * REPLACE (make_timestamp(epoch_us(CAST("day" AS TIMESTAMP)) + (epoch_us(ts) - epoch_us(CAST("day" AS TIMESTAMP))) // 400) AS ts) FROM readings),
+  tenths AS (SELECT {K}, make_timestamp((epoch_us(ts) // 100000) * 100000) AS ts, arg_min(m0, (ts, seq)) AS m0, arg_min(m1, (ts, seq)) AS m1 FROM quick GROUP BY ALL)"""
+FILLED = f"""filled AS ({sql_ffill('grid', 20, ('m0', 'm1'))})"""
+
+
+@QUERIES.add(
+    f"""WITH {READINGS}, {QUICK},
+      grid AS ({sql_grid('tenths', 1, ('m0', 'm1')).replace("INTERVAL 1 SECOND", "INTERVAL 100 MILLISECOND").replace("(epoch_us(min(ts)) // 1000000) * 1000000", "(epoch_us(min(ts)) // 100000) * 100000")}),
+      {FILLED} SELECT * FROM filled"""
+)
+def resample_100ms(spark, sf_dir):
+    """A grid of tenths of a second, every day of a key spread over several slices."""
+    df = readings(spark, sf_dir)
+    day = F.unix_micros(F.col("day").cast("timestamp"))
+    quick = df.withColumn("ts", F.timestamp_micros(day + F.floor((F.unix_micros("ts") - day) / 400)))
+    return G.resample(quick, freq="100ms", unit="100ms", max_gap_fill=20, method="nearest", slots=200)
+
+
 @QUERIES.add(
     f"""WITH {READINGS}, per_second AS (SELECT {K}, {sql_floor('ts', 1)} AS ts, arg_min(m0, (ts, seq)) AS m0, arg_min(m1, (ts, seq)) AS m1
         FROM readings GROUP BY ALL),

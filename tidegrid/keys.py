@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidegrid.session import cut_lineage
+
 # One key is one device's readings of one domain on one day.
 KEYS = ("experience", "device_id", "domain", "day")
 TS = "ts"
@@ -14,10 +16,8 @@ SEQ = "seq"
 RESERVED = frozenset((*KEYS, TS, SEQ, "window", "source_file"))
 
 # Rows one task may hold when an operator walks a whole key in order. Beyond
-# it the operator works on time slices of the key instead.
+# it the operator works on blocks of rows instead.
 ROWS_PER_TASK = 5_000_000
-# Length of such a slice. 144 slices a day; 600 rows each at 1 Hz.
-SLICE = "10min"
 # Cells (rows times columns) of a table that may be broadcast, some 30 MB; checked, never assumed.
 BROADCAST_CELLS = 2_000_000
 
@@ -67,3 +67,20 @@ def null_safe_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: st
     other = right.withColumnsRenamed(renamed)
     same = [left[c].eqNullSafe(other[r]) for c, r in renamed.items()]
     return left.join(other, same, how).drop(*renamed.values())
+
+
+def numbered(df: DataFrame, order: Sequence[str], out: str = "_at", label: str = "numbered") -> DataFrame:
+    """``df`` stored in ``order`` over all tasks, with the number of each row in it from 0.
+
+    Rows are dealt by ranges of the whole order, so that any number of rows of one key, or
+    of one timestamp, is spread; only the tasks' row counts are put in sequence.
+    """
+    dealt = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    # Spark's id holds the task in its upper bits and the row within the task below.
+    rows = cut_lineage(dealt.withColumn(out, F.monotonically_increasing_id()), label)
+    task, inside = F.shiftright(out, 33), F.col(out).bitwiseAND((1 << 33) - 1)
+    sizes = rows.groupBy(task.alias("_task")).count()
+    before = Window.orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)  # one row a task
+    starts = sizes.select("_task", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_start"))
+    placed = rows.join(F.broadcast(starts), task == F.col("_task"))
+    return placed.withColumn(out, F.col("_start") + inside).drop("_task", "_start")

@@ -2,23 +2,31 @@
 
 Two plans give the same rows. Where a count shows that every key fits one
 task, one exchange and one sort on the key serve dedup and rolling median.
-Where some key does not, copies are trimmed map-side before the shuffle and the
-median runs over time slices of the key; each slice receives the few rows
-bordering it, so frames crossing a slice boundary are complete. That plan reads
-the deduplicated rows twice and therefore writes them to the scratch folder first.
+Where some key does not, or frames are wide, copies are trimmed map-side before the
+shuffle and the median runs over blocks of rows; each block receives the rows
+bordering it, so frames crossing a block's ends are complete. Rows are numbered for
+that, which writes them to the scratch folder first.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tidegrid.functions.scalars import bucket_start, micros_of
-from tidegrid.keys import KEYS, SEQ, SLICE, TS, data_columns, needs_slices, null_safe_join
+from tidegrid.keys import KEYS, SEQ, TS, data_columns, needs_slices, numbered
 from tidegrid.operators.columns import outside
-from tidegrid.session import cut_lineage
+
+# Frames of more rows are not laid out as columns of the row.
+WIDE = 31
+# Rows of a block; a frame's rows come on top of them.
+BLOCK_ROWS = 50_000
 
 
 def drop_duplicates(
@@ -95,63 +103,51 @@ def _neighbours_in_key(
     return df.withColumns(found)
 
 
-def _neighbours_in_slices(
+def _in_blocks(
     df: DataFrame,
-    row: Column,
-    before: int,
-    after: int,
+    columns: Sequence[str],
+    window: int,
+    threshold: float,
     keys: Sequence[str],
     ts: str,
     seq: str,
-    slice_length: str,
+    block_rows: int,
+    count_as: str | None,
 ) -> DataFrame:
-    """Neighbour rows by row count, with a key spread over time slices.
+    """The same masks by blocks of rows, however many rows a key, a second or a frame has.
 
-    Only the border rows of each slice (``before`` + ``after`` of them) are
-    looked at per key, so the widest per-key window holds a day's slices.
+    Rows are numbered in order of key and time. A block is a run of ``block_rows`` of them,
+    and is given the rows of its key that its first and last frames reach. A frame then
+    moves through a sorted run of its values, one row in and one out a step.
     """
-    part = [*keys, "_slice"]
-    df = df.withColumn("_slice", bucket_start(F.col(ts), micros_of(slice_length)))
-    w = Window.partitionBy(*part).orderBy(ts, seq)
-    offsets = [k for k in range(-after, before + 1) if k]
-    df = df.withColumns(
-        {
-            "_pos": F.row_number().over(w),
-            "_len": F.count(F.lit(1)).over(Window.partitionBy(*part)),
-            "_row": row,
-            **{f"_in{k}": F.lag(row, k).over(w) for k in offsets},
-        }
-    )
-    pos, length = F.col("_pos"), F.col("_len")
-
-    def border(test: Column) -> Column:
-        rows = F.sort_array(F.collect_list(F.when(test, F.struct("_pos", "_row"))))
-        return F.transform(rows, lambda r: r["_row"])
-
-    edges = (
-        df.filter((pos <= after) | (pos > length - before))
-        .groupBy(*part)
-        .agg(border(pos <= after).alias("_head"), border(pos > length - before).alias("_tail"))
-    )
-    per_key = Window.partitionBy(*keys).orderBy("_slice")
-    earlier = per_key.rowsBetween(-max(before, 1), -1)
-    later = per_key.rowsBetween(1, max(after, 1))
-    edges = edges.select(
-        *part,
-        F.flatten(F.collect_list("_tail").over(earlier)).alias("_earlier"),
-        F.flatten(F.collect_list("_head").over(later)).alias("_later"),
+    before, after = frame_of(window)
+    size = max(block_rows, window)
+    rows = numbered(df, [*keys, ts, seq], "_at", "spike-rows")
+    home, place = F.floor(F.col("_at") / size), F.pmod("_at", F.lit(size))
+    blocks = F.array(
+        home, F.when(place >= size - before, home + 1), F.when(place < after, home - 1)
     )
-    df = null_safe_join(df, edges, part, "left")
-    found = {}
-    for k in offsets:
-        if k > 0:
-            carried = F.get("_earlier", F.size("_earlier") + pos - k - 1)
-            found[f"_at{k}"] = F.when(pos > k, F.col(f"_in{k}")).otherwise(carried)
-        else:
-            carried = F.get("_later", (pos - k - length - 1).cast("int"))
-            found[f"_at{k}"] = F.when(pos - k <= length, F.col(f"_in{k}")).otherwise(carried)
-    spent = ["_slice", "_pos", "_len", "_row", "_earlier", "_later", *[f"_in{k}" for k in offsets]]
-    return df.withColumns(found).drop(*spent)
+    dealt = rows.withColumn("_own", home).withColumn("_block", F.explode(F.array_compact(blocks)))
+    schema = T.StructType(list(df.schema.fields))
+    if count_as is not None:
+        schema = schema.add(count_as, T.IntegerType())
+
+    def mask(block: pa.Table) -> pa.Table:
+        block = block.sort_by("_at")
+        own = pc.equal(block["_own"], block["_block"])
+        counts = np.zeros(block.num_rows, np.int32)
+        for c in columns:
+            values = block[c].cast(pa.float64(), safe=False).to_numpy()
+            frames = pd.Series(values).rolling(window, center=True, min_periods=1)
+            spikes = np.abs(values - frames.median().to_numpy()) > threshold
+            counts += spikes
+            masked = pc.if_else(pa.array(spikes), pa.scalar(None, block[c].type), block[c])
+            block = block.set_column(block.schema.get_field_index(c), c, masked)
+        if count_as is not None:
+            block = block.append_column(count_as, pa.array(counts))
+        return block.filter(own).select(schema.names)
+
+    return dealt.groupBy(*keys, "_block").applyInArrow(mask, schema)
 
 
 def mask_spikes(
@@ -164,36 +160,30 @@ def mask_spikes(
     ts: str = TS,
     seq: str = SEQ,
     split: bool | None = None,
-    slice_length: str = SLICE,
+    block_rows: int = BLOCK_ROWS,
     count_as: str | None = None,
 ) -> DataFrame:
     """Null every value further than ``threshold`` from its centred rolling median.
 
     The frame counts rows, not time; nulls in it are skipped and it shrinks at
     the ends of the key. ``count_as`` adds the number of values nulled per row.
+    Frames of more than ``WIDE`` rows, and keys too big for one task, are worked on in
+    blocks of ``block_rows``.
     """
     columns = data_columns(df) if columns is None else list(columns)
     before, after = frame_of(window)
     offsets = [k for k in range(-after, before + 1) if k]
     if not offsets:
         return df if count_as is None else df.withColumn(count_as, F.lit(0))
+    if window > WIDE or needs_slices(df, keys, split):
+        return _in_blocks(df, columns, window, threshold, keys, ts, seq, block_rows, count_as)
+    around = _neighbours_in_key(df, columns, before, after, keys, ts, seq)
     spent = [f"_at{k}" for k in offsets]
-    sliced = needs_slices(df, keys, split)
-    if sliced:
-        # Read twice, for the rows and for the slice borders: compute it once.
-        df = cut_lineage(df, "sliced")
-        around = _neighbours_in_slices(
-            df, F.struct(*columns), before, after, keys, ts, seq, slice_length
-        )
-    else:
-        around = _neighbours_in_key(df, columns, before, after, keys, ts, seq)
-        spent += [f"_{end}_{c}" for c in columns for end in ("low", "high")]
+    spent += [f"_{end}_{c}" for c in columns for end in ("low", "high")]
 
     def spike(c: str) -> Column:
         frame = [F.col(f"_at{k}")[c] if k else F.col(c) for k in range(-after, before + 1)]
-        low = F.least(*frame) if sliced else F.col(f"_low_{c}")
-        high = F.greatest(*frame) if sliced else F.col(f"_high_{c}")
-        return _is_spike(F.col(c), frame, low, high, threshold)
+        return _is_spike(F.col(c), frame, F.col(f"_low_{c}"), F.col(f"_high_{c}"), threshold)
 
     if count_as is None:
         return around.withColumns({c: F.when(~spike(c), F.col(c)) for c in columns}).drop(*spent)

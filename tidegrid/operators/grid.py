@@ -12,9 +12,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegrid.functions.scalars import floor_ts, micros_of, to_long_even
-from tidegrid.keys import KEYS, SEQ, TS, broadcast_if_small, data_columns, needs_slices
+from tidegrid.keys import KEYS, SEQ, TS, broadcast_if_small, data_columns, needs_slices, null_safe_join
 from tidegrid.operators.aggregate import reducer
+from tidegrid.session import cut_lineage
 
+# Grid points of a slice, for grids of more points a day than seconds: an hour at 100 ms.
+SLOTS = 36_000
 LONG_TYPES = ("bigint", "int", "smallint", "tinyint")
 
 
@@ -149,6 +152,76 @@ def restore_types(df: DataFrame, types: dict[str, str]) -> DataFrame:
     )
 
 
+def _resample_in_slices(
+    collapsed: DataFrame,
+    step: int,
+    limit: int,
+    columns: Sequence[str],
+    keys: Sequence[str],
+    ts: str,
+    slots: int,
+) -> DataFrame:
+    """Trim, grid and fill with a key spread over slices of ``slots`` grid points.
+
+    Two levels: the last values of each slice are found by an aggregate and handed on from
+    slice to slice, one record a slice; within a slice they lead its rows as a first row. A row
+    emits the grid points up to the next row or the slice's end, so that no task holds a
+    key and no array is longer than a slice, whatever the gap.
+    """
+    length = step * slots
+    at = F.unix_micros(ts)
+    cell = at - F.pmod(at, F.lit(step))
+    rows = collapsed.withColumn("_cell", cell).withColumn("_slice", F.col("_cell") - F.pmod("_cell", F.lit(length)))
+    rows = cut_lineage(rows, "collapsed")
+    first = F.min(F.when(_any_value(columns), F.col("_cell")))
+    ends = cut_lineage(
+        rows.groupBy(*keys).agg(first.alias("_from"), F.max("_cell").alias("_to")), "grid-ends"
+    )
+    # Values off the grid are not placed: they only set the ends.
+    placed = rows.filter(F.col("_cell") == at)
+    values = {f"_v{i}": F.when(F.col(c).isNotNull(), F.struct("_cell", F.col(c).alias("v"))) for i, c in enumerate(columns)}
+    last = placed.groupBy(*keys, "_slice").agg(*[F.max(v).alias(n) for n, v in values.items()])
+    gridded = ends.filter("_from IS NOT NULL")
+
+    def slice_of(column: str) -> Column:
+        return F.col(column) - F.pmod(column, F.lit(length))
+
+    slices = gridded.withColumn("_slice", F.explode(F.sequence(slice_of("_from"), slice_of("_to"), F.lit(length))))
+    earlier = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    carried = null_safe_join(slices, last, [*keys, "_slice"], "left").select(
+        *keys,
+        "_slice",
+        F.greatest("_slice", "_from").alias("_cell"),
+        F.least(F.col("_slice") + (length - step), "_to").alias("_end"),
+        *[F.last(n, ignorenulls=True).over(earlier).alias(n) for n in values],
+    )
+    own = placed.select(*keys, "_slice", "_cell", F.lit(None).cast("long").alias("_end"), *[v.alias(n) for n, v in values.items()])
+    part = Window.partitionBy(*keys, "_slice").orderBy("_cell", F.col("_end").isNull())
+    run = part.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    known = carried.unionByName(own).withColumns(
+        {
+            "_next": F.lead("_cell").over(part),
+            # Null before the slice's first row: rows ahead of the first value.
+            "_last": F.last("_end", ignorenulls=True).over(run),
+            **{n: F.last(n, ignorenulls=True).over(run) for n in values},
+        }
+    )
+    until = F.coalesce(F.col("_next") - step, F.col("_last"))
+    points = F.when(F.col("_last").isNotNull() & (until >= F.col("_cell")), F.sequence("_cell", until, F.lit(step)))
+    reach = F.lit(max(limit, 0) * step)
+    filled = known.withColumn("_point", F.explode(points)).select(
+        *keys,
+        F.timestamp_micros("_point").alias(ts),
+        *[
+            F.when(F.col("_point") - F.col(f"_v{i}._cell") <= reach, F.col(f"_v{i}.v")).alias(c)
+            for i, c in enumerate(columns)
+        ],
+    )
+    # Keys without any value keep their rows and get no grid.
+    bare = null_safe_join(rows, ends.filter("_from IS NULL"), keys, "left_semi").select(*keys, ts, *columns)
+    return filled.unionByName(bare)
+
+
 def resample(
     df: DataFrame,
     *,
@@ -160,15 +233,21 @@ def resample(
     keys: Sequence[str] = KEYS,
     ts: str = TS,
     unique_ts: bool = False,
+    split: bool | None = None,
+    slots: int = SLOTS,
 ) -> DataFrame:
     """Collapse, trim, grid, fill and restore types.
 
     A key whose rows hold no value at all keeps its collapsed rows and gets no
-    grid.
+    grid. Grids finer than a second, or with ``split`` any grid, are worked on in slices of
+    ``slots`` grid points.
     """
     columns = data_columns(df) if columns is None else list(columns)
     types = {c: t for c, t in df.dtypes if c in columns}
     out = collapse(df, method, unit=unit, columns=columns, keys=keys, ts=ts, unique_ts=unique_ts)
+    if split or (split is None and micros_of(freq) < micros_of("1s")):
+        filled = _resample_in_slices(out, micros_of(freq), max_gap_fill, columns, keys, ts, slots)
+        return restore_types(filled, types)
     # Ordered by time although a minimum needs no order: the grid sorts the same way.
     whole = Window.partitionBy(*keys).orderBy(ts).rowsBetween(
         Window.unboundedPreceding, Window.unboundedFollowing

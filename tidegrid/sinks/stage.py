@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegrid.functions.scalars import moment, parse_iso_utc
-from tidegrid.keys import KEYS, SEQ, TS
+from tidegrid.keys import KEYS, SEQ, TS, null_safe_join
 from tidegrid.operators.columns import prune_days
 from tidegrid.operators.merge import first_per, merge_append
 from tidegrid.session import delete_paths, folder_path, staged
@@ -76,11 +76,12 @@ def write_stage(
     if mode == "append":
         by = [*keys, "window"] if "window" in partitions else list(keys)
         if existing is None:
-            order = [SEQ] if SEQ in df.columns else [F.lit(1)]
+            # Without an order of arrival, one that only the rows decide.
+            order = [SEQ] if SEQ in df.columns else [F.xxhash64(*df.columns)]
             _write(first_per(df, [*by, ts], order), path, "append", False, partitions)
             return
         touched = df.select(*partitions).distinct()
-        old = existing.join(touched, partitions, "left_semi")
+        old = null_safe_join(existing, touched, partitions, "left_semi")
         result = merge_append(old, df, by, ts, prefer=prefer)
     elif mode == "replace":
         inside = F.lit(True)
@@ -114,6 +115,7 @@ def _replace_partitions(
         if not kept.isEmpty():
             _write(kept, path, "overwrite", True, partitions)
         # One row per emptied partition: the list of folders to delete.
-        gone = before.join(kept.select(*partitions).distinct(), list(partitions), "left_anti").collect()
+        filled = kept.select(*partitions).distinct()
+        gone = null_safe_join(before, filled, partitions, "left_anti").collect()
     folders = [[(p, row[p]) for p in partitions] for row in gone]
     delete_paths(spark, [f"{path}/{folder_path(spark, f)}" for f in folders])
