@@ -153,7 +153,7 @@ def test_stream_over_several_batches(spark, tmp_path):
     for part in (base[:6], base[6:], [("E", "d", "bio_signal", at(60), 99.0)], [("E", "d", "bio_signal", at(9 * 3600), 9.0)]):
         spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(source)
         stream = spark.readStream.schema(schema).parquet(source)
-        tumbled = live.stream_tumble(stream, "1 hour", ["mean", "count"], columns=["m0"])
+        tumbled = live.stream_tumble(stream, "1h", ["mean", "count"], columns=["m0"])
         live.run_to_table(tumbled, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     got = spark.read.parquet(str(tmp_path / "out")).orderBy("ts").collect()
     assert [(r.m0__raw__mean, r.m0__raw__count) for r in got] == [(float(h), 2) for h in range(6)]

@@ -138,6 +138,29 @@ def delete_paths(spark: SparkSession, paths: list[str]) -> None:
         target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def put_once(spark: SparkSession, path: str, text: str) -> bool:
+    """A small file that appears whole or not at all; false if there is one already."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    target = hadoop.Path(path)
+    store = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if store.exists(target):
+        return False
+    # Readers leave out names that begin with an underscore.
+    draft = hadoop.Path(target.getParent(), f"_{uuid.uuid4().hex}")
+    stream = store.create(draft, True)
+    stream.writeBytes(text)
+    stream.close()
+    if store.rename(draft, target):
+        return True
+    store.delete(draft, False)
+    return False
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+
+
 def folder_path(spark: SparkSession, values: list[tuple[str, object]]) -> str:
     """The folders of a partition, with its values escaped as Spark writes them."""
     utils = spark.sparkContext._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils
