@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tidegrid.catalog.base import (
@@ -23,6 +25,8 @@ from tidegrid.operators import clean as CL
 from tidegrid.operators import columns as C
 from tidegrid.operators import grid as G
 from tidegrid.operators import normalize as N
+from tidegrid.plans import counters, flow
+from tidegrid.session import scratch_path
 
 QUERIES = Registry()
 
@@ -412,3 +416,81 @@ def normalize_patterns(spark, sf_dir):
     spec = {"m*": "m*__norm", "m0": "m0__norm"}
     fitted = N.fit(df, window_days=7, columns=spec)
     return round_all(N.normalize(df, fitted, columns=spec, clip=False))
+
+
+# --- counters, sketches, code per key ---------------------------------------------
+
+
+@QUERIES.add(
+    f"""WITH {COLLAPSED}, grid AS ({sql_grid('collapsed', 600, ('m0', 'm1'))}), filled AS ({sql_ffill('grid', 6, ('m0', 'm1'))}),
+      n AS (SELECT count(*) AS rows, count(m0) + count(m1) AS given FROM grid), f AS (SELECT count(m0) + count(m1) AS seen FROM filled)
+    SELECT rows, seen AS "values", seen - given AS filled FROM n, f"""
+)
+def quality_resample(spark, sf_dir):
+    """Gap-filled values, counted by the job that writes the grid."""
+    path = scratch_path(spark, "counted")
+    counts = counters.quality_resample(
+        readings(spark, sf_dir), lambda df: df.write.parquet(path), freq="10min", unit="10min", method="nearest", max_gap_fill=6
+    )
+    return spark.createDataFrame([counts], "rows long, values long, filled long")
+
+
+@QUERIES.add(
+    f"""WITH {READINGS} SELECT count(*) AS rows, count(CASE WHEN m0 > 0 THEN 1 END) + count(CASE WHEN m1 > 0 THEN 1 END) + count(m1) AS "values",
+      CAST(2 AS BIGINT) AS columns_added, CAST(1 AS BIGINT) AS columns_replaced FROM readings"""
+)
+def quality_transform(spark, sf_dir):
+    """Columns added and replaced, and the values in them."""
+    path = scratch_path(spark, "transformed")
+    spec = [
+        {"function": "identity", "target": {"columns": ["m1"]}, "mode": "replace"},
+        {"function": "sqrt_inv", "target": {"domain": "bio_signal"}, "mode": "add"},
+    ]
+    counts = counters.quality_transform(readings(spark, sf_dir), lambda df: df.write.parquet(path), spec, "bio_signal")
+    return spark.createDataFrame([counts], "rows long, values long, columns_added long, columns_replaced long")
+
+
+@QUERIES.add(
+    f"""WITH {READINGS}, d AS (SELECT * FROM readings WHERE "day" > (SELECT max("day") FROM readings) - 10)
+    SELECT experience, device_id, 'm0' AS "column", count(m0) AS n, true AS lo_fits, true AS hi_fits FROM d GROUP BY ALL
+    UNION ALL SELECT experience, device_id, 'm1', count(m1), true, true FROM d GROUP BY ALL"""
+)
+def fit_sketched(spark, sf_dir):
+    """A fit over ten days from stored sketches of each day; ranks are within the stated error."""
+    df = readings(spark, sf_dir)
+    path = scratch_path(spark, "sketches")
+    N.sketch_days(df, columns=["m0", "m1"]).write.parquet(path)
+    fitted = N.fit_sketched(spark.read.parquet(path), 2.0, 98.0, window_days=10)
+    recent = N.fit_window_days(df, 10)
+    values = recent.select(
+        *N.GROUP, F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v")) for c in ("m0", "m1")])).alias("e")
+    ).select(*N.GROUP, "e.*").filter("v IS NOT NULL")
+
+    def fits(bound, p):
+        below, upto = (F.count_if(t) / F.count("v") for t in (F.col("v") < F.col(bound), F.col("v") <= F.col(bound)))
+        return (below - N.RANK_ERROR <= p) & (upto + N.RANK_ERROR >= p)
+
+    return values.join(F.broadcast(fitted), [*N.GROUP, "column"]).groupBy(*N.GROUP, "column").agg(
+        F.count("v").alias("n"), fits("lo", 0.02).alias("lo_fits"), fits("hi", 0.98).alias("hi_fits")
+    )
+
+
+def running_gain(table, factor):
+    """Rise of ``m0`` since the row before, times ``factor``, within the rows of one key."""
+    values = table["m0"].to_numpy()
+    gain = np.concatenate([[np.nan], np.diff(values)]) * factor
+    return pa.table({"device_id": table["device_id"], "day": table["day"], "seq": table["seq"], "gain": pa.array(gain, from_pandas=True)})
+
+
+@QUERIES.add(
+    f"""WITH {READINGS} SELECT device_id, "day", seq,
+      {sql_r6(f'(m0 - lag(m0) OVER (PARTITION BY {K} ORDER BY ts, seq)) * 2.5')} AS gain FROM readings"""
+)
+def custom_key_step(spark, sf_dir):
+    """User code on each key's rows, as a step of a flow."""
+    flow.custom_key_step(
+        "running_gain", "device_id string, day date, seq long, gain double", {"factor": ((float,), 1.0)}
+    )(running_gain)
+    steps = [flow.FlowStep("running_gain", {"factor": 2.5})]
+    out = flow.run_flow(steps, {"bio_signal": readings(spark, sf_dir)}, spark=spark)
+    return round_all(out["bio_signal"])

@@ -6,7 +6,7 @@ from datetime import datetime, timezone
 
 from pyspark.sql import functions as F
 
-from tidegrid.catalog.base import Registry, readings, table
+from tidegrid.catalog.base import Registry, readings, round_all, sql_r6, table
 from tidegrid.plans import history as H
 from tidegrid.session import scratch_path
 from tidegrid.sinks.stage import write_stage
@@ -61,6 +61,34 @@ def run_status(spark, sf_dir):
     return H.run_summaries(log, flow_steps(log))
 
 
+@QUERIES.add(
+    f"""WITH {RUNS}, marked AS (SELECT *, CASE WHEN event_type = 'error' THEN 'broke at ' || event_id END AS error,
+        CASE event_type WHEN 'error' THEN 'error' WHEN 'purchase' THEN 'success' WHEN 'view' THEN 'skip' ELSE 'start' END AS state,
+        'f' || user_id AS flow, 'f' || user_id || '-' || strftime(ts, '%Y%m%d') AS run_id FROM events),
+      o AS (SELECT run_id, flow, min(ts) AS ts_start, max(ts) AS ts_end, count(*) FILTER (state IN ('success', 'skip')) AS n_done,
+        count(*) FILTER (state = 'error') AS n_failed, {sql_r6("sum(value) FILTER (state <> 'start')")} AS duration_ms,
+        arg_min(event_type, ts) FILTER (state = 'error') AS failed_step, arg_min(error, ts) FILTER (state = 'error') AS error FROM marked GROUP BY ALL)
+    SELECT run_id, flow, CASE WHEN n_failed > 0 THEN 'error' WHEN coalesce(n_steps, 0) > 0 AND n_done >= n_steps THEN 'success'
+      ELSE 'running' END AS status, ts_start, ts_end, coalesce(n_steps, 0) AS n_steps, n_done, n_failed, duration_ms, failed_step, error
+    FROM o LEFT JOIN steps USING (flow)"""
+)
+def run_outcomes(spark, sf_dir):
+    """Skipped steps count as done; time taken and first error of every run."""
+    log = run_log(spark, sf_dir)
+    e = table(spark, sf_dir, "events")
+    kind = F.col("event_type")
+    marked = e.select(
+        F.col("ts").cast("timestamp").alias("ts"),
+        F.concat(F.lit("f"), F.col("user_id").cast("string")).alias("flow"),
+        F.concat(F.lit("f"), F.col("user_id").cast("string"), F.lit("-"), F.date_format("ts", "yyyyMMdd")).alias("run_id"),
+        F.when(kind == "error", "error").when(kind == "purchase", "success").when(kind == "view", "skip").otherwise("start").alias("status"),
+        kind.alias("treatment"),
+        F.col("value").alias("duration_ms"),
+        F.when(kind == "error", F.concat(F.lit("broke at "), F.col("event_id").cast("string"))).alias("error"),
+    )
+    return round_all(H.run_outcomes(marked, flow_steps(log)))
+
+
 @QUERIES.add(f"WITH {RUNS} SELECT * FROM runs ORDER BY ts_start DESC, run_id DESC LIMIT 50")
 def recent_runs(spark, sf_dir):
     log = run_log(spark, sf_dir)

@@ -18,6 +18,7 @@ from tidegrid.session import cut_lineage
 
 # Grid points of a slice, for grids of more points a day than seconds: an hour at 100 ms.
 SLOTS = 36_000
+FILLED = "_filled"
 LONG_TYPES = ("bigint", "int", "smallint", "tinyint")
 
 
@@ -216,9 +217,18 @@ def _resample_in_slices(
             F.when(F.col("_point") - F.col(f"_v{i}._cell") <= reach, F.col(f"_v{i}.v")).alias(c)
             for i, c in enumerate(columns)
         ],
+        sum(
+            (
+                F.coalesce((F.col("_point") - F.col(f"_v{i}._cell")).between(1, reach), F.lit(False)).cast("int")
+                for i in range(len(columns))
+            ),
+            F.lit(0),
+        ).alias(FILLED),
     )
     # Keys without any value keep their rows and get no grid.
-    bare = null_safe_join(rows, ends.filter("_from IS NULL"), keys, "left_semi").select(*keys, ts, *columns)
+    bare = null_safe_join(rows, ends.filter("_from IS NULL"), keys, "left_semi").select(
+        *keys, ts, *columns, F.lit(0).alias(FILLED)
+    )
     return filled.unionByName(bare)
 
 
@@ -235,18 +245,20 @@ def resample(
     unique_ts: bool = False,
     split: bool | None = None,
     slots: int = SLOTS,
+    count_as: str | None = None,
 ) -> DataFrame:
     """Collapse, trim, grid, fill and restore types.
 
     A key whose rows hold no value at all keeps its collapsed rows and gets no
     grid. Grids finer than a second, or with ``split`` any grid, are worked on in slices of
-    ``slots`` grid points.
+    ``slots`` grid points. ``count_as`` adds the number of values filled per row.
     """
     columns = data_columns(df) if columns is None else list(columns)
     types = {c: t for c, t in df.dtypes if c in columns}
     out = collapse(df, method, unit=unit, columns=columns, keys=keys, ts=ts, unique_ts=unique_ts)
     if split or (split is None and micros_of(freq) < micros_of("1s")):
         filled = _resample_in_slices(out, micros_of(freq), max_gap_fill, columns, keys, ts, slots)
+        filled = filled.drop(FILLED) if count_as is None else filled.withColumnRenamed(FILLED, count_as)
         return restore_types(filled, types)
     # Ordered by time although a minimum needs no order: the grid sorts the same way.
     whole = Window.partitionBy(*keys).orderBy(ts).rowsBetween(
@@ -255,5 +267,9 @@ def resample(
     out = out.withColumn("_start", F.min(F.when(_any_value(columns), F.col(ts))).over(whole))
     out = out.filter(F.col("_start").isNull() | (F.col(ts) >= F.col("_start")))
     out = regular_grid(out, freq, columns=columns, keys=keys, ts=ts, gridded=F.col("_start").isNotNull())
-    out = ffill(out, max_gap_fill, columns, keys=keys, ts=ts)
-    return restore_types(out, types)
+    if count_as is None:
+        return restore_types(ffill(out, max_gap_fill, columns, keys=keys, ts=ts), types)
+    missing = sum((F.col(c).isNull().cast("int") for c in columns), F.lit(0))
+    filled = ffill(out.withColumn(FILLED, missing), max_gap_fill, columns, keys=keys, ts=ts)
+    counted = filled.withColumn(FILLED, F.col(FILLED) - missing).withColumnRenamed(FILLED, count_as)
+    return restore_types(counted, types)

@@ -19,6 +19,7 @@ from tidegrid.functions.names import domain_columns
 from tidegrid.functions.scalars import parse_iso_utc, without_nan
 from tidegrid.keys import SEQ, data_columns, needs_slices
 from tidegrid.operators import aggregate, clean, columns, grid, normalize
+from tidegrid.operators.per_key import apply_per_key
 from tidegrid.plans import history
 from tidegrid.session import cut_lineage
 from tidegrid.sinks.params import load_params, save_params
@@ -62,6 +63,34 @@ def custom_step(name: str, params: Mapping[str, tuple] | None = None):
     return wrap
 
 
+def custom_key_step(
+    name: str,
+    schema: Callable[[DataFrame], str] | str,
+    params: Mapping[str, tuple] | None = None,
+    **options,
+):
+    """Decorator: ``fn(table, **params)`` becomes a step applied to the rows of every key.
+
+    ``schema`` declares the columns it returns, as DDL or as a function of the step's input;
+    ``options`` are those of ``apply_per_key``.
+    """
+
+    def wrap(fn: Callable[..., Any]):
+        def run(tables: Tables, p: dict) -> Tables:
+            declared = {n: v for n, v in p.items() if not n.startswith("_")}
+
+            def of(df: DataFrame) -> DataFrame:
+                shape = schema if isinstance(schema, str) else schema(df)
+                return apply_per_key(df, lambda table: fn(table, **declared), shape, **options)
+
+            return {d: of(t) for d, t in tables.items()}
+
+        register(Step(name, run, dict(params or {})))
+        return fn
+
+    return wrap
+
+
 def resolve_params(step: Step, *layers: Mapping[str, Any]) -> dict[str, Any]:
     """Defaults overlaid by the layers in order, shallowly; unknown names and wrong types raise."""
     values = {n: d for n, (_, d) in step.params.items() if d is not REQUIRED}

@@ -10,6 +10,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidegrid.keys import null_safe_join
+
 from tidegrid.session import delete_paths, folder_path
 from tidegrid.sources.events import RUN_EVENT
 from tidegrid.sources.stage import stage_outputs
@@ -80,14 +82,14 @@ def events_for_run(events: DataFrame, run_id: str, flow: str | None = None) -> D
 def run_summaries(events: DataFrame, steps: DataFrame | None = None) -> DataFrame:
     """One row per run: status, start, end, steps done and failed.
 
-    Any error makes it ``error``; as many successes as the flow has steps make
+    Any error makes it ``error``; as many steps done or skipped as the flow has make
     it ``success``; otherwise it is ``running``. ``steps`` has ``flow`` and
     ``n_steps``.
     """
     runs = events.groupBy("run_id", "flow").agg(
         F.min("ts").alias("ts_start"),
         F.max("ts").alias("ts_end"),
-        F.count_if(F.col("status") == "success").alias("n_done"),
+        F.count_if(F.col("status").isin("success", "skip")).alias("n_done"),
         F.count_if(F.col("status") == "error").alias("n_failed"),
     )
     if steps is None:
@@ -106,6 +108,23 @@ def run_summaries(events: DataFrame, steps: DataFrame | None = None) -> DataFram
     )
 
 
+def run_outcomes(events: DataFrame, steps: DataFrame | None = None) -> DataFrame:
+    """``run_summaries`` with the time the run took and its first error's step and text.
+
+    ``duration_ms`` adds up the steps' own times; a lazy step counts in the step that computed it.
+    """
+    failed = F.col("status") == "error"
+    first = F.min_by(F.struct("treatment", "error"), F.when(failed, F.col("ts")))
+    more = events.groupBy("run_id", "flow").agg(
+        F.sum(F.when(F.col("status").isin("success", "error", "skip"), F.col("duration_ms"))).alias("duration_ms"),
+        first.alias("_first"),
+    )
+    facts = more.select(
+        "run_id", "flow", "duration_ms", F.col("_first.treatment").alias("failed_step"), F.col("_first.error").alias("error")
+    )
+    return null_safe_join(run_summaries(events, steps), facts, ["run_id", "flow"])
+
+
 def run_status(events: DataFrame, run_id: str, steps: DataFrame | None = None) -> DataFrame:
     return run_summaries(events.filter(F.col("run_id") == run_id), steps)
 
