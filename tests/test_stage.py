@@ -131,3 +131,17 @@ def test_append_prefers_new_results(spark, tmp_path):
     for m0 in (1, 2):
         write_stage(frame(spark, rows([(0, m0, 1.0), (0, m0, 1.0)])), path, "append", prefer="new")
     assert [r.m0 for r in read_stage(spark, path).collect()] == [2]
+
+
+def test_null_labels_survive_every_mode(spark, tmp_path):
+    path = str(tmp_path / "stage")
+    df = frame(spark, rows([(0, 1, 1.0), (3600, 2, 1.0), (7200, 3, 1.0)])).withColumn("window", F.lit(None).cast("string"))
+    write_stage(df, path)
+    write_stage(range_filter(df, at(0), at(3600)).withColumn("m0", F.lit(-1).cast("long")), path, "replace", at(0), at(3600))
+    assert_close(to_pandas(read_stage(spark, path)).m0, [-1, 2, 3])
+    more = df.filter("m0 = 3").withColumn("ts", F.col("ts") + F.expr("INTERVAL 1 HOUR"))
+    for _ in range(2):
+        write_stage(more, path, "append")
+    assert_close(to_pandas(read_stage(spark, path)).m0, [-1, 2, 3, 3])
+    write_stage(df.limit(0), path, "replace", at(0), at(3600))
+    assert_close(to_pandas(read_stage(spark, path)).m0, [2, 3, 3])

@@ -26,7 +26,9 @@ from tidegrid.session import scratch_path
 from tidegrid.sinks import exports as X
 from tidegrid.sinks.params import load_params, save_params
 from tidegrid.sinks.stage import write_stage
+from tidegrid.sinks.versions import drop_versions, write_version
 from tidegrid.sources.stage import read_stage, read_typed
+from tidegrid.sources.versions import read_version
 
 QUERIES = Registry()
 
@@ -382,6 +384,57 @@ def sink_stage(spark, sf_dir):
     return back.select(df.columns)
 
 
+# Every third reading has no window, every fifth none of domain or day.
+NULL_LABELS = f"""{READINGS}, labelled AS (SELECT * REPLACE (CASE WHEN seq % 5 > 0 THEN "domain" END AS "domain", CASE WHEN seq % 5 > 0 THEN "day" END AS "day"),
+    CASE WHEN seq % 3 > 0 THEN '1h' END AS "window" FROM readings)"""
+
+
+def null_labels(spark, sf_dir):
+    rest = F.col("seq") % 5 > 0
+    return readings(spark, sf_dir).withColumns(
+        {"domain": F.when(rest, F.col("domain")), "day": F.when(rest, F.col("day")), "window": F.when(F.col("seq") % 3 > 0, "1h")}
+    )
+
+
+@QUERIES.add(
+    f"""WITH {NULL_LABELS} SELECT * REPLACE (CASE WHEN ts >= TIMESTAMP '2024-01-10 06:00:00' AND ts < TIMESTAMP '2024-01-12' AND "day" IS NOT NULL
+      THEN -m0 ELSE m0 END AS m0) FROM labelled UNION ALL SELECT * REPLACE (TIMESTAMP '2030-01-01' + INTERVAL 1 SECOND * seq AS ts) FROM labelled WHERE seq % 15 = 0"""
+)
+def sink_stage_null_window(spark, sf_dir):
+    """A stage with null windows, domains and days: a window replaced, then rows appended to null labels."""
+    df = null_labels(spark, sf_dir)
+    path = scratch_path(spark, "null-labels")
+    write_stage(df, path)
+    start, end = "2024-01-10T06:00:00Z", "2024-01-12T00:00:00Z"
+    inside = C.range_filter(df, start, end).filter("day IS NOT NULL")
+    write_stage(inside.withColumn("m0", -F.col("m0")), path, "replace", start, end)
+    later = df.filter("seq % 15 = 0").withColumn(
+        "ts", F.timestamp_micros(F.unix_micros(F.lit("2030-01-01T00:00:00Z").cast("timestamp")) + F.col("seq") * 1_000_000)
+    )
+    write_stage(later, path, "append")
+    return read_typed(spark, path).select(df.columns)
+
+
+@QUERIES.add(
+    f"""WITH {NULL_LABELS} SELECT * REPLACE (CASE WHEN ts >= TIMESTAMP '2024-01-10 06:00:00' AND ts < TIMESTAMP '2024-01-12' AND "day" IS NOT NULL
+      THEN -m0 ELSE m0 END AS m0) FROM labelled UNION ALL SELECT * REPLACE (TIMESTAMP '2030-01-01' + INTERVAL 1 SECOND * seq AS ts) FROM labelled WHERE seq % 15 = 0"""
+)
+def sink_versions(spark, sf_dir):
+    """The same as versions of a table, of which only the last is kept."""
+    df = null_labels(spark, sf_dir)
+    path = scratch_path(spark, "versions")
+    write_version(df, path)
+    start, end = "2024-01-10T06:00:00Z", "2024-01-12T00:00:00Z"
+    inside = C.range_filter(df, start, end).filter("day IS NOT NULL")
+    write_version(inside.withColumn("m0", -F.col("m0")), path, "replace", start, end)
+    later = df.filter("seq % 15 = 0").withColumn(
+        "ts", F.timestamp_micros(F.unix_micros(F.lit("2030-01-01T00:00:00Z").cast("timestamp")) + F.col("seq") * 1_000_000)
+    )
+    write_version(later, path, "append")
+    drop_versions(spark, path, keep=1)
+    return read_version(spark, path).select(df.columns)
+
+
 @QUERIES.add(
     f"""WITH {COARSE}, b AS (SELECT *, 0 AS age FROM coarse WHERE m0 >= 20 UNION ALL SELECT *, 1 FROM coarse)
     SELECT * EXCLUDE (age) FROM b QUALIFY row_number() OVER (PARTITION BY {K}, ts ORDER BY age, seq) = 1"""

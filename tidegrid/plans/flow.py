@@ -17,15 +17,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidegrid.functions.names import domain_columns
 from tidegrid.functions.scalars import parse_iso_utc, without_nan
-from tidegrid.keys import SEQ, data_columns, needs_slices
+from tidegrid.keys import ROWS_PER_TASK, SEQ, data_columns, needs_slices
 from tidegrid.operators import aggregate, clean, columns, grid, normalize
 from tidegrid.operators.per_key import apply_per_key
 from tidegrid.plans import history
 from tidegrid.session import cut_lineage
 from tidegrid.sinks.params import load_params, save_params
 from tidegrid.sinks.stage import write_stage
+from tidegrid.sinks.versions import write_version
 from tidegrid.sources.raw import available_keys, domain_columns_of, parsed_lines, read_lines, type_domains, type_rows
 from tidegrid.sources.stage import read_stage
+from tidegrid.sources.versions import largest_key, stored_domains
 
 REQUIRED = object()
 Tables = dict[str, DataFrame]
@@ -147,7 +149,8 @@ def _parse_and_write(p: dict, path: str, mode: str, start, end) -> Tables:
     keys = available_keys(lines, p["domains"], p["keys"])
     columns_of = domain_columns_of(lines, p["domains"], keys)
     rows = type_rows(lines, p["domains"], keys)
-    write_stage(columns.range_filter(rows, start, end), path, mode, start, end)
+    write = write_version if p["_versioned"] else write_stage
+    write(columns.range_filter(rows, start, end), path, mode, start, end)
     stage = read_stage(p["_spark"], path)
     common = [c for c in ("source_file", "seq", "experience", "device_id", "domain", "day", "ts") if c in rows.columns]
     return {
@@ -352,13 +355,15 @@ def run_flow(
     events_path: str | None = None,
     flow: str | None = None,
     run_id: str | None = None,
+    versioned: bool = False,
 ) -> Tables:
     """Compose the steps and return the final table per domain.
 
     The chain starts from ``tables``, from the raw files in ``source``, or from
     the stage a skipped earlier step has written. A step's own ``start`` and
     ``end`` replace the flow's. Parameters: step defaults, then ``params``, then
-    the step's, then ``overrides``.
+    the step's, then ``overrides``. ``versioned`` writes each stage as a new version of its
+    table; whether keys fit one task is then read from the stage's manifest.
     """
     chosen = step_range(steps, only, first, last)
     shared = shared_params(steps, params or {})
@@ -380,7 +385,7 @@ def run_flow(
         values = resolve_params(step, shared[at], entry.params, forced[at])
         own_start = entry.start if entry.start is not None else start
         own_end = entry.end if entry.end is not None else end
-        values["_stored"] = stored
+        values.update(_stored=stored, _versioned=versioned)
         if entry.step == "parse":
             values.update(_spark=spark, _input=source, _start=own_start, _end=own_end)
         elif first_step or entry.start is not None or entry.end is not None:
@@ -388,7 +393,12 @@ def run_flow(
         if values.get("split", False) is None:
             # Asked once for the whole chain: later steps never have more rows of a key.
             if split is None:
-                split = any(needs_slices(t) for t in (tables or {}).values())
+                stored_rows = largest_key(spark, steps[at - 1].output) if from_stage and at == chosen[0] else None
+                split = (
+                    any(needs_slices(t) for t in (tables or {}).values())
+                    if stored_rows is None
+                    else stored_rows > ROWS_PER_TASK
+                )
             values["split"] = split
         began = time.perf_counter()
 
@@ -415,9 +425,8 @@ def run_flow(
                     tables = _in_window(tables, own_start, own_end)
                 if entry.output:
                     # A later run's results replace earlier ones of the same time.
-                    write_stage(
-                        columns.stack_domains(tables), entry.output, output_mode, own_start, own_end, prefer="new"
-                    )
+                    write = write_version if versioned else write_stage
+                    write(columns.stack_domains(tables), entry.output, output_mode, own_start, own_end, prefer="new")
                     tables = {
                         d: columns.range_filter(_domain_stage(t, entry.output, d), own_start, own_end)
                         for d, t in tables.items()
@@ -473,8 +482,10 @@ def _stage_before(
         if entry.step == "parse":
             specs = resolve_params(_step("parse"), shared[i], entry.params, forced[i])["domains"]
     stage = read_stage(spark, before[-1].output)
-    # One row per domain.
-    found = [r["domain"] for r in stage.select("domain").distinct().collect()]
+    found = stored_domains(spark, before[-1].output)
+    if found is None:
+        # One row per domain.
+        found = [r["domain"] for r in stage.select("domain").distinct().collect()]
     return {d: _own_columns(columns.keep_domains(stage, [d]), d, specs) for d in sorted(found)}
 
 

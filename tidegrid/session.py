@@ -156,6 +156,24 @@ def put_once(spark: SparkSession, path: str, text: str) -> bool:
     return False
 
 
+def list_names(spark: SparkSession, folder: str) -> list[str]:
+    """Names in a folder, none if it is missing."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    store = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return [s.getPath().getName() for s in store.listStatus(target)] if store.exists(target) else []
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    """A small text file."""
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    stream = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(target)
+    try:
+        return jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
 def path_exists(spark: SparkSession, path: str) -> bool:
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)

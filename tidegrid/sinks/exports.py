@@ -164,10 +164,11 @@ def export_csv(
         # One row per device and day that has no rows any more: the folders to delete.
         emptied = before.join(left, ["device_id", LOCAL_DAY], "left_anti").collect()
         gone = [f"{folder}/{folder_path(spark, [(c, r[c]) for c in ('device_id', LOCAL_DAY)])}" for r in emptied]
-    delete_paths(spark, gone)
     _write_devices(rows.withColumn(LOCAL_DAY, day), ("device_id", LOCAL_DAY), "Time").option("sep", ";").option(
         "header", "true"
     ).option("emptyValue", "").csv(folder)
+    # Last: a write that fails leaves the earlier files.
+    delete_paths(spark, gone)
     return rows.groupBy("device_id").agg(
         F.substr(F.min("Time"), F.lit(1), F.lit(10)).alias("first_date"),
         F.substr(F.max("Time"), F.lit(1), F.lit(10)).alias("last_date"),

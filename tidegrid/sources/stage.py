@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from tidegrid.functions.scalars import without_nan
 from tidegrid.operators.columns import prune_days
 from tidegrid.session import configure
+from tidegrid.sources.versions import manifest, read_version
 
 
 # Types of folder columns. Left to inference, ``01`` would become 1 and ``1d`` 1.0.
@@ -30,8 +31,12 @@ def read_stage(
     """A stage table; ``start``, ``end`` and ``domain`` prune its partitions.
 
     Columns may differ between days, so footers are merged, in a distributed
-    job. Giving the ``schema`` spares that for tables of very many files.
+    job. Giving the ``schema`` spares that for tables of very many files, and so do the
+    manifests of tables written by ``write_version``, which are read as of the newest one.
     """
+    if schema is None and manifest(spark, path) is not None:
+        df = read_version(spark, path, domain=domain)
+        return without_nan(prune_days(df, start, end))
     if schema is None:
         df = read_typed(spark, path, "/domain=*")
     else:
