@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
@@ -108,12 +108,28 @@ def read_by(df: DataFrame, paths: Iterable[str]) -> set[str]:
     return {p for p in paths if p.rsplit("/", 1)[1] in folders}
 
 
+# Spark deletes the shuffle files of a statement at its end, not when the driver happens to
+# collect garbage. Only for writes: their plans are never run a second time.
+SHUFFLES_GO = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def write_scratch(df: DataFrame, path: str, by: Sequence[str] = ()) -> None:
+    """Writes ``df`` and leaves no shuffle files behind."""
+    spark = df.sparkSession
+    before = spark.conf.get(SHUFFLES_GO, "false")
+    spark.conf.set(SHUFFLES_GO, "true")
+    try:
+        df.write.partitionBy(*by).parquet(path)
+    finally:
+        spark.conf.set(SHUFFLES_GO, before)
+
+
 @contextmanager
 def staged(df: DataFrame, label: str) -> Iterator[DataFrame]:
     """A scratch copy of ``df`` for the length of a ``with`` block, deleted at its end."""
     path = scratch_path(df.sparkSession, label)
     try:
-        df.write.parquet(path)
+        write_scratch(df, path)
         yield df.sparkSession.read.parquet(path)
     finally:
         delete_paths(df.sparkSession, [path])
@@ -127,7 +143,7 @@ def cut_lineage(df: DataFrame, label: str = "cut") -> DataFrame:
     same rows.
     """
     path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
+    write_scratch(df, path)
     return df.sparkSession.read.parquet(path)
 
 
