@@ -10,7 +10,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
-from llm_helpers import clash, expected_links, sentence
+from llm_helpers import LAST, clash, expected_links, sentence
 from pyspark.sql import functions as F
 
 from tidegrid.llm import classifier, fingerprints, jaccard, ppm, warc
@@ -129,6 +129,83 @@ def test_walk_is_the_same_alone_and_together():
     assert together[0] == together[3] == "" and fingerprints.likeness("", "") == 1
 
 
+def edited(text, rng, edits):
+    out = list(text)
+    for at in sorted(rng.integers(0, len(out), edits).tolist(), reverse=True):
+        out[at : at + 1] = [["zz"], [], ["q"]][at % 3]
+    return "".join(out)
+
+
+def expected_print_groups(rows, least):
+    """Connected components of all pairs of fingerprints, without bands."""
+    prints = fingerprints.fingerprints([r[1] for r in rows])
+    top = list(range(len(rows)))
+
+    def find(x):
+        while top[x] != x:
+            x = top[x]
+        return x
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if prints[i] and prints[j] and fingerprints.likeness(prints[i], prints[j]) >= least:
+                top[max(find(i), find(j))] = min(find(i), find(j))
+    ids = collections.defaultdict(list)
+    for i, r in enumerate(rows):
+        ids[find(i)].append(LAST if r[0] is None else r[0])
+    groups = [min(ids[find(i)]) for i in range(len(rows))]
+    return [None if g == LAST else g for g in groups]
+
+
+@pytest.mark.parametrize("block", [512, 16])
+def test_print_groups_miss_few_links(spark, given, block):
+    """Against all pairs: nothing is linked that should not be, and at least nine tenths of the links are found."""
+    rng = np.random.default_rng(8)
+    rows = [(r.doc_id, r.text) for r in given.collect()]
+    letters = list("abcdefghij klmnop")
+    for k in range(40):
+        text = "".join(rng.choice(letters, int(rng.integers(200, 6000))))
+        rows += [(10_000 + 100 * k + c, edited(text, rng, int(rng.integers(0, 1 + len(text) // 150)))) for c in range(4)]
+    base = "".join(rng.choice(letters, 1500))
+    rows += [(20_000 + c, base[:-1] + letters[c % 17] + str(c)) for c in range(60)]
+    rows += [(None, base), (None, None), (30_000, ""), (30_001, None), (5, base + "!"), (5, base + "?")]
+    found = fingerprints.near_groups(spark.createDataFrame(rows, "doc_id long, text string"), block=block).collect()
+    want = collections.Counter((i, g) for (i, _), g in zip(rows, expected_print_groups(rows, fingerprints.LEAST_LIKENESS)))
+    got = collections.Counter((r.doc_id, r.group_id) for r in found)
+    assert sum(got.values()) == len(rows)
+    linked = {k: n for k, n in want.items() if k[0] != k[1]}
+    assert sum(linked.values()) > 100
+    hits = sum(min(n, got[k]) for k, n in linked.items())
+    assert hits >= 0.9 * sum(linked.values())
+    assert got[(20_059, 5)] == 1 and got[(None, 5)] == 1 and got[(None, None)] == 1 and got[(30_000, 30_000)] == 1
+    # What bands miss can only split groups, never join unlike ones.
+    joined = {(i, g) for (i, g) in got if i != g}
+    assert len(joined - set(want)) <= 0.1 * len(joined)
+
+
+def naive_walk(text):
+    """The walk step by step: the place in the text at each step until it ends."""
+    rng = np.random.default_rng(100)
+    moves = rng.integers(0, 2, (fingerprints.CLASSES, 2 * fingerprints.PERIOD), dtype=np.uint8)
+    places, at, step = [], 0, 0
+    while at < len(text):
+        places.append(at)
+        at += int(moves[ord(text[at]) % fingerprints.CLASSES, step % fingerprints.PERIOD])
+        step += 1
+    return places
+
+
+def test_walk_against_single_steps():
+    for text in ("a", "hello world " * 30, "\U0001f642é" * 700, "aaaaab" * 1000):
+        places = naive_walk(text)
+        (steps,) = fingerprints._walk([fingerprints.codes(text)])
+        assert steps[-1] == len(places)
+        assert [int(np.searchsorted(steps, s, "right") - 1) for s in range(len(places))] == places
+        (print_,) = fingerprints.fingerprints([text])
+        wanted = fingerprints.STEPS[: len(print_)]
+        assert [c == "." for c in print_] == [s >= len(places) for s in wanted.tolist()]
+
+
 def test_fingerprint_edges(none, spark):
     assert fingerprints.compare_with_next(none).count() == 0
     one = spark.createDataFrame([(5, "abcdef")], "doc_id long, text string")

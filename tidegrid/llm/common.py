@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidegrid.session import cut_lineage, scratch_path
+from tidegrid.session import cut_lineage, scratch_path, write_scratch
 
 # ASCII white space: what separates words everywhere in this package.
 SPACE = r"[ \t\n\x0B\f\r]+"
@@ -40,7 +40,7 @@ def settle_by(df: DataFrame, flag: str, label: str) -> tuple[DataFrame, str]:
     A folder can be deleted when its rows are needed no more.
     """
     path = scratch_path(df.sparkSession, label)
-    df.write.partitionBy(flag).parquet(path)
+    write_scratch(df, path, [flag])
     return df.sparkSession.read.schema(df.schema).parquet(path).select(df.columns), path
 
 

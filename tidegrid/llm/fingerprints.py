@@ -15,11 +15,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidegrid.llm.common import settle
+from tidegrid.llm import jaccard
+from tidegrid.llm.common import free_name, settle
 from tidegrid.llm.components import components
 
 # Steps repeat their random bits after PERIOD; characters share CLASSES rows of bits.
@@ -236,61 +238,125 @@ def _compared(part: pd.DataFrame, id_col: str) -> pd.DataFrame:
     )
 
 
-# Bands of a fingerprint: runs of samples of one octave that must agree.
-BAND = 8
-LEAST_LIKENESS = 0.6
+# A band is so many samples of one octave; each octave has BANDS, of the last OCTAVES of a walk,
+# which hold most of its steps. Where samples differ independently a pair at the least likeness
+# shares one of 24 bands of five with probability 1 - (1 - 0.8 ** 5) ** 24 > 0.9999, and
+# one of 16, where its walks end in neighbouring octaves, with 0.998.
+BAND, BANDS, OCTAVES = 5, 8, 3
+BAND_PLACES = np.array([np.sort(np.random.default_rng([102, b]).permutation(SAMPLES)[:BAND]) for b in range(BANDS)])
+LEAST_SIGNS = 3  # signs of a band at which the walk had not ended
+LEAST_LIKENESS = 0.8
+BLOCK = 512
+TILE = ["key", "i", "j"]
+
+
+def _band_keys(print_: Column) -> Column:
+    """Hashes of the bands of a fingerprint."""
+    octaves = (F.length(print_) / SAMPLES).cast("int")
+    keys = []
+    for back in range(1, OCTAVES + 1):
+        octave = octaves - back
+        for b, places in enumerate(BAND_PLACES):
+            signs = F.concat(*[F.substr(print_, octave * SAMPLES + int(p) + 1, F.lit(1)) for p in places])
+            usable = (octave >= 0) & (F.length(F.replace(signs, F.lit("."))) >= LEAST_SIGNS)
+            keys.append(F.when(usable, F.xxhash64(octave, F.lit(b), signs)))
+    return F.array_compact(F.array(*keys))
+
+
+def _links(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
+    """Documents of a tile, each with the first one of those that it is connected to within the tile.
+
+    Each is compared with all later ones that are not connected to it yet: a group of near
+    copies is settled by its first one.
+    """
+    for group in jaccard._groups(batches, TILE):
+        nodes, prints = group.column("node").to_pylist(), group.column("print").to_pylist()
+        size = max(map(len, prints))
+        table = np.frombuffer("".join(p.ljust(size, ".") for p in prints).encode(), np.uint8).reshape(len(prints), size)
+        weight = np.repeat(WEIGHTS[: size // SAMPLES], SAMPLES)
+        ended = table == 46
+        root = np.arange(len(nodes))
+        for i in range(len(nodes) - 1):
+            others = i + 1 + np.flatnonzero(root[i + 1 :] != root[i])
+            if len(others) == 0:
+                continue
+            counted = ~(ended[i] & ended[others])
+            alike = ((table[others] == table[i]) & counted) @ weight
+            for j in others[alike >= least * np.maximum(counted @ weight, 1.0)]:
+                low, high = sorted((root[i], root[j]))
+                if low != high:
+                    root[root == high] = low
+        linked = np.flatnonzero(root != np.arange(len(nodes)))
+        if len(linked):
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([nodes[x] for x in linked], pa.binary()), pa.array([nodes[root[x]] for x in linked], pa.binary())],
+                ["u", "v"],
+            )
+
+
+def group_prints(
+    prints: DataFrame, *, id_col: str = "doc_id", print_col: str = "fingerprint", least: float = LEAST_LIKENESS,
+    block: int = BLOCK,
+) -> DataFrame:
+    """Every row of ``prints`` with ``group_id``: rows linked by likeness of their fingerprints.
+
+    Equal fingerprints are one class. Classes that share a band of sampled signs are compared,
+    all with all, in blocks that bound a task; a link is a likeness of at least ``least``.
+    Groups are connected components, named by their least id, null being the greatest.
+    Empty fingerprints are groups of their own. ``group_id`` replaces a column of that name.
+    """
+    node, kept = free_name(prints, "_near_node"), [c for c in prints.columns if c.lower() != "group_id"]
+    own = F.col(f"`{print_col}`")
+    named = prints.withColumn(node, F.unhex(F.md5(F.encode(own, "UTF-8"))))
+    classes = settle(
+        named.filter(own != "").groupBy(F.col(node).alias("node")).agg(
+            F.min(own).alias("print"), F.min(F.col(f"`{id_col}`").cast("long")).alias("least"), F.count("*").alias("rows")
+        ),
+        "near-classes",
+    )
+    banded = classes.select("node", F.explode(_band_keys(F.col("print"))).alias("key"))
+    busy = settle(banded.groupBy(F.col("key").alias("key_k")).agg(F.count("*").alias("n")).filter("n > 1"), "near-buckets")
+    members = banded.join(busy, F.col("key") == F.col("key_k"))
+    blocks = F.ceil(F.col("n") / F.lit(block)).cast("int")
+    tiled = (
+        members.withColumn("blocks", blocks)
+        .withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .select("key", "node", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    )
+    wide = tiled.join(classes.select(F.col("node").alias("node_k"), "print"), F.col("node") == F.col("node_k"))
+    dealt = wide.select(*TILE, "node", "print").repartition(*TILE).sortWithinPartitions(*TILE)
+    linked = settle(dealt.mapInArrow(lambda b: _links(b, least), "u binary, v binary"), "near-links")
+    roots = components(linked).select(F.col("node").alias("node_k"), "root")
+    about = classes.select("node", "least", "rows").join(roots, F.col("node") == F.col("node_k"), "left")
+    about = about.withColumn("root", F.coalesce("root", "node"))
+    first = about.groupBy(F.col("root").alias("root_k")).agg(F.min("least").alias("group_id"))
+    # Single documents that name their group need no row here: few are looked up.
+    shared = about.join(first, F.col("root") == F.col("root_k")).filter("rows > 1 OR group_id IS DISTINCT FROM least")
+    found, at = free_name(prints, "_near_found"), free_name(prints, "_near_at")
+    groups = settle(
+        shared.select(F.col("node").alias(at), F.struct("group_id").alias(found)), "near-groups"
+    )
+    joined = named.join(groups, F.col(node) == F.col(at), "left")
+    group = F.when((own == "") | F.col(found).isNull(), F.col(f"`{id_col}`")).otherwise(F.col(found)["group_id"])
+    return joined.select(*[F.col(f"`{c}`") for c in kept], group.cast("long").alias("group_id"))
 
 
 def near_groups(
-    docs: DataFrame,
-    *,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    least: float = LEAST_LIKENESS,
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", least: float = LEAST_LIKENESS, block: int = BLOCK
 ) -> DataFrame:
-    """id and group_id of every document: documents linked by likeness of their fingerprints.
+    """id and group_id of every document: ``group_prints`` of the fingerprints of whole texts.
 
-    Candidates share a band: the same sampled signs of one octave, of those that cover the
-    upper half of a text's walk. Each bucket links its documents to the one of least id,
-    and a link stays if the likeness of the two fingerprints is at least ``least``; groups
-    are connected components. Buckets are never paired out, so work grows with documents.
-
-    Null and empty texts are groups of their own, and so are null ids. Repeated rows of one
-    id are one document. An empty table gives an empty table. Other columns are left out.
+    Null and empty texts are groups of their own. Repeated rows are rows of one group. An
+    empty table gives an empty table. Other columns are left out.
     """
-    given = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    given = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             texts = [t if isinstance(t, str) else "" for t in frame["text"]]
-            yield pd.DataFrame({"id": frame["id"], "print": fingerprints(texts)})
-
-    prints = settle(given.filter("id IS NOT NULL").mapInPandas(run, "id long, print string"), "fingerprints")
-    octaves = F.length("print") / SAMPLES
-    # The last three octaves hold most of the walk's steps.
-    bands = F.sequence(
-        F.greatest(F.lit(0), (octaves - 3) * (SAMPLES // BAND)).cast("int"),
-        (octaves * (SAMPLES // BAND) - 1).cast("int"),
-    )
-    banded = prints.filter("print <> ''").withColumn("band", F.explode(bands)).select(
-        "id", "print", "band", F.expr(f"substring(print, band * {BAND} + 1, {BAND})").alias("signs")
-    )
-    banded = banded.filter(~F.col("signs").contains("."))
-    heads = settle(
-        banded.groupBy(F.col("band").alias("band_k"), F.col("signs").alias("signs_k"))
-        .agg(F.min(F.struct("id", "print")).alias("head"), F.count("*").alias("n"))
-        .filter("n > 1"),
-        "fingerprint-buckets",
-    )
-    pairs = banded.join(
-        heads, (F.col("band") == F.col("band_k")) & (F.col("signs") == F.col("signs_k"))
-    ).filter("id > head.id").select("id", "print", F.col("head.id").alias("head"), F.col("head.print").alias("other"))
-
-    def verified(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            keep = [likeness(a, b) >= least for a, b in zip(frame["print"], frame["other"])]
-            yield pd.DataFrame({"u": frame["id"][keep], "v": frame["head"][keep]})
+            yield pd.DataFrame({"id": frame["id"].astype("Int64"), "print": fingerprints(texts)})
 
-    roots = components(pairs.distinct().mapInPandas(verified, "u long, v long"))
-    joined = given.select("id").join(roots, F.col("id") == F.col("node"), "left")
-    return joined.select(F.col("id").alias(id_col), F.coalesce("root", "id").alias("group_id"))
+    prints = settle(given.mapInPandas(run, "id long, print string"), "fingerprints")
+    grouped = group_prints(prints, id_col="id", print_col="print", least=least, block=block)
+    return grouped.select(F.col("id").alias(id_col), "group_id")

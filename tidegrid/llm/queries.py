@@ -9,7 +9,7 @@ from tidegrid.catalog.base import Registry
 from tidegrid.llm import (
     bpe, classifier, codes, fingerprints, jaccard, licenses, mixing, ppm, rules, sharding, spelling, sql, substrings, warc,
 )
-from tidegrid.llm.common import residue, table, tokenizer_path
+from tidegrid.llm.common import residue, settle, table, tokenizer_path
 
 QUERIES = Registry()
 
@@ -105,7 +105,8 @@ def op7_ppm_scores(spark, sf_dir):
 
 @QUERIES.add()
 def op10_edit_fingerprints(spark, sf_dir):
-    return fingerprints.compare_with_next(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return fingerprints.group_prints(settle(fingerprints.compare_with_next(docs), "fingerprints"))
 
 
 @QUERIES.add(sql.SPELLING)
