@@ -16,11 +16,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidegrid.llm import jaccard
+from tidegrid.llm import hashing, jaccard
 from tidegrid.llm.common import free_name, settle
 from tidegrid.llm.components import components
 
@@ -250,17 +250,35 @@ BLOCK = 512
 TILE = ["key", "i", "j"]
 
 
-def _band_keys(print_: Column) -> Column:
-    """Hashes of the bands of a fingerprint."""
-    octaves = (F.length(print_) / SAMPLES).cast("int")
-    keys = []
-    for back in range(1, OCTAVES + 1):
-        octave = octaves - back
-        for b, places in enumerate(BAND_PLACES):
-            signs = F.concat(*[F.substr(print_, octave * SAMPLES + int(p) + 1, F.lit(1)) for p in places])
-            usable = (octave >= 0) & (F.length(F.replace(signs, F.lit("."))) >= LEAST_SIGNS)
-            keys.append(F.when(usable, F.xxhash64(octave, F.lit(b), signs)))
-    return F.array_compact(F.array(*keys))
+def band_keys(prints: list[str]) -> list[np.ndarray]:
+    """Hashes of each fingerprint's bands; bands at which the walk had mostly ended are left out."""
+    out: list[np.ndarray] = [np.zeros(0, np.uint64)] * len(prints)
+    sizes = np.array([len(p) for p in prints])
+    for size in np.unique(sizes[sizes > 0]).tolist():
+        rows = np.flatnonzero(sizes == size)
+        table = np.frombuffer("".join(prints[i] for i in rows).encode(), np.uint8).reshape(len(rows), size)
+        octaves = range(max(0, size // SAMPLES - OCTAVES), size // SAMPLES)
+        # One row of places a band, over all its octaves.
+        places = np.concatenate([BAND_PLACES + octave * SAMPLES for octave in octaves])
+        names = np.array([octave * BANDS + b for octave in octaves for b in range(BANDS)], np.uint64)
+        signs = table[:, places]
+        value = np.broadcast_to(hashing.mixed(names + np.uint64(1)), signs.shape[:2])
+        for k in range(BAND):
+            value = hashing.mixed(value ^ signs[:, :, k].astype(np.uint64))
+        usable = (signs != 46).sum(2) >= LEAST_SIGNS
+        for i, keys, good in zip(rows, value, usable):
+            out[i] = np.unique(keys[good])
+    return out
+
+
+def _with_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Classes with the keys of their bands as a last column."""
+    for batch in batches:
+        keys = band_keys(batch.column("print").to_pylist())
+        ends = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
+        flat = np.concatenate([*keys, np.zeros(0, np.uint64)])
+        lists = pa.ListArray.from_arrays(pa.array(ends), hashing.signed(flat))
+        yield pa.RecordBatch.from_arrays([*batch.columns, lists], [*batch.schema.names, "keys"])
 
 
 def _links(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
@@ -308,13 +326,13 @@ def group_prints(
     node, kept = free_name(prints, "_near_node"), [c for c in prints.columns if c.lower() != "group_id"]
     own = F.col(f"`{print_col}`")
     named = prints.withColumn(node, F.unhex(F.md5(F.encode(own, "UTF-8"))))
+    distinct = named.filter(own != "").groupBy(F.col(node).alias("node")).agg(
+        F.min(own).alias("print"), F.min(F.col(f"`{id_col}`").cast("long")).alias("least"), F.count("*").alias("rows")
+    )
     classes = settle(
-        named.filter(own != "").groupBy(F.col(node).alias("node")).agg(
-            F.min(own).alias("print"), F.min(F.col(f"`{id_col}`").cast("long")).alias("least"), F.count("*").alias("rows")
-        ),
-        "near-classes",
+        distinct.mapInArrow(_with_keys, "node binary, print string, least long, rows long, keys array<long>"), "near-classes"
     )
-    banded = classes.select("node", F.explode(_band_keys(F.col("print"))).alias("key"))
+    banded = classes.select("node", F.explode("keys").alias("key"))
     busy = settle(banded.groupBy(F.col("key").alias("key_k")).agg(F.count("*").alias("n")).filter("n > 1"), "near-buckets")
     members = banded.join(busy, F.col("key") == F.col("key_k"))
     blocks = F.ceil(F.col("n") / F.lit(block)).cast("int")
