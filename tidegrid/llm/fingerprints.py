@@ -30,8 +30,10 @@ SAMPLES = 32  # of each octave of steps
 FIRST = 3  # steps below 2 ** FIRST are one octave
 GRAM = 4  # a sample writes the characters from the walk's place on
 # One sign for six bits of a sample; "." where the walk had ended.
-SIGNS = np.array(list("0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz-_"))
+SIGNS = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz-_"
+SIGN_BYTES = np.frombuffer(SIGNS.encode(), np.uint8)
 TEXTS = 512  # walked side by side
+ALONE = 64  # fewer texts than that are walked one by one
 
 
 def _tables() -> tuple[np.ndarray, np.ndarray]:
@@ -39,7 +41,7 @@ def _tables() -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.default_rng(100)
     moves = rng.integers(0, 2, (CLASSES, 2 * PERIOD), dtype=np.uint8)
     moves[:, PERIOD:] = moves[:, :PERIOD]
-    stay = np.empty((CLASSES, PERIOD), np.int32)
+    stay = np.empty((CLASSES, PERIOD), np.uint8)
     nearest = np.full(CLASSES, 1, np.int32)
     for step in range(2 * PERIOD - 1, -1, -1):
         nearest = np.where(moves[:, step] == 1, 1, nearest + 1)
@@ -49,6 +51,7 @@ def _tables() -> tuple[np.ndarray, np.ndarray]:
 
 
 STAY, SALT = _tables()
+STAY_BYTES = STAY.tobytes()
 
 
 def sampled_steps(octaves: int) -> np.ndarray:
@@ -65,49 +68,75 @@ STEPS = sampled_steps(40)
 WEIGHTS = np.concatenate([[1 << FIRST], [1 << (FIRST + k - 1) for k in range(1, 40)]]).astype(float)
 
 
-def _walk(texts: list[np.ndarray]) -> list[np.ndarray]:
-    """The step at which the walk reaches each character, and the step at which it ends."""
+def _walk(texts: list[np.ndarray], begins: list[int] | None = None) -> list[np.ndarray]:
+    """The step at which the walk reaches each character, and the step at which it ends.
+
+    ``begins`` are the steps at which the walks reach the first characters, 0 without it.
+    """
     order = sorted(range(len(texts)), key=lambda i: -len(texts[i]))
-    longest = len(texts[order[0]]) if texts else 0
-    sizes = np.array([len(texts[i]) for i in order])
-    # Character by character over all texts that are that long, the longest first.
+    sizes = np.array([len(texts[i]) for i in order], np.int64)
     starts = np.concatenate([[0], np.cumsum(sizes + 1)])
     steps = np.zeros(starts[-1], np.int32)
     flat = np.zeros(starts[-1], np.int32)
+    now = np.zeros(len(order), np.int32)
     for row, i in enumerate(order):
         flat[starts[row] : starts[row] + sizes[row]] = (texts[i] % CLASSES) * PERIOD
-    alive = np.searchsorted(-sizes, -np.arange(longest), "left")
+        now[row] = begins[i] if begins else 0
     base = starts[:-1]
-    now = np.zeros(len(order), np.int32)
-    for at in range(longest):
+    steps[base] = now
+    # Character by character over all texts that are that long, the longest first, while
+    # there are enough of them to be worth a call of numpy.
+    together = int(sizes[ALONE - 1]) if len(order) >= ALONE else 0
+    alive = np.searchsorted(-sizes, -np.arange(together), "left")
+    for at in range(together):
         n = alive[at]
         place = base[:n] + at
         now = now[:n]
         now = now + STAY[flat[place] + (now & (PERIOD - 1))]
         steps[place + 1] = now
+    for row in range(min(len(order), ALONE)):
+        first, last = starts[row] + together, starts[row] + sizes[row]
+        if first < last:
+            steps[first + 1 : last + 1] = _walk_alone(flat[first:last].tolist(), int(steps[first]))
     out: list[np.ndarray] = [steps] * len(texts)
     for row, i in enumerate(order):
         out[i] = steps[starts[row] : starts[row + 1]]
     return out
 
 
-def _signs(text: np.ndarray, steps: np.ndarray) -> str:
-    """The fingerprint: for each sample the sign of the gram at the walk's place."""
-    end = int(steps[-1])
-    if end == 0:
-        return ""
-    octaves = 1 + max(0, int(end - 1).bit_length() - FIRST)
-    wanted = STEPS[: octaves * SAMPLES]
-    place = np.searchsorted(steps, wanted, "right") - 1
-    inside = wanted < end
-    place = np.minimum(place, len(text) - 1)
-    value = np.full(len(wanted), SALT[0])
+def _walk_alone(rows: list[int], now: int) -> list[int]:
+    """The steps after each character of one text, of which ``rows`` are the places in STAY."""
+    stay, mask, out = STAY_BYTES, PERIOD - 1, []
+    for row in rows:
+        now += stay[row + (now & mask)]
+        out.append(now)
+    return out
+
+
+def _signs(texts: list[np.ndarray], walks: list[np.ndarray]) -> list[str]:
+    """The fingerprints: for each sample the sign of the gram at the walk's place."""
+    wanted, places = [], []
+    for steps in walks:
+        end = int(steps[-1])
+        octaves = 1 + max(0, (end - 1).bit_length() - FIRST) if end else 0
+        wanted.append(STEPS[: octaves * SAMPLES])
+        places.append(np.searchsorted(steps, wanted[-1], "right") - 1)
+    counts = np.array([len(w) for w in wanted], np.int64)
+    sizes = np.array([len(t) for t in texts], np.int64)
+    ends = np.repeat([int(steps[-1]) for steps in walks], counts)
+    inside = np.concatenate(wanted) < ends
+    # Texts lie one after the other, each followed by the zeros that a gram may reach into.
+    gap = np.zeros(GRAM, np.int32)
+    flat = np.concatenate([part for text in texts for part in (text, gap)]).astype(np.uint64)
+    begins = np.concatenate([[0], np.cumsum(sizes + GRAM)])[:-1]
+    place = np.minimum(np.concatenate(places), np.repeat(sizes - 1, counts)) + np.repeat(begins, counts)
+    value = np.full(len(place), SALT[0])
     for k in range(GRAM):
-        code = np.where(place + k < len(text), text[np.minimum(place + k, len(text) - 1)], 0)
-        value = (value ^ code.astype(np.uint64)) * (SALT[1] | np.uint64(1))
+        value = (value ^ flat[place + k]) * (SALT[1] | np.uint64(1))
         value ^= value >> np.uint64(29)
-    signs = np.where(inside, SIGNS[(value >> np.uint64(40)) & np.uint64(63)], ".")
-    return "".join(signs.tolist())
+    signs = np.where(inside, SIGN_BYTES[(value >> np.uint64(40)) & np.uint64(63)], np.uint8(46)).tobytes().decode()
+    cuts = np.concatenate([[0], np.cumsum(counts)]).tolist()
+    return [signs[low:high] for low, high in zip(cuts[:-1], cuts[1:])]
 
 
 def codes(text: str | None) -> np.ndarray:
@@ -119,7 +148,7 @@ def fingerprints(texts: list[str | None]) -> list[str]:
     out = []
     for begin in range(0, len(texts), TEXTS):
         parts = [codes(t) for t in texts[begin : begin + TEXTS]]
-        out += [_signs(t, s) for t, s in zip(parts, _walk(parts))]
+        out += _signs(parts, _walk(parts))
     return out
 
 
@@ -219,12 +248,18 @@ def _compared(part: pd.DataFrame, id_col: str) -> pd.DataFrame:
     texts = [t if isinstance(t, str) else "" for t in part["text"]]
     guest = part["guest"].to_numpy()
     own = [i for i in range(len(texts) - 1) if not guest[i]]
-    prints = fingerprints(texts)
-    edited = []
-    for i in own:
-        third = len(texts[i]) // 3
-        edited.append(texts[i][: len(texts[i]) - third] + texts[i + 1][:third])
-    changed = fingerprints(edited)
+    parts = [codes(t) for t in texts]
+    walks = _walk(parts)
+    prints = _signs(parts, walks)
+    # An edited text's walk is its document's up to the edit, and goes on from there.
+    kept = [len(parts[i]) - len(parts[i]) // 3 for i in own]
+    given = [parts[i + 1][: len(parts[i]) // 3] for i in own]
+    ends = _walk(given, [int(walks[i][k]) for i, k in zip(own, kept)])
+    edited = [texts[i][:k] + texts[i + 1][: len(texts[i]) // 3] for i, k in zip(own, kept)]
+    changed = _signs(
+        [np.concatenate([parts[i][:k], g]) for i, k, g in zip(own, kept, given)],
+        [np.concatenate([walks[i][:k], e]) for i, k, e in zip(own, kept, ends)],
+    ) if own else []
     return pd.DataFrame(
         {
             id_col: part["id"].iloc[own].to_numpy() if own else part["id"].iloc[:0].to_numpy(),
