@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidegrid.keys import broadcast_if_small
 from tidegrid.llm import hashing, jaccard
 from tidegrid.llm.common import free_name, settle
 from tidegrid.llm.components import components
@@ -361,9 +362,10 @@ def group_prints(
     node, kept = free_name(prints, "_near_node"), [c for c in prints.columns if c.lower() != "group_id"]
     own = F.col(f"`{print_col}`")
     named = prints.withColumn(node, F.unhex(F.md5(F.encode(own, "UTF-8"))))
-    distinct = named.filter(own != "").groupBy(F.col(node).alias("node")).agg(
-        F.min(own).alias("print"), F.min(F.col(f"`{id_col}`").cast("long")).alias("least"), F.count("*").alias("rows")
+    distinct = prints.filter(own != "").groupBy(own.alias("print")).agg(
+        F.min(F.col(f"`{id_col}`").cast("long")).alias("least"), F.count("*").alias("rows")
     )
+    distinct = distinct.select(F.unhex(F.md5(F.encode("print", "UTF-8"))).alias("node"), "print", "least", "rows")
     classes = settle(
         distinct.mapInArrow(_with_keys, "node binary, print string, least long, rows long, keys array<long>"), "near-classes"
     )
@@ -390,7 +392,8 @@ def group_prints(
     groups = settle(
         shared.select(F.col("node").alias(at), F.struct("group_id").alias(found)), "near-groups"
     )
-    joined = named.join(groups, F.col(node) == F.col(at), "left")
+    # Beyond the bound rows are shuffled, prints and all, when the shuffle of the texts is gone.
+    joined = named.join(broadcast_if_small(groups), F.col(node) == F.col(at), "left")
     group = F.when((own == "") | F.col(found).isNull(), F.col(f"`{id_col}`")).otherwise(F.col(found)["group_id"])
     return joined.select(*[F.col(f"`{c}`") for c in kept], group.cast("long").alias("group_id"))
 
