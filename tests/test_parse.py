@@ -99,3 +99,13 @@ def test_one_pass_shape_equals_tables(spark, tmp_path):
     parsed = raw.parse_kv_lines(raw.source_metadata(raw.read_lines(spark, path)))
     got = {(r.domain, r.m0, r.outdoor_temp) for r in raw.type_rows(parsed, DOMAINS).collect()}
     assert got == {("bio_signal", 1, None), ("environment", None, 2.5)}
+
+
+def test_values_are_found_as_whole_fields(spark):
+    lines = ["2026-01-20T00:00:00;;;m:1;;m:2;;xm:3;;n:a:b;;:e;; m:9;;o", "2026-01-20T00:00:01;;m\0:4;;n:"]
+    parsed = raw.parse_kv_lines(spark.createDataFrame([(x,) for x in lines], "value string"), ";;")
+    keys = ["m", ";m", "n", "", "o", "n:a"]
+    rows = parsed.select(*[raw.value_of(k).alias(f"c{i}") for i, k in enumerate(keys)]).collect()
+    # Delimiters are taken from the left, so the first field of the first line is ";m".
+    assert [tuple(r) for r in rows] == [("2", "1", "a:b", "e", None, None), ("4", None, "", None, None, None)]
+    assert raw.discover_keys(parsed) == sorted(["", " m", ";m", "m", "n", "xm"])

@@ -13,6 +13,7 @@ from tidegrid.functions import scalars as S
 from tidegrid.functions.names import domain_columns
 from tidegrid.operators.columns import typed_columns
 
+CUT = "\0"  # between the fields of a parsed line
 DATE = r"\d{4}-\d{2}-\d{2}"
 # What counts as blank at either end of a line.
 BLANKS = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0"
@@ -92,41 +93,36 @@ def parse_kv_lines(
     column: str = "value",
     tz: str = "UTC",
 ) -> DataFrame:
-    """Split key:value lines: ``ts`` from the first field, then two parallel arrays.
+    """Key:value lines as ``ts``, from the first field, and ``_fields``, cut by NUL.
 
-    NUL characters go, blank lines and lines without any pair are dropped,
-    fields without a colon are ignored. The arrays run backwards so that the
-    first match of a key is its last occurrence.
+    NUL characters go first, so a NUL can stand for the delimiter. Blank lines and lines
+    without any pair are dropped, fields without a colon are ignored, and of equal keys
+    the last one counts. Values are searched as text, one search a column, without arrays.
     """
     text = F.btrim(F.translate(F.col(column), "\0", ""), F.lit(BLANKS))
-    cut = re.escape(delimiter)
-    pairs = F.reverse(F.slice("_fields", 2, F.greatest(F.size("_fields") - 1, F.lit(0))))
     return (
         # A pair is a colon somewhere after the first delimiter.
-        lines.filter(F.col(column).rlike(f"(?s){cut}.*:"))
-        .withColumn("_fields", F.split(text, cut))
-        .withColumn("_pairs", F.filter(pairs, lambda f: F.instr(f, ":") > 0))
-        .withColumns(
-            {
-                "ts": S.parse_ts(F.get("_fields", F.lit(0)), tz),
-                "_keys": F.transform("_pairs", lambda f: F.substring_index(f, ":", 1)),
-                "_values": F.transform(
-                    "_pairs", lambda f: F.substr(f, F.instr(f, ":") + F.lit(1))
-                ),
-            }
-        )
-        .drop(column, "_fields", "_pairs")
+        lines.filter(F.col(column).rlike(f"(?s){re.escape(delimiter)}.*:"))
+        .withColumn("_fields", F.replace(text, F.lit(delimiter), F.lit(CUT)))
+        .withColumn("ts", S.parse_ts(F.substring_index("_fields", CUT, 1), tz))
+        .drop(column)
     )
 
 
 def value_of(key: str) -> Column:
     """Text of the last pair with this key, or null."""
-    return F.get("_values", (F.array_position("_keys", key) - 1).cast("int"))
+    if ":" in key or CUT in key:
+        return F.lit(None).cast("string")
+    start = f"{CUT}{key}:"
+    value = F.substring_index(F.substring_index("_fields", start, -1), CUT, 1)
+    return F.when(F.contains("_fields", F.lit(start)), value)
 
 
 def discover_keys(parsed: DataFrame) -> list[str]:
     """Every key seen. A full pass; declare the columns to avoid it."""
-    rows = parsed.select(F.explode("_keys").alias("k")).distinct().collect()
+    fields = parsed.select(F.posexplode(F.split("_fields", CUT)).alias("at", "field"))
+    pairs = fields.filter((F.col("at") > 0) & (F.instr("field", ":") > 0))
+    rows = pairs.select(F.substring_index("field", ":", 1).alias("k")).distinct().collect()
     return sorted(r["k"] for r in rows)
 
 
