@@ -6,6 +6,10 @@ anchor that occurs twice. The first pass counts anchors in count-min sketches, o
 partition, which merge by slices; estimates never fall below true counts. The second
 pass keeps the documents that hold an anchor estimated twice, and only windows on such
 anchors are grouped exactly, by 128-bit hashes. False alarms cost work, never results.
+
+The merged sketch is broadcast as long as it fits. Beyond that it is split by hash: a task
+owns a slice of the anchors, counts them and answers for them, so the counters grow with
+the corpus and the share of false alarms stays what it was.
 """
 
 from __future__ import annotations
@@ -27,10 +31,11 @@ from tidegrid.session import delete_paths
 
 WINDOW, GRAM = 50, 24
 # Rows of 2 ** width counters, merged in slices of 2 ** SLICE. After the merge one bit per
-# counter tells whether it reached two. The width follows the corpus, up to 100 MB in all;
-# beyond it more windows are grouped than need be, and the result stays exact.
-ROWS, SLICE, MOST_WIDTH = 3, 22, 28
+# counter tells whether it reached two. The width follows the corpus; up to MOST_WIDTH (100 MB
+# in all) the sketch is broadcast, beyond it parts of 2 ** SPLIT counters a row are owned by tasks.
+ROWS, SLICE, MOST_WIDTH, SPLIT = 3, 22, 28, 25
 BYTES_PER_COUNTER = 13  # of text; some 90 bytes have one anchor
+ANCHORS_PER_ROW = 512  # sent at once, so that a batch of rows stays small
 LAST = (1 << 63) - 1  # a null id comes after all others
 ADDED = "n_words long, n_removed long, kept_sha256 string, kept_text string"
 
@@ -51,8 +56,9 @@ def _places(anchors: np.ndarray, row: int, width: int) -> np.ndarray:
 
 
 def sketch_width(docs: DataFrame, text_col: str) -> int:
+    """Such that some seven counters stand for an anchor, whatever the size of the corpus."""
     total = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 1
-    return min(MOST_WIDTH, max(SLICE, math.ceil(math.log2(max(1, total / BYTES_PER_COUNTER)))))
+    return max(SLICE, math.ceil(math.log2(max(1, total / BYTES_PER_COUNTER))))
 
 
 def _numbered(text: pa.Array):
@@ -136,6 +142,87 @@ def _estimated(bits: np.ndarray, anchors: np.ndarray, width: int) -> np.ndarray:
     return twice
 
 
+def split_estimates(docs: DataFrame, text: str, order: str, one: str, slices: int, width: int = SPLIT) -> DataFrame:
+    """Rows (o, s, anchor): a document's order and hash, and its anchors estimated to occur twice.
+
+    Each piece of the input counts its anchors once and asks for those it holds in one document
+    only; the others occur twice for certain and need no answer. So a hot anchor sends one count
+    and one question per piece. Rows of a slice arrive counts first, and stream by.
+    """
+
+    def owner(x: np.ndarray) -> np.ndarray:
+        return ((hashing.mixed(x) >> np.uint64(32)) * np.uint64(slices) >> np.uint64(32)).astype(np.int64)
+
+    def cut(kind: int, part: np.ndarray, columns: list[np.ndarray]) -> Iterator[tuple]:
+        turn = np.argsort(part, kind="stable")
+        part, columns = part[turn], [c[turn] for c in columns]
+        begins = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(part) else []
+        for begin, end in zip(begins, [*begins[1:], len(part)]):
+            for at in range(begin, end, ANCHORS_PER_ROW):
+                some = slice(at, min(end, at + ANCHORS_PER_ROW))
+                yield int(part[begin]), kind, *[c[some].tobytes() for c in columns]
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in hashing.slices(batch, 0):
+                bounds, _, anchors, inside = _numbered(piece.column(0))
+                starts = np.flatnonzero(inside)
+                row, anchor = np.searchsorted(bounds, starts, "right") - 1, anchors[starts]
+                turn = np.lexsort((row, anchor))
+                row, anchor = row[turn], anchor[turn]
+                new = np.ones(len(row), bool)
+                new[1:] = (anchor[1:] != anchor[:-1]) | (row[1:] != row[:-1])
+                row, anchor = row[new], anchor[new]
+                again = anchor[1:] == anchor[:-1]
+                first, known = np.ones(len(row), bool), np.zeros(len(row), bool)
+                first[1:] = ~again
+                known[1:] |= again
+                known[:-1] |= again
+                o, s = (piece.column(i).to_numpy().astype(np.int64)[row] for i in (1, 2))
+                none, part = np.zeros(0, np.int64), owner(anchor)
+                rows = [(p, k, a, b"", b"") for p, k, a in cut(0, part[first], [anchor[first]])]
+                rows += cut(1, part[~known], [anchor[~known], o[~known], s[~known]])
+                # Known ones only pass by: spread by document, not by anchor.
+                rows += cut(2, owner(s.view(np.uint64))[known], [anchor[known], o[known], s[known]])
+                columns = list(zip(*rows)) if rows else [none] * 5
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int32(), *[pa.binary()] * 3))],
+                    ["slice", "kind", "anchors", "o", "s"],
+                )
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, once, twice = None, None, None
+        for batch in batches:
+            found: list[list[np.ndarray]] = [[], [], []]
+            numbers, kinds = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for number, kind, *data in zip(numbers, kinds, *(batch.column(i) for i in (2, 3, 4))):
+                anchor, o, s = (np.frombuffer(d.as_buffer(), t) for d, t in zip(data, ("<u8", "<i8", "<i8")))
+                if number != at:
+                    at = number
+                    once, twice = np.zeros((ROWS, 1 << width), bool), np.zeros((ROWS, 1 << width), bool)
+                chosen = np.ones(len(anchor), bool)
+                for row in range(ROWS if kind < 2 else 0):
+                    places = _places(anchor, row, width)
+                    if kind == 0:
+                        places, counts = np.unique(places, return_counts=True)
+                        twice[row, places[once[row, places] | (counts > 1)]] = True
+                        once[row, places] = True
+                    else:
+                        chosen &= twice[row, places]
+                if kind:
+                    for held, values in zip(found, (o, s, anchor.view(np.int64))):
+                        held.append(values[chosen])
+            columns = [np.concatenate(held) if held else np.zeros(0, np.int64) for held in found]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["o_k", "s_k", "anchor"])
+
+    sent = docs.select(text, order, one).mapInArrow(send, "slice int, kind int, anchors binary, o binary, s binary")
+    return (
+        sent.repartition(slices, "slice")
+        .sortWithinPartitions("slice", "kind")
+        .mapInArrow(answer, "o_k long, s_k long, anchor long")
+    )
+
+
 def _digest(data: bytes) -> str:
     return hashlib.sha256(data).hexdigest()
 
@@ -147,6 +234,8 @@ def remove_repeats(
     text_col: str = "text",
     keep: list[str] | None = None,
     with_text: bool = True,
+    most_width: int = MOST_WIDTH,
+    split_width: int = SPLIT,
 ) -> DataFrame:
     """Columns ``keep`` of ``docs``, then n_words, n_removed, kept_sha256 and kept_text.
 
@@ -159,6 +248,9 @@ def remove_repeats(
     A null text has no words. A null id counts as the greatest. Rows with one id are one
     document to each other: what repeats only among them stays. An empty table gives an
     empty table. Kept columns named like a result are dropped in favour of the result.
+
+    A sketch wider than 2 ** ``most_width`` counters a row is split into parts of
+    2 ** ``split_width``; the result is the same.
     """
     spark = docs.sparkSession
     names = [part.split(" ")[0] for part in ADDED.split(", ")]
@@ -166,11 +258,12 @@ def remove_repeats(
     # Own columns travel under numbers, so that no name of theirs meets one used here.
     kept = [f"own{i}" for i in range(len(shown))]
     width = sketch_width(docs, text_col)
-    sketch = spark.sparkContext.broadcast(repeated_anchors(docs, text_col, width))
+    split = width > most_width
+    sketch = None if split else spark.sparkContext.broadcast(repeated_anchors(docs, text_col, width))
     inner = "_sub_order long, _sub_one long, _sub_two long, _sub_hit int, _sub_n long, _sub_sha string, _sub_text string"
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.frombuffer(sketch.value, np.uint8)
+        bits = None if split else np.frombuffer(sketch.value, np.uint8)
         at_text, at_id = len(kept), len(kept) + 1
         for batch in batches:
             for piece in hashing.slices(batch, at_text):
@@ -180,7 +273,8 @@ def remove_repeats(
                 anchors = _anchors(hashes[0])
                 inside = hashing.within(bounds, WINDOW, len(anchors))
                 twice = np.zeros(len(hashes[0]) + 1, np.int64)
-                twice[: len(anchors)] = inside & _estimated(bits, anchors, width)
+                # A split sketch answers later; till then every window may be a repeat.
+                twice[: len(anchors)] = inside if split else inside & _estimated(bits, anchors, width)
                 total = np.concatenate([[0], np.cumsum(twice)])
                 hit = total[bounds[1:]] > total[bounds[:-1]]
                 sums = _sequence_hashes(hashes, bounds)
@@ -224,16 +318,35 @@ def remove_repeats(
     delete_paths(spark, [f"{stored}/_sub_hit=1"])
     looked = marked.filter("NOT _sub_copy")
     # Without the copies most anchors occur once: count again, over these documents only.
-    second = spark.sparkContext.broadcast(repeated_anchors(looked, "_sub_text", width))
+    second, asked = None, looked.select("_sub_text", "_sub_order", "_sub_one")
+    if split:
+        parts = 1 << max(0, width - split_width)
+        told = split_estimates(looked, "_sub_text", "_sub_order", "_sub_one", parts, split_width)
+        told = told.groupBy("o_k", "s_k").agg(F.collect_set("anchor").alias("_sub_told"))
+        named = (F.col("_sub_order") == F.col("o_k")) & (F.col("_sub_one") == F.col("s_k"))
+        asked = asked.join(told, named).drop("o_k", "s_k")
+    else:
+        second = spark.sparkContext.broadcast(repeated_anchors(looked, "_sub_text", width))
+
+    def repeated(piece: pa.RecordBatch, anchors: np.ndarray, row: np.ndarray) -> np.ndarray:
+        if not split:
+            return _estimated(np.frombuffer(second.value, np.uint8), anchors, width)
+        told = piece.column(3)
+        owner = np.repeat(np.arange(len(told)), np.diff(told.offsets.to_numpy()))
+        held = np.ascontiguousarray(told.flatten().to_numpy()).view(np.uint64)
+        ours, theirs = (
+            hashing.mixed(a ^ hashing.mixed(r.astype(np.uint64) + np.uint64(1))) for a, r in ((anchors, row), (held, owner))
+        )
+        return np.isin(ours, theirs)
 
     def spots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.frombuffer(second.value, np.uint8)
         for batch in batches:
             for piece in hashing.slices(batch, 0, 2 * hashing.SLICE_BYTES):
                 bounds, hashes, anchors, inside = _numbered(piece.column(0))
                 starts = np.flatnonzero(inside)
-                starts = starts[_estimated(bits, anchors[starts], width)]
                 row = np.searchsorted(bounds, starts, "right") - 1
+                twice = repeated(piece, anchors[starts], row)
+                starts, row = starts[twice], row[twice]
                 a, b = (hashing.windows(h, WINDOW)[starts] for h in hashes)
                 order = piece.column(1).to_numpy()[row]
                 # Of equal windows here only those of the smallest id can be first anywhere:
@@ -254,7 +367,7 @@ def remove_repeats(
                 )
 
     found = settle(
-        looked.select("_sub_text", "_sub_order", "_sub_one").mapInArrow(
+        asked.mapInArrow(
             spots, "a long, b long, o long, s long, at int, sure boolean"
         ),
         "repeats-windows",
