@@ -438,3 +438,41 @@ def test_texts_of_both_layouts():
     whole = ppm.byte_stream(texts)
     part = ppm.byte_stream(texts.slice(2))
     assert whole[0][whole[1][2] :].tolist() == part[0].tolist()
+
+
+def test_word_vectors_against_a_count_by_hand(spark, edge):
+    """Sums of neighbours' index vectors, word by word; the same however tasks are grouped."""
+    c = classifier
+    rows = [(i, "Alpha beta, beta  GAMMA-7 " * (i % 3) + sentence(20, 9 * i) + " !!") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(9)
+    docs = docs.unionByName(edge.filter("length(text) < 2000 OR text IS NULL").select("doc_id", "text"))
+    total = np.zeros((c.ROWS, c.DIMS))
+    for row in docs.collect():
+        line, before = [], None
+        for word in (w.decode() for w in (row.text or "").encode().split()):
+            letters, form, again = c.word_rows(word)
+            line += [letters, again if word == before else form]
+            before = word
+        for i, own in enumerate(line):
+            for j in range(max(0, i - c.REACH), min(len(line), i + c.REACH + 1)):
+                if i != j and own and line[j]:
+                    for k in range(c.NONZERO):
+                        total[own, c.INDEX_AT[line[j], k]] += c.INDEX_SIGN[line[j], k]
+    mean = total.sum(0) / np.abs(total).sum()
+    total -= np.abs(total).sum(1, keepdims=True) * mean
+    expected = total / np.maximum(np.linalg.norm(total, axis=1, keepdims=True), 1e-9)
+    for group in (1, 4, c.GROUP):
+        assert np.allclose(c.word_vectors(docs, group=group), expected, atol=1e-6)
+
+    texts = ["Alpha beta, beta GAMMA-7", None, "", "!! !! !!"]
+    got = c.pooled(pa.array(texts), expected.astype(np.float32))
+    for text, features in zip(texts, got):
+        words = (text or "").split()
+        pairs = [c.word_rows(w) for w in words]
+        forms = [p[2] if i and words[i] == words[i - 1] else p[1] for i, p in enumerate(pairs)]
+        want = np.zeros(c.FEATURES)
+        if words:
+            want[: c.DIMS] = np.mean([expected[p[0]] for p in pairs], 0)
+            want[c.DIMS : 2 * c.DIMS] = np.mean([expected[f] for f in forms], 0)
+            want[-2], want[-1] = np.log1p(len(words)), max(forms.count(f) for f in forms) / len(forms)
+        assert np.allclose(features, want, atol=1e-5)

@@ -25,6 +25,7 @@ from tidegrid.llm.common import least_hashed, schema_with, settle
 ROWS, DIMS, NONZERO = 1 << 14, 64, 2
 REACH = 2  # neighbours on each side
 SLICES = 16
+GROUP = 512  # tasks whose sums are added up before those of all groups are
 FEATURES = 2 * DIMS + 2
 HIDDEN = 32
 # The network is fitted on at most so many labelled rows, those of least hash.
@@ -68,8 +69,12 @@ def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return bounds, table[code, 0], np.where(again, table[code, 2], table[code, 1])
 
 
-def word_vectors(docs: DataFrame, text_col: str = "text") -> np.ndarray:
-    """The table of all rows' vectors, of unit length, from every text. 4 MB for any corpus."""
+def word_vectors(docs: DataFrame, text_col: str = "text", group: int = GROUP) -> np.ndarray:
+    """The table of all rows' vectors, of unit length, from every text. 4 MB for any corpus.
+
+    Sums of ``group`` input tasks are added slice by slice, then those of the groups, so
+    no task reads the sums of a whole corpus. They are whole numbers: any order gives the same.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(ROWS * DIMS)
@@ -93,11 +98,11 @@ def word_vectors(docs: DataFrame, text_col: str = "text") -> np.ndarray:
             ["slice", "sums"],
         )
 
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def merge(batches: Iterator[pa.RecordBatch], given: type = np.float64) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}  # at most SLICES of 512 KB
         for batch in batches:
             for number, data in zip(batch.column(0).to_pylist(), batch.column(1)):
-                part = np.frombuffer(data.as_buffer(), np.float32).astype(np.float64)
+                part = np.frombuffer(data.as_buffer(), given).astype(np.float64)
                 sums[number] = sums[number] + part if number in sums else part
         yield pa.RecordBatch.from_arrays(
             [pa.array(list(sums), pa.int32()), pa.array([s.tobytes() for s in sums.values()], pa.binary())],
@@ -105,7 +110,14 @@ def word_vectors(docs: DataFrame, text_col: str = "text") -> np.ndarray:
         )
 
     schema = "slice int, sums binary"
-    merged = docs.select(F.col(text_col)).mapInArrow(count, schema).repartition(SLICES, "slice").mapInArrow(merge, schema)
+    counted = docs.select(F.col(text_col)).mapInArrow(count, schema)
+    grouped = (
+        counted.withColumn("group", F.floor(F.spark_partition_id() / group))
+        .repartition("group", "slice")
+        .drop("group")
+        .mapInArrow(lambda batches: merge(batches, np.float32), schema)
+    )
+    merged = grouped.repartition(SLICES, "slice").mapInArrow(merge, schema)
     total = np.zeros((SLICES, ROWS * DIMS // SLICES))
     for number, data in merged.collect():  # SLICES rows, 8 MB in all
         total[number] = np.frombuffer(data, np.float64)
