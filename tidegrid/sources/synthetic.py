@@ -43,20 +43,22 @@ def sensor_days(
     """Readings for every row of ``devices`` (``device_id`` text, ``device_no`` long).
 
     Columns as in the raw lines: ``m0…m11`` long, ``outdoor_temp`` double, and
-    ``copies`` = 2 where the line is written twice. Channels are computed as one
-    array so that the generated code stays small enough to be compiled.
+    ``copies`` = 2 where the line is written twice. What is worked out for every
+    second is plain arithmetic on columns: functions over arrays are interpreted,
+    value by value, these expressions are compiled.
     """
     dev = F.col("device_no")
-    channels = F.sequence(F.lit(0), F.lit(CHANNELS - 1))
+
+    def fixed(offset: int, values: int, least: int) -> Column:
+        """One number per channel that a device keeps."""
+        drawn = [noise(seed, dev, F.lit(0), F.lit(offset + i)) for i in range(CHANNELS)]
+        return F.array(*[F.pmod(r, F.lit(values)) + least for r in drawn])
+
     grid = devices.select("device_id", dev.cast("long").alias("device_no")).select(
         "*",
         F.explode(F.sequence(F.lit(0), F.lit(days - 1))).alias("day_no"),
-        F.transform(
-            channels, lambda i: F.pmod(noise(seed, dev, F.lit(0), i + 200), F.lit(131)) + 250
-        ).alias("_base"),
-        F.transform(
-            channels, lambda i: F.pmod(noise(seed, dev, F.lit(0), i + 300), F.lit(3600))
-        ).alias("_phase"),
+        fixed(200, 131, 250).alias("_base"),
+        fixed(300, 3600, 0).alias("_phase"),
     )
     # Spread before a day is blown up into seconds; device-days are equal in
     # size. The number is explicit: adaptive execution would judge by the few
@@ -68,54 +70,49 @@ def sensor_days(
     dev, t = F.col("device_no"), F.col("t")
     abs_t = F.col("day_no").cast("long") * 86_400 + t
 
-    def draw(channel: Column | int, at: Column = abs_t) -> Column:
-        return noise(seed, dev, at, F.lit(channel) if isinstance(channel, int) else channel)
+    def draw(channel: int, at: Column = abs_t) -> Column:
+        return noise(seed, dev, at, F.lit(channel))
 
     def coin(r: Column, divisor: int) -> Column:
-        return F.when(F.pmod(F.floor(r / divisor), F.lit(2)) == 0, 1).otherwise(-1)
+        return F.when(F.floor(r / divisor) % 2 == 0, 1).otherwise(-1)
 
     # A gap starts at some seconds and swallows 2 to 8 of them.
-    in_gap = F.exists(
-        F.sequence(F.lit(0), F.lit(7)),
-        lambda back: (F.pmod(draw(100, abs_t - back), F.lit(1000)) < GAP_PER_THOUSAND)
-        & (F.pmod(draw(101, abs_t - back), F.lit(7)) + 2 > back)
-        & (t >= back),
+    in_gap = F.lit(False)
+    for back in range(8):
+        starts = draw(100, abs_t - back) % 1000 < GAP_PER_THOUSAND
+        in_gap = in_gap | (starts & (draw(101, abs_t - back) % 7 + 2 > back) & (t >= back))
+
+    # Drawn once, although used several times: Spark keeps a projection whose columns are.
+    noisy = grid.filter(~in_gap).select(
+        "device_id",
+        "t",
+        abs_t.alias("_abs"),
+        "_base",
+        "_phase",
+        *[draw(i).alias(f"_r{i}") for i in (*range(CHANNELS), 50)],
+        *[draw(i).alias(f"_r{i}") for i in (*range(20, 20 + CHANNELS), 51, 60)],
     )
 
-    def channel(i: Column) -> Column:
-        r = draw(i)
-        base, phase = F.get("_base", i), F.get("_phase", i)
-        wave = F.sin((t + phase) * F.lit(6.283185307179586) / 3600.0) * float(SWING)
-        jitter = F.pmod(r, F.lit(2 * NOISE + 1)) - NOISE
-        burst = F.pmod(F.floor(r / 7), F.lit(121)) + 180
-        spike = F.when(
-            F.pmod(draw(i + 20), F.lit(1000)) < SPIKES_PER_THOUSAND, coin(r, 3) * burst
-        ).otherwise(0)
-        value = (F.rint(wave) + base + jitter + spike).cast("long")
+    def channel(i: int) -> Column:
+        r = F.col(f"_r{i}")
+        wave = F.sin((t + F.get("_phase", F.lit(i))) * F.lit(6.283185307179586) / 3600.0) * float(SWING)
+        jitter = r % (2 * NOISE + 1) - NOISE
+        burst = F.floor(r / 7) % 121 + 180
+        spike = F.when(F.col(f"_r{i + 20}") % 1000 < SPIKES_PER_THOUSAND, coin(r, 3) * burst).otherwise(0)
+        value = (F.rint(wave) + F.get("_base", F.lit(i)) + jitter + spike).cast("long")
         return F.greatest(F.lit(0).cast("long"), F.least(F.lit(FULL_SCALE).cast("long"), value))
 
-    r = draw(50)
+    r = F.col("_r50")
     drift = F.rint(F.sin(t * F.lit(6.283185307179586) / 86_400.0) * 600)
-    burst = F.when(
-        F.pmod(draw(51), F.lit(10_000)) < 15, (F.pmod(r, F.lit(601)) + 800) * coin(r, 5)
-    ).otherwise(0)
-    temp = (drift + F.pmod(r, F.lit(51)) + burst + 1775) / 100.0
-    copies = F.when(F.pmod(draw(60), F.lit(1000)) < DUPLICATES_PER_THOUSAND, 2).otherwise(1)
+    burst = F.when(F.col("_r51") % 10_000 < 15, (r % 601 + 800) * coin(r, 5)).otherwise(0)
     midnight = F.unix_seconds(F.lit(f"{start_day} 00:00:00+00:00").cast("timestamp"))
-    made = grid.filter(~in_gap).select(
-        "device_id",
-        F.timestamp_seconds(midnight + abs_t).alias("ts"),
-        F.transform(channels, channel).alias("_m"),
-        temp.alias("outdoor_temp"),
-        copies.alias("copies"),
-    )
-    return made.select(
+    return noisy.select(
         F.lit(experience).alias("experience"),
         "device_id",
-        "ts",
-        *[F.get("_m", F.lit(i)).alias(f"m{i}") for i in range(CHANNELS)],
-        "outdoor_temp",
-        "copies",
+        F.timestamp_seconds(midnight + F.col("_abs")).alias("ts"),
+        *[channel(i).alias(f"m{i}") for i in range(CHANNELS)],
+        ((drift + r % 51 + burst + 1775) / 100.0).alias("outdoor_temp"),
+        F.when(F.col("_r60") % 1000 < DUPLICATES_PER_THOUSAND, 2).otherwise(1).alias("copies"),
     )
 
 
