@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tidegrid.catalog.base import COARSE, K, Registry, coarse, round_all, sql_bucket, sql_r6
 from tidegrid.catalog.grids import BOUNDED, DEDUP, sql_ffill, sql_grid, sql_spikes
+from tidegrid.functions.scalars import once
 from tidegrid.operators import columns as C
 from tidegrid.plans.flow import FlowStep, custom_step, reprocess, run_flow
 from tidegrid.session import scratch_path
@@ -58,12 +59,13 @@ def lines(spark, sf_dir):
         F.concat(F.lit("outdoor_temp:"), F.col("m0").cast("string")),
     )
     name = F.concat_ws("_", "experience", "device_id", F.concat(F.date_format("day", "yyyy-MM-dd"), F.lit(".csv")))
-    return r.select(value.alias("value"), name.alias("source_file"), "seq")
+    made = r.select(once(value).alias("value"), "experience", "device_id", "day", "seq")
+    return made.select("value", name.alias("source_file"), "seq")
 
 
 def parsed(spark, sf_dir):
     return raw.type_domains(
-        raw.parse_kv_lines(raw.source_metadata(lines(spark, sf_dir))), DOMAINS, ["m1", "outdoor_temp"]
+        raw.source_metadata(raw.parse_kv_lines(lines(spark, sf_dir))), DOMAINS, ["m1", "outdoor_temp"]
     )
 
 

@@ -38,6 +38,15 @@ def micros_of(label: str) -> int:
     return size
 
 
+def once(col: Column) -> Column:
+    """The same value, worked out once a row; to be used as a column of its own.
+
+    Filters on a plain projection move below it and work its expressions out again, each
+    filter for itself. They do not move below rows that are generated.
+    """
+    return F.explode(F.array(col))
+
+
 # --- numbers -----------------------------------------------------------------
 
 

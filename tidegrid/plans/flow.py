@@ -338,6 +338,11 @@ def _in_window(tables: Tables, start, end) -> Tables:
     return {d: columns.range_filter(t, start, end) for d, t in tables.items()}
 
 
+def _computed_once(tables: Tables) -> Tables:
+    """Tables that are counted first and worked on later, stored so that their lines are parsed once."""
+    return {d: t if t.isStreaming else cut_lineage(t, "flow-input") for d, t in tables.items()}
+
+
 def run_flow(
     steps: Sequence[FlowStep],
     tables: Tables | None = None,
@@ -390,16 +395,6 @@ def run_flow(
             values.update(_spark=spark, _input=source, _start=own_start, _end=own_end)
         elif first_step or entry.start is not None or entry.end is not None:
             tables = _in_window(tables, own_start, own_end)
-        if values.get("split", False) is None:
-            # Asked once for the whole chain: later steps never have more rows of a key.
-            if split is None:
-                stored_rows = largest_key(spark, steps[at - 1].output) if from_stage and at == chosen[0] else None
-                split = (
-                    any(needs_slices(t) for t in (tables or {}).values())
-                    if stored_rows is None
-                    else stored_rows > ROWS_PER_TASK
-                )
-            values["split"] = split
         began = time.perf_counter()
 
         def note(
@@ -411,7 +406,30 @@ def run_flow(
                     run_id=run_id, flow=flow, time_from=since, time_to=until, **more,
                 )
 
-        note("start", params={k: v for k, v in values.items() if not k.startswith("_")})
+        def started() -> None:
+            note("start", params={k: v for k, v in values.items() if not k.startswith("_")})
+
+        def failed(problem: Exception) -> None:
+            note("error", error=str(problem), duration_ms=(time.perf_counter() - began) * 1000)
+
+        try:
+            if values.get("split", False) is None:
+                # Asked once for the whole chain: later steps never have more rows of a key.
+                if split is None:
+                    stored_rows = largest_key(spark, steps[at - 1].output) if from_stage and at == chosen[0] else None
+                    if stored_rows is None and not stored:
+                        tables = _computed_once(tables or {})
+                    split = (
+                        any(needs_slices(t) for t in (tables or {}).values())
+                        if stored_rows is None
+                        else stored_rows > ROWS_PER_TASK
+                    )
+                values["split"] = split
+        except Exception as problem:
+            started()
+            failed(problem)
+            raise
+        started()
         try:
             if step.run is _parse and _nothing_to_read(values):
                 # No raw file of the window: nothing is written, nothing is replaced.
@@ -432,7 +450,7 @@ def run_flow(
                         for d, t in tables.items()
                     }
         except Exception as problem:
-            note("error", error=str(problem), duration_ms=(time.perf_counter() - began) * 1000)
+            failed(problem)
             raise
         if entry.output:
             # Writing has computed this step and those that waited for it.

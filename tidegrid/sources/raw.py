@@ -68,22 +68,27 @@ def source_metadata(
     stem = F.regexp_replace(F.col(name), rf"({DATE}[^.]*)\.[^.]*$", "$1")
     for sub in substitutions:
         stem = F.replace(stem, F.lit(sub["src"]), F.lit(sub["target"]))
-    day = F.regexp_extract(stem, f"({DATE})", 1)
     no_date = F.raise_error(F.concat(F.lit("no date in file name: "), F.col(name)))
-    prefix = F.rtrim(F.call_function("substring_index", stem, day, F.lit(1)), F.lit("_"))
-    device = F.substring_index(prefix, "_", -1)
+    # Step by step: what is used several times is worked out once a row.
+    day, prefix, device = F.col("_file_day"), F.col("_prefix"), F.col("_device")
+    named = (
+        df.withColumn("_stem", stem)
+        .withColumn("_file_day", F.regexp_extract("_stem", f"({DATE})", 1))
+        .withColumn("_prefix", F.rtrim(F.call_function("substring_index", F.col("_stem"), day, F.lit(1)), F.lit("_")))
+        .withColumn("_device", F.substring_index(prefix, "_", -1))
+    )
     checked = F.when(day == "", no_date.cast("string"))
     experience = F.when(
         F.contains(prefix, F.lit("_")),
         F.left(prefix, F.length(prefix) - F.length(device) - 1),
     ).otherwise("")
-    return df.withColumns(
+    return named.withColumns(
         {
             "experience": experience,
             "device_id": checked.otherwise(device),
             "file_day": checked.otherwise(day).cast("date"),
         }
-    )
+    ).drop("_stem", "_file_day", "_prefix", "_device")
 
 
 def parse_kv_lines(
@@ -103,8 +108,8 @@ def parse_kv_lines(
     return (
         # A pair is a colon somewhere after the first delimiter.
         lines.filter(F.col(column).rlike(f"(?s){re.escape(delimiter)}.*:"))
-        .withColumn("_fields", F.replace(text, F.lit(delimiter), F.lit(CUT)))
-        .withColumn("ts", S.parse_ts(F.substring_index("_fields", CUT, 1), tz))
+        .withColumn("_fields", S.once(F.replace(text, F.lit(delimiter), F.lit(CUT))))
+        .withColumn("ts", S.once(S.parse_ts(F.substring_index("_fields", CUT, 1), tz)))
         .drop(column)
     )
 
@@ -144,9 +149,11 @@ def type_domains(
     carried = [c for c in parsed.columns if not c.startswith("_") and c not in ("ts", "day", "file_day")]
     tables = {}
     for domain, spec in domains.items():
-        typed = typed_columns(available, spec, value_of)
+        # A value's text is searched once, then looked at several times.
+        texts = {c: f"_text{i}" for i, c in enumerate(domain_columns(available, spec))}
+        typed = typed_columns(available, spec, lambda key: F.col(texts[key]))
         if typed:
-            tables[domain] = parsed.select(
+            tables[domain] = parsed.withColumns({t: value_of(c) for c, t in texts.items()}).select(
                 *carried,
                 F.lit(domain).alias("domain"),
                 S.utc_day(F.col("ts")).alias("day"),
@@ -206,8 +213,9 @@ def parsed_lines(
     end=None,
 ) -> DataFrame:
     """Files ``<experience>_<device>_<day>.csv`` as parsed lines with their metadata."""
-    lines = source_metadata(read_lines(spark, path, start, end, tz), substitutions=substitutions)
-    return parse_kv_lines(lines, delimiter, tz=tz)
+    parsed = parse_kv_lines(read_lines(spark, path, start, end, tz), delimiter, tz=tz)
+    # Last, so that a filter on time comes before the work on names.
+    return source_metadata(parsed, substitutions=substitutions)
 
 
 def parse_raw(
